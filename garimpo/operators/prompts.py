@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -86,48 +87,65 @@ def _or(value: Column, default: str) -> Column:
     return F.coalesce(blank_to_null(value), F.lit(default))
 
 
+# Own wording; the inputs and the answer keys are the fixed part.
+MATCH_TEMPLATE = """Judge how well a candidate fits a job opening. Both texts may be in Portuguese.
+
+# Opening
+Title: <<title>>
+Company: <<company>>
+Location: <<location>>
+Description:
+<<description>>
+
+# Candidate
+<<profile>>
+
+# Answer
+One JSON object and nothing else, texts in Portuguese:
+{"match_score": whole number 0-100, be strict,
+ "core_role_compatible": false only if the title names another career track,
+ "strengths": up to 4 points of the candidate the opening asks for,
+ "gaps": requirements the candidate does not show,
+ "verdict": advice in at most 3 sentences}
+"""
+CONTRACT_TEMPLATE = """State the employment type of a job opening in Brazil.
+
+Title: <<title>>
+Company: <<company>>
+Description:
+<<description>><<hints>>
+
+CLT (regular employment) is the default: name another type only on explicit evidence,
+and prefer CLT to INDEFINIDO when in doubt.
+One JSON object and nothing else:
+{"regime": one of CLT, PJ, FREELANCER, ESTAGIO, TEMPORARIO, INDEFINIDO,
+ "confidence": number 0.0-1.0,
+ "evidence": short quote or one sentence}
+"""
+HINT_LINE = "\nKeyword hints (support only): "
+
+
+def fill(template: str, **values: Column) -> Column:
+    """Template text with each ``<<name>>`` replaced by a column."""
+    pieces = re.split(r"<<(\w+)>>", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+
+def _posting_values() -> dict[str, Column]:
+    return {
+        "title": _or(F.col("job_title"), rules.NOT_AVAILABLE),
+        "company": _or(F.col("company"), rules.NOT_AVAILABLE),
+        "location": _or(F.col("location"), rules.NOT_AVAILABLE),
+        "description": _or(F.col("description"), "No description."),
+    }
+
+
 def match_prompt(profile: Column) -> Column:
-    """Request for a match analysis of one posting (own wording, fixed answer keys)."""
-    return F.concat(
-        F.lit(
-            "Judge how well a candidate fits a job opening. Both texts may be in Portuguese.\n\n"
-            "# Opening\nTitle: "
-        ),
-        _or(F.col("job_title"), "N/A"),
-        F.lit("\nCompany: "), _or(F.col("company"), "N/A"),
-        F.lit("\nLocation: "), _or(F.col("location"), "N/A"),
-        F.lit("\nDescription:\n"), _or(F.col("description"), "No description."),
-        F.lit("\n\n# Candidate\n"), profile,
-        F.lit(
-            "\n\n# Answer\n"
-            "One JSON object and nothing else, texts in Portuguese:\n"
-            '{"match_score": whole number 0-100, be strict,\n'
-            ' "core_role_compatible": false only if the title names another career track,\n'
-            ' "strengths": up to 4 points of the candidate the opening asks for,\n'
-            ' "gaps": requirements the candidate does not show,\n'
-            ' "verdict": advice in at most 3 sentences}\n'
-        ),
-    )
+    """Request for a match analysis of one posting."""
+    return fill(MATCH_TEMPLATE, profile=profile, **_posting_values())
 
 
 def contract_prompt(hints: Column) -> Column:
     """Request for the contract type; found labels are passed on as a hint line."""
-    hint_line = F.when(
-        F.size(hints) > 0,
-        F.concat(F.lit("\nKeyword hints (support only): "), F.array_join(hints, ", ")),
-    )
-    return F.concat(
-        F.lit("State the employment type of a job opening in Brazil.\n\nTitle: "),
-        _or(F.col("job_title"), "N/A"),
-        F.lit("\nCompany: "), _or(F.col("company"), "N/A"),
-        F.lit("\nDescription:\n"), _or(F.col("description"), "No description."),
-        F.coalesce(hint_line, F.lit("")),
-        F.lit(
-            "\n\nCLT (regular employment) is the default: name another type only on explicit "
-            "evidence, and prefer CLT to INDEFINIDO when in doubt.\n"
-            "One JSON object and nothing else:\n"
-            '{"regime": one of CLT, PJ, FREELANCER, ESTAGIO, TEMPORARIO, INDEFINIDO,\n'
-            ' "confidence": number 0.0-1.0,\n'
-            ' "evidence": short quote or one sentence}\n'
-        ),
-    )
+    line = F.when(F.size(hints) > 0, F.concat(F.lit(HINT_LINE), F.array_join(hints, ", ")))
+    return fill(CONTRACT_TEMPLATE, hints=F.coalesce(line, F.lit("")), **_posting_values())
