@@ -12,16 +12,18 @@ from pyspark.sql import Column, functions as F
 
 from garimpo import rules
 from garimpo.functions.numbers import clamp
-from garimpo.functions.text import blank_to_null, strip
+from garimpo.functions.text import blank_to_null, let, strip
 
 _OPTIONS = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}
 
 
 def strip_fence(raw: Column) -> Column:
     """Trim, and take a Markdown code fence off."""
-    text = strip(raw)
-    inner = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\n", ""), r"\n```$", "")
-    return F.when(F.startswith(text, F.lit("```")), strip(inner)).otherwise(text)
+    def bare(text: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\n", ""), r"\n```$", "")
+        return F.when(F.startswith(text, F.lit("```")), strip(inner)).otherwise(text)
+
+    return let(strip(raw), bare)
 
 
 def _is_whole_json(text: Column) -> Column:
@@ -43,8 +45,11 @@ def first_json_object(text: Column) -> Column:
 def json_fields(raw: Column, names: tuple[str, ...]) -> Column:
     """Struct of VARIANT fields of the answered object; NULL if there is none."""
     schema = ", ".join(f"{n} variant" for n in names) + ", broken string"
-    parsed = F.from_json(first_json_object(strip_fence(raw)), schema, _OPTIONS)
-    return F.when(parsed["broken"].isNull(), parsed)
+
+    def read(text: Column) -> Column:
+        return F.from_json(first_json_object(text), schema, _OPTIONS)
+
+    return let(let(strip_fence(raw), read), lambda found: F.when(found["broken"].isNull(), found))
 
 
 def _kind(value: Column) -> Column:
@@ -110,7 +115,10 @@ MATCH_TYPE = (
 
 
 def match_from_fields(found: Column) -> Column:
-    number = _score_number(found["match_score"])
+    return let(_score_number(found["match_score"]), lambda number: _match_struct(found, number))
+
+
+def _match_struct(found: Column, number: Column) -> Column:
     usable = found.isNotNull() & ~number.isin(float("inf"), float("-inf"))
     whole = F.when(F.isnan(number), F.lit(0.0)).otherwise(number)
     return F.when(
@@ -127,7 +135,7 @@ def match_from_fields(found: Column) -> Column:
 
 def parse_match(raw: Column) -> Column:
     """Match answer as a struct, NULL when invalid (an infinite score included)."""
-    return match_from_fields(json_fields(raw, MATCH_FIELDS))
+    return let(json_fields(raw, MATCH_FIELDS), match_from_fields)
 
 
 CONTRACT_FIELDS = ("regime", "confidence", "evidence")
@@ -135,6 +143,10 @@ CONTRACT_FIELDS = ("regime", "confidence", "evidence")
 
 def contract_from_fields(found: Column) -> Column:
     regime = F.upper(strip(text_of(found["regime"], "")))
+    return let(regime, lambda name: _contract_struct(found, name))
+
+
+def _contract_struct(found: Column, regime: Column) -> Column:
     value, kind = found["confidence"], _kind(found["confidence"])
     number = F.when(kind == "STRING", strip(_as_string(value)).try_cast("double")).when(
         kind.rlike("^(ARRAY|OBJECT|VOID)"), F.lit(None).cast("double")
@@ -151,7 +163,7 @@ def contract_from_fields(found: Column) -> Column:
 
 def parse_contract(raw: Column) -> Column:
     """Contract answer as a struct, NULL when invalid (regime outside the domain)."""
-    return contract_from_fields(json_fields(raw, CONTRACT_FIELDS))
+    return let(json_fields(raw, CONTRACT_FIELDS), contract_from_fields)
 
 
 def response_content(body: Column) -> Column:

@@ -8,7 +8,7 @@ from html.entities import html5
 from pyspark.sql import Column, functions as F
 
 from garimpo import rules
-from garimpo.functions.text import contains_any, fold_text
+from garimpo.functions.text import contains_any, fold_text, let
 
 # Elements whose text is not part of the page text.
 HIDDEN_ELEMENTS = ("script", "style", "template", "rt", "rp")
@@ -47,7 +47,7 @@ def page_text(html: Column, separator: str = " ") -> Column:
     hidden = r"(?is)<(" + "|".join(HIDDEN_ELEMENTS) + r")\b[^>]*>.*?</\1\s*>|<!--.*?-->"
     tags = r"(?s)(?:<[/!?a-zA-Z][^>]*>)+"
     bare = F.regexp_replace(F.regexp_replace(html, hidden, "<i>"), tags, separator)
-    return unescape(bare)
+    return let(bare, unescape)
 
 
 def closed_flag(html: Column, phrases: tuple[str, ...] = rules.CLOSED_PHRASES) -> Column:
@@ -56,4 +56,4 @@ def closed_flag(html: Column, phrases: tuple[str, ...] = rules.CLOSED_PHRASES) -
         r"(?is)<\w[^>]*\bclass\s*=\s*(?:\"[^\"]*(?:" + rules.CLOSED_CLASS + r")"
         r"|'[^']*(?:" + rules.CLOSED_CLASS + r")|[^\s\"'>]*(?:" + rules.CLOSED_CLASS + r"))"
     )
-    return marked | contains_any(fold_text(page_text(html)), tuple(phrases))
+    return marked | let(fold_text(page_text(html)), lambda t: contains_any(t, tuple(phrases)))

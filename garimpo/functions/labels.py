@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from garimpo import rules
-from garimpo.functions.text import fold_text
+from garimpo.functions.text import fold_text, let
 
 Rules = Sequence[tuple[str, str]]
 
@@ -27,15 +27,17 @@ def platform_contains(
     A plain substring test by default, so "manufacturing" holds "turing";
     ``word_boundary`` asks for whole words.
     """
-    folded = fold_text(company)
-    result = F.lit(None).cast("string")
-    for name in reversed(platforms):
-        if word_boundary:
-            hit = folded.rlike(r"(?U)(?<!\w)" + "\\Q" + name + "\\E" + r"(?!\w)")
-        else:
-            hit = F.contains(folded, F.lit(name))
-        result = F.when(hit, F.lit(name)).otherwise(result)
-    return result
+    def first(folded: Column) -> Column:
+        result = F.lit(None).cast("string")
+        for name in reversed(platforms):
+            if word_boundary:
+                hit = folded.rlike(r"(?U)(?<!\w)" + "\\Q" + name + "\\E" + r"(?!\w)")
+            else:
+                hit = F.contains(folded, F.lit(name))
+            result = F.when(hit, F.lit(name)).otherwise(result)
+        return result
+
+    return let(fold_text(company), first)
 
 
 def label_concat(*parts: Column) -> Column:
@@ -47,31 +49,29 @@ def _platform_label(platform: Column) -> Column:
     return F.array(F.concat(F.lit(rules.PLATFORM_LABEL), platform))
 
 
-def strong_labels(folded: Column, platform: Column, table: Rules = rules.STRONG_RULES) -> Column:
-    """Labels of the high-precision rules, then the marketplace label."""
-    return label_concat(F.array(*_rule_hits(folded, table)), _platform_label(platform))
+def strong_labels(text: Column, company: Column, table: Rules = rules.STRONG_RULES) -> Column:
+    """Labels of the high-precision rules found in the text, then the marketplace label."""
+    platform = _platform_label(platform_contains(company))
+    return let(
+        fold_text(text), lambda folded: label_concat(F.array(*_rule_hits(folded, table)), platform)
+    )
 
 
 def hint_labels(
-    folded: Column,
-    platform: Column,
+    text: Column,
+    company: Column,
     strong: Rules = rules.STRONG_RULES,
     hints: Rules = rules.HINT_RULES,
 ) -> Column:
     """Strong labels, then hint labels, then the marketplace label."""
-    return label_concat(
-        F.array(*_rule_hits(folded, strong), *_rule_hits(folded, hints)), _platform_label(platform)
-    )
+    return strong_labels(text, company, (*strong, *hints))
 
 
-def first_rule(folded: Column, table: Rules) -> Column:
-    """Label of the first rule that matches, else NULL."""
-    result = F.lit(None).cast("string")
-    for hit in reversed(_rule_hits(folded, table)):
-        result = F.coalesce(hit, result)
-    return result
+def first_rule(text: Column, table: Rules) -> Column:
+    """Label of the first rule that matches the folded text, else NULL."""
+    return let(fold_text(text), lambda folded: F.coalesce(*_rule_hits(folded, table)))
 
 
-def title_scope_reason(folded_title: Column, table: Rules = rules.TITLE_RULES) -> Column:
+def title_scope_reason(title: Column, table: Rules = rules.TITLE_RULES) -> Column:
     """Why the title is out of scope; NULL when it is in scope or empty."""
-    return first_rule(folded_title, table)
+    return first_rule(title, table)

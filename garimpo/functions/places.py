@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from garimpo import rules
-from garimpo.functions.text import contains_any, fold_text, matches_any
+from garimpo.functions.text import contains_any, fold_text, let, matches_any
 
 
 @dataclass(frozen=True)
@@ -24,53 +24,50 @@ class PlaceRules:
 
 def workplace_matches(location: Column, model: Column, places: PlaceRules = PlaceRules()) -> Column:
     """Does the location suit the searched work model? No model: always."""
-    place, kind = fold_text(location), fold_text(model)
-
-    if places.word_boundary:
-        abroad = place.rlike(r"(?U)\b(?:" + "|".join(places.foreign) + r")\b")
-    else:
-        abroad = contains_any(place, tuple(places.foreign))
-    in_state = contains_any(place, tuple(places.homonym_state)) | place.rlike(
-        "(?U)" + places.homonym_state_code
-    )
-    near_hub = contains_any(place, tuple(places.hubs)) | (
-        F.contains(place, F.lit(places.homonym))
-        & ~contains_any(place, tuple(places.homonym_elsewhere))
-        & in_state
-    )
-    return (
-        F.when(kind == "remoto", ~abroad)
-        .when(kind.isin("hibrido", "hybrid"), near_hub)
-        .otherwise(F.lit(True))
-    )
+    def judge(place: Column, kind: Column) -> Column:
+        if places.word_boundary:
+            abroad = place.rlike(r"(?U)\b(?:" + "|".join(places.foreign) + r")\b")
+        else:
+            abroad = contains_any(place, tuple(places.foreign))
+        in_state = contains_any(place, tuple(places.homonym_state)) | place.rlike(
+            "(?U)" + places.homonym_state_code
+        )
+        near_hub = contains_any(place, tuple(places.hubs)) | (
+            F.contains(place, F.lit(places.homonym))
+            & ~contains_any(place, tuple(places.homonym_elsewhere))
+            & in_state
+        )
+        return (
+            F.when(kind == "remoto", ~abroad)
+            .when(kind.isin("hibrido", "hybrid"), near_hub)
+            .otherwise(F.lit(True))
+        )
+
+    return let(fold_text(location), lambda p: let(fold_text(model), lambda k: judge(p, k)))
 
 
 def conflicts_with_remote(
-    folded_description: Column,
+    description: Column,
     onsite: Sequence[str] = rules.ONSITE_PATTERNS,
     remote: Sequence[str] = rules.REMOTE_PATTERNS,
 ) -> Column:
     """On-site or hybrid is declared and nothing hints at remote work."""
-    return matches_any(folded_description, tuple(onsite)) & ~matches_any(
-        folded_description, tuple(remote)
+    return let(
+        fold_text(description),
+        lambda t: matches_any(t, tuple(onsite)) & ~matches_any(t, tuple(remote)),
     )
 
 
-def _lookup(key: Column, table: Mapping[str, object], kind: str) -> Column:
-    by_value: dict[object, list[str]] = {}
-    for name, value in table.items():
-        by_value.setdefault(value, []).append(name)
-    result = F.lit(None).cast(kind)
-    for value, names in by_value.items():
-        result = F.when(key.isin(*names), F.lit(value)).otherwise(result)
-    return result
+def _lookup(key: Column, table: Mapping[str, object]) -> Column:
+    pairs = [F.lit(part) for item in table.items() for part in item]
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def period_seconds(period: Column, table: Mapping[str, int] = rules.PERIOD_SECONDS) -> Column:
     """Length of a named posting period; NULL means no age filter."""
-    return _lookup(fold_text(period), table, "int")
+    return _lookup(fold_text(period), table)
 
 
 def workplace_code(model: Column, table: Mapping[str, str] = rules.WORKPLACE_CODES) -> Column:
     """Code of a work model; NULL means no model filter."""
-    return _lookup(fold_text(model), table, "string")
+    return _lookup(fold_text(model), table)

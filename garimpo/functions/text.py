@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -38,7 +39,7 @@ def fold_tables() -> FoldTables:
         if unicodedata.combining(ch):
             dropped.append(ch)
             continue
-        if not unicodedata.decomposition(ch) and not 0xAC00 <= code <= 0xD7A3:
+        if not unicodedata.decomposition(ch):  # Hangul syllables: see _hangul
             continue
         flat = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
         if flat == ch:
@@ -59,7 +60,7 @@ def fold_tables() -> FoldTables:
 
 
 def _char_class(chars: str) -> str:
-    """Regex class holding all of ``chars``, as few ranges of code points.
+    """Inside of a regex class that holds all of ``chars``, as few ranges.
 
     Ranges are exact among Latin letters and general punctuation, where almost all
     text lives; elsewhere near ones are merged. A long exact class would make the
@@ -67,13 +68,18 @@ def _char_class(chars: str) -> str:
     by a merge only costs one more look-up.
     """
     ranges: list[list[int]] = []
-    for code in sorted(map(ord, chars)):
+    for code in sorted(set(map(ord, chars))):
         exact = code < 0x250 or 0x2000 <= code < 0x2070
         if ranges and code - ranges[-1][1] <= (1 if exact else 512) and ranges[-1][1] >= (0 if exact else 0x250):
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
+def _special() -> str:
+    """Matches each character that may become several; a superset of them."""
+    return "[" + _char_class(fold_tables().many_from) + r"\x{AC00}-\x{D7A3}]"
 
 
 def _translate_fold(text: Column) -> Column:
@@ -81,15 +87,37 @@ def _translate_fold(text: Column) -> Column:
     return F.lower(F.translate(text, t.single_from + t.dropped, t.single_to))
 
 
+def _hangul(syllable: Column) -> Column:
+    """Jamo of a composed syllable, by the arithmetic of the Unicode standard."""
+    def char(code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+
+    def parts(index: Column) -> Column:
+        tail = index % 28
+        return F.concat(
+            char(0x1100 + F.floor(index / 588)),
+            char(0x1161 + F.floor(index % 588 / 28)),
+            F.when(tail > 0, char(0x11A7 + tail)).otherwise(""),
+        )
+
+    return let(F.conv(F.hex(F.encode(syllable, "UTF-16BE")), 16, 10).cast("int") - 0xAC00, parts)
+
+
 def _expand_many(text: Column) -> Column:
     """Replace each *distinct* multi-character code point of the row once."""
     t = fold_tables()
     targets = F.split(F.lit("\n".join(t.many_to)), "\n", -1)
-    present = F.array_distinct(F.regexp_extract_all(text, F.lit(_char_class(t.many_from)), F.lit(0)))
+    present = F.array_distinct(F.regexp_extract_all(text, F.lit(_special()), F.lit(0)))
 
     def expand(acc: Column, ch: Column) -> Column:
-        position = F.instr(F.lit(t.many_from), ch)
-        return F.when(position == 0, acc).otherwise(F.replace(acc, ch, F.element_at(targets, position)))
+        def put(position: Column) -> Column:
+            return (
+                F.when(position > 0, F.replace(acc, ch, F.element_at(targets, position)))
+                .when(ch.between("\uac00", "\ud7a3"), F.replace(acc, ch, _hangul(ch)))
+                .otherwise(acc)
+            )
+
+        return let(F.instr(F.lit(t.many_from), ch), put)
 
     return F.aggregate(present, text, expand)
 
@@ -101,13 +129,23 @@ def fold_text(text: Column) -> Column:
     most other rows one ``translate``; rows with ligatures, fractions, ellipses,
     Hangul etc. are expanded first.
     """
-    t = fold_tables()
-    return (
-        F.when(text.isNull(), F.lit(""))
-        .when(F.octet_length(text) == F.char_length(text), F.lower(text))
-        .when(~text.rlike(_char_class(t.many_from)), _translate_fold(text))
-        .otherwise(_translate_fold(_expand_many(text)))
-    )
+    def fold(t: Column) -> Column:
+        return (
+            F.when(t.isNull(), F.lit(""))
+            .when(F.octet_length(t) == F.char_length(t), F.lower(t))
+            .otherwise(_translate_fold(F.when(t.rlike(_special()), _expand_many(t)).otherwise(t)))
+        )
+
+    return let(text, fold)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    Catalyst copies an expression to each of its uses; binding it to a lambda
+    variable keeps costly ones (JSON, long regexes) to a single evaluation.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def fold_word(word: str | None) -> str:

@@ -26,6 +26,6 @@ def label_coverage(labelled: DataFrame, labels: str = "labels") -> DataFrame:
 
 def label_frequency(labelled: DataFrame, labels: str = "labels") -> DataFrame:
     return (
-        labelled.select(F.explode(labels).alias("label"))
+        labelled.select(F.explode_outer(labels).alias("label")).filter(F.col("label").isNotNull())
         .groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     )

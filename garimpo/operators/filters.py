@@ -31,9 +31,7 @@ def workplace_filter(
 
 def remote_conflict(df: DataFrame) -> Column:
     """In a remote search, a description that declares on-site or hybrid work only."""
-    return (fold_text(F.col("workplace_type")) == "remoto") & conflicts_with_remote(
-        fold_text(F.col("description"))
-    )
+    return (fold_text(F.col("workplace_type")) == "remoto") & conflicts_with_remote(F.col("description"))
 
 
 def remote_conflict_filter(df: DataFrame) -> DataFrame:
@@ -62,7 +60,7 @@ def workplace_code_filter(df: DataFrame, model: str | None, column: str = "workp
 
 
 def title_scope_filter(df: DataFrame, table: Rules = rules.TITLE_RULES) -> DataFrame:
-    return df.filter(title_scope_reason(fold_text(F.col("job_title")), table).isNull())
+    return df.filter(title_scope_reason(F.col("job_title"), table).isNull())
 
 
 def role_filter(df: DataFrame) -> DataFrame:

@@ -8,39 +8,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from garimpo.functions import answers
 from garimpo.functions.contract import fallback_analysis
+from garimpo.operators.columns import computed_once
 from garimpo.operators.dedupe import keep_first
 
 MATCH, CONTRACT = "match", "contract"
 
 
-def read_answers(attempts: DataFrame, names: tuple[str, ...], build: Callable[[Column], Column],
-                 raw: str = "raw_text", into: str = "answer") -> DataFrame:
-    """Parse in two projections, so the JSON is read once per row."""
-    return attempts.withColumn("_found", answers.json_fields(F.col(raw), names)).withColumn(
-        into, build(F.col("_found"))
-    ).drop("_found")
+def read_answers(attempts: DataFrame, parser: Callable[[Column], Column], raw: str = "raw_text",
+                 keep_invalid: bool = False) -> DataFrame:
+    """Adds ``answer``, the parsed struct, for attempts that hold a valid one.
 
-
-def match_answers(attempts: DataFrame) -> DataFrame:
-    return read_answers(attempts, answers.MATCH_FIELDS, answers.match_from_fields)
+    Each text is parsed once, whatever is filtered or selected later. ``keep_invalid``
+    keeps failed attempts with a NULL answer (for audits).
+    """
+    parsed = computed_once(attempts, {"answer": parser(F.col(raw))})
+    return parsed if keep_invalid else parsed.filter(F.col("answer").isNotNull())
 
 
-def contract_answers(attempts: DataFrame) -> DataFrame:
-    return read_answers(attempts, answers.CONTRACT_FIELDS, answers.contract_from_fields)
+def match_answers(attempts: DataFrame, keep_invalid: bool = False) -> DataFrame:
+    return read_answers(attempts, answers.parse_match, keep_invalid=keep_invalid)
 
 
-def custom_answers(attempts: DataFrame, parser: Callable[[Column], Column]) -> DataFrame:
-    """Any parser: a function from the raw Column to a struct Column, NULL if invalid."""
-    return attempts.withColumn("answer", parser(F.col("raw_text")))
+def contract_answers(attempts: DataFrame, keep_invalid: bool = False) -> DataFrame:
+    return read_answers(attempts, answers.parse_contract, keep_invalid=keep_invalid)
 
 
 def first_valid_response(parsed: DataFrame) -> DataFrame:
     """Per posting and task the earliest attempt whose answer is valid.
 
-    Order: cycle, provider, model. Invalid attempts are dropped before the shuffle,
-    and each map task sends at most one row per posting.
+    Order: cycle, provider, model. Only valid attempts are shuffled, at most one per
+    posting and map task, and only the columns named here.
     """
-    valid = parsed.filter(F.col("answer").isNotNull())
+    columns = ["job_link", "task", "cycle", "provider_rank", "model_rank", "answer"]
+    valid = parsed.select(*columns).filter(F.col("answer").isNotNull())
     keys = {"key_link": F.col("job_link"), "key_task": F.col("task")}
     return keep_first(valid, keys, F.struct("cycle", "provider_rank", "model_rank"))
 

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from garimpo import rules
 from garimpo.functions.contract import contract_decision, ungated_contract
-from garimpo.functions.labels import hint_labels, platform_contains, strong_labels, title_scope_reason
+from garimpo.functions.labels import hint_labels, strong_labels, title_scope_reason
 from garimpo.functions.numbers import is_relevant
 from garimpo.functions.places import PlaceRules, conflicts_with_remote, workplace_matches
 from garimpo.functions.text import fold_text, fold_word, scan_text
 from garimpo.operators.dedupe import dedupe_reposts
+from garimpo.operators.columns import computed_once
 from garimpo.operators.history import known_link_anti
 from garimpo.operators.resolve import response_resolve
 
@@ -43,23 +44,18 @@ def collect_verdict(postings: DataFrame, settings: TriageSettings = TriageSettin
     if "is_closed" in postings.columns:
         reason = reason.when(F.coalesce("is_closed", F.lit(False)), "closed")
     reason = reason.when(
-        remote & conflicts_with_remote(fold_text(F.col("description"))), "remote conflict"
+        remote & conflicts_with_remote(F.col("description")), "remote conflict"
     )
     return postings.withColumn("reason", reason)
 
 
 def label_postings(postings: DataFrame, hints: bool = False) -> DataFrame:
     """Adds ``labels`` (strong rules and marketplace), and ``hints`` on request."""
-    staged = postings.withColumns(
-        {
-            "_scan": fold_text(scan_text(F.col("job_title"), F.col("company"), F.col("description"))),
-            "_platform": platform_contains(F.col("company")),
-        }
-    )
-    columns = {"labels": strong_labels(F.col("_scan"), F.col("_platform"))}
+    text = scan_text(F.col("job_title"), F.col("company"), F.col("description"))
+    columns = {"labels": strong_labels(text, F.col("company"))}
     if hints:
-        columns["hints"] = hint_labels(F.col("_scan"), F.col("_platform"))
-    return staged.withColumns(columns).drop("_scan", "_platform")
+        columns["hints"] = hint_labels(text, F.col("company"))
+    return computed_once(postings, columns)
 
 
 def needs_answer(labelled: DataFrame) -> DataFrame:
@@ -113,7 +109,7 @@ def analyse(collected: DataFrame, match_best: DataFrame,
             settings: TriageSettings = TriageSettings()) -> DataFrame:
     """Unique, in-scope postings with their analysis and the ``relevant`` flag."""
     unique = dedupe_reposts(collected)
-    in_scope = unique.filter(title_scope_reason(fold_text(F.col("job_title"))).isNull())
+    in_scope = unique.filter(title_scope_reason(F.col("job_title")).isNull())
     scored = response_resolve(in_scope, match_best).filter("core_role_compatible")
     return scored.withColumn(
         "relevant",
@@ -122,6 +118,40 @@ def analyse(collected: DataFrame, match_best: DataFrame,
     )
 
 
+def run_counts(collected: DataFrame, match_best: DataFrame,
+               settings: TriageSettings = TriageSettings()) -> DataFrame:
+    """Counters of a run: one pass, copies counted while reposts are removed."""
+    unique = dedupe_reposts(collected, copies="copies")
+    out_of_title = title_scope_reason(F.col("job_title")).isNotNull()
+    flagged = response_resolve(unique.withColumn("_title", out_of_title), match_best)
+    relevant = is_relevant(
+        F.col("score_clt"), F.col("match_score"), settings.min_clt, settings.min_match, settings.gated
+    )
+    in_scope = ~F.col("_title") & F.col("core_role_compatible")
+    return flagged.agg(
+        F.sum("copies").alias("collected"),
+        F.sum(F.col("copies") - 1).alias("duplicates"),
+        F.count(F.lit(1)).alias("unique_postings"),
+        F.count_if("_title").alias("out_of_title_scope"),
+        F.count_if(~F.col("_title") & ~F.col("core_role_compatible")).alias("out_of_role"),
+        F.count_if(in_scope & relevant).alias("relevant"),
+    )
+
+
+def collect_discards(new: DataFrame, contract_best: DataFrame | None,
+                     settings: TriageSettings = TriageSettings()) -> DataFrame:
+    """Postings that collection drops, with ``stage`` and ``reason``."""
+    judged = collect_verdict(new, settings)
+    early = judged.filter(F.col("reason").isNotNull()).select(
+        "job_link", F.lit("collect").alias("stage"), "reason"
+    )
+    suitable = judged.filter(F.col("reason").isNull()).drop("reason")
+    refused = decide_contract(label_postings(suitable), contract_best, settings).filter(~F.col("accepted"))
+    return early.unionByName(
+        refused.select("job_link", F.lit("contract").alias("stage"), F.lit("contract type").alias("reason"))
+    )
+
+
 def triage(postings: DataFrame, history: DataFrame | None, contract_best: DataFrame | None,
            match_best: DataFrame, settings: TriageSettings = TriageSettings()) -> DataFrame:
     """Analysed postings of a run, each with ``relevant``; input of report and history."""

@@ -129,7 +129,7 @@ def first_json_object(spark, sf):
     ),
 )
 def parse_match(spark, sf):
-    parsed = resolve.match_answers(_match_attempts(spark, sf)).filter(F.col("answer").isNotNull())
+    parsed = resolve.match_answers(_match_attempts(spark, sf))
     return parsed.select("job_link", _attempt_no(), *_match_fields("answer"))
 
 
@@ -140,7 +140,7 @@ def parse_match(spark, sf):
     ),
 )
 def parse_contract(spark, sf):
-    parsed = resolve.contract_answers(_contract_attempts(spark, sf)).filter(F.col("answer").isNotNull())
+    parsed = resolve.contract_answers(_contract_attempts(spark, sf))
     return parsed.select(
         "job_link", _attempt_no(), "answer.regime", F.round("answer.confidence", 4).alias("confidence"),
         "answer.evidence",
@@ -173,8 +173,7 @@ def parser_hook(spark, sf):
     def words(raw):
         return F.when(~F.contains(raw, F.lit("{")), F.struct(F.size(F.split(raw, " ")).alias("words")))
 
-    parsed = resolve.custom_answers(_match_attempts(spark, sf), words)
-    return parsed.filter(F.col("answer").isNotNull()).select("job_link", _attempt_no(), "answer.words")
+    return resolve.read_answers(_match_attempts(spark, sf), words).select("job_link", _attempt_no(), "answer.words")
 
 
 @query(
