@@ -47,7 +47,11 @@ REGIMES = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Each is one small file that a single task would read; spread those
+    over the cores. Tables with enough splits are read as they are, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -96,6 +100,11 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_postings(spark, sf_dir).select(*POSTING_COLUMNS)
 
 
+def many_companies(base: DataFrame) -> DataFrame:
+    """Postings of a few hundred companies, so that a run has thousands of repost keys."""
+    return base.withColumn("company", F.concat("company", F.lit(" "), F.expr("collect_seq % 89")))
+
+
 def relisted(base: DataFrame) -> DataFrame:
     """Every eighth posting once more, in a later search group."""
     again = F.expr("cast((custkey + 3) % 10 as int)")
@@ -128,6 +137,12 @@ def with_postings(body: str, *more: str) -> str:
     return "WITH " + ",\n".join((SQL_POSTINGS, *more)) + "\n" + body
 
 
+def with_many_companies(body: str, *more: str) -> str:
+    return with_postings(body, *more).replace(
+        "% 7 AS INT) + 1] AS company", "% 7 AS INT) + 1] || ' ' || (o_orderkey % 89) AS company"
+    )
+
+
 def sql_fold(text: str) -> str:
     return f"lower(strip_accents(coalesce({text}, '')))"
 

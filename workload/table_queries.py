@@ -458,8 +458,8 @@ _PLAIN = r"""regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</scrip
 
 @query(
     "scan_detail_whole_page",
-    f"""WITH plain AS (SELECT page_id, replace(replace(replace(replace(replace(replace({_PLAIN},
-        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS page FROM pages)
+    f"""WITH plain AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace({_PLAIN},
+        '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS page FROM pages)
     SELECT page_id, trim(page, ' ' || chr(10) || chr(9) || chr(13) || chr(160)) AS description FROM plain""",
 )
 def scan_detail_whole_page(spark, sf):
@@ -467,9 +467,13 @@ def scan_detail_whole_page(spark, sf):
 
 
 # --- report -----------------------------------------------------------------------------------------------
+def _run_postings(spark, sf):
+    return A.many_companies(A.postings(spark, sf))
+
+
 def _analysed(spark, sf):
     return flow.triage(
-        A.postings(spark, sf), A.history(spark, sf), answered.best_contract(spark, sf), answered.best_match(spark, sf)
+        _run_postings(spark, sf), A.history(spark, sf), answered.best_contract(spark, sf), answered.best_match(spark, sf)
     )
 
 
@@ -585,7 +589,7 @@ _RUN = (
 
 @query(
     "triage_ranked",
-    A.with_postings(
+    A.with_many_companies(
         """SELECT row_number() OVER (ORDER BY match_score DESC, collect_seq) AS report_rank, collect_seq, job_link, job_title,
           company, location, match_score, round(score_clt, 4) AS score_clt, inferred_contract_type FROM marked WHERE relevant""",
         *_RUN,
@@ -601,7 +605,7 @@ def triage_ranked(spark, sf):
 
 @query(
     "stage_counts",
-    A.with_postings(
+    A.with_many_companies(
         """SELECT (SELECT count(*) FROM verdicts WHERE reason IS NULL) AS collected, CAST(sum(copies - 1) AS BIGINT) AS duplicates,
           count(*) AS unique_postings, count(*) FILTER (title_reason IS NOT NULL) AS out_of_title_scope,
           (SELECT count(*) FROM analysed WHERE NOT role_ok) AS out_of_role,
@@ -611,21 +615,21 @@ def triage_ranked(spark, sf):
 )
 def stage_counts(spark, sf):
     return flow.run_counts(
-        flow.collect(A.postings(spark, sf), A.history(spark, sf), answered.best_contract(spark, sf)),
+        flow.collect(_run_postings(spark, sf), A.history(spark, sf), answered.best_contract(spark, sf)),
         answered.best_match(spark, sf),
     )
 
 
 @query(
     "discard_reasons",
-    A.with_postings(
+    A.with_many_companies(
         """SELECT CASE WHEN reason = 'contract type' THEN 'contract' ELSE 'collect' END AS stage, reason, count(*) AS n
         FROM verdicts WHERE reason IS NOT NULL GROUP BY ALL""",
         *_RUN,
     ),
 )
 def discard_reasons(spark, sf):
-    new = history.known_link_anti(A.postings(spark, sf), A.history(spark, sf))
+    new = history.known_link_anti(_run_postings(spark, sf), A.history(spark, sf))
     return counts.discard_reasons(flow.collect_discards(new, answered.best_contract(spark, sf)))
 
 
@@ -684,7 +688,7 @@ def _stream(spark, sf, name):
 
 @query(
     "stream_ingest",
-    A.with_postings(
+    A.with_many_companies(
         f"""SELECT job_link, status, last_processed_at FROM history UNION ALL
         SELECT job_link, CASE WHEN NOT relevant THEN 'irrelevant' END, TIMESTAMP '{A.NOW_TEXT}' FROM marked""",
         *_RUN,
@@ -693,7 +697,7 @@ def _stream(spark, sf, name):
 def stream_ingest(spark, sf):
     """The triage run fed by a stream; the history ends as after one batch run."""
     folder = runtime.new_folder(spark, "ingest")
-    postings = A.from_orders(_stream(spark, sf, "orders")).select(*A.POSTING_COLUMNS)
+    postings = A.many_companies(A.from_orders(_stream(spark, sf, "orders")).select(*A.POSTING_COLUMNS))
 
     def analyse(batch):
         return flow.triage(batch, None, answered.best_contract(spark, sf), answered.best_match(spark, sf))
