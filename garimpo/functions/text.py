@@ -82,44 +82,30 @@ def _special() -> str:
     return "[" + _char_class(fold_tables().many_from) + r"\x{AC00}-\x{D7A3}]"
 
 
-def _translate_fold(text: Column) -> Column:
-    t = fold_tables()
-    return F.lower(F.translate(text, t.single_from + t.dropped, t.single_to))
-
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
-def _hangul(syllable: Column) -> Column:
-    """Jamo of a composed syllable, by the arithmetic of the Unicode standard."""
-    def char(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
 
-    def parts(index: Column) -> Column:
-        tail = index % 28
-        return F.concat(
-            char(0x1100 + F.floor(index / 588)),
-            char(0x1161 + F.floor(index % 588 / 28)),
-            F.when(tail > 0, char(0x11A7 + tail)).otherwise(""),
-        )
+# Jamo of a composed Hangul syllable, by the arithmetic of the Unicode standard.
+_HANGUL = """aggregate(array(cast(conv(hex(encode(ch, 'UTF-16BE')), 16, 10) as int) - 44032), '', (none, i) ->
+  decode(unhex(concat(hex(4352 + i div 588), hex(4449 + i % 588 div 28),
+                      if(i % 28 > 0, hex(4519 + i % 28), ''))), 'UTF-16BE'))"""
 
-    return let(F.conv(F.hex(F.encode(syllable, "UTF-16BE")), 16, 10).cast("int") - 0xAC00, parts)
 
-
-def _expand_many(text: Column) -> Column:
-    """Replace each *distinct* multi-character code point of the row once."""
+@cache
+def _fold_lambda() -> str:
+    """SQL lambda that folds its argument; text, since it is one long constant."""
     t = fold_tables()
-    targets = F.split(F.lit("\n".join(t.many_to)), "\n", -1)
-    present = F.array_distinct(F.regexp_extract_all(text, F.lit(_special()), F.lit(0)))
-
-    def expand(acc: Column, ch: Column) -> Column:
-        def put(position: Column) -> Column:
-            return (
-                F.when(position > 0, F.replace(acc, ch, F.element_at(targets, position)))
-                .when(ch.between("\uac00", "\ud7a3"), F.replace(acc, ch, _hangul(ch)))
-                .otherwise(acc)
-            )
-
-        return let(F.instr(F.lit(t.many_from), ch), put)
-
-    return F.aggregate(present, text, expand)
+    special = _quoted(_special())
+    many_to = _quoted("\n".join(t.many_to))
+    # Each *distinct* multi-character code point of a row is replaced once.
+    expanded = f"""aggregate(array_distinct(regexp_extract_all(t, {special}, 0)), t, (acc, ch) -> CASE
+      WHEN instr({_quoted(t.many_from)}, ch) > 0 THEN
+        replace(acc, ch, element_at(split({many_to}, '\\n', -1), instr({_quoted(t.many_from)}, ch)))
+      WHEN ch BETWEEN '\uac00' AND '\ud7a3' THEN replace(acc, ch, {_HANGUL}) ELSE acc END)"""
+    source, target = _quoted(t.single_from + t.dropped), _quoted(t.single_to)
+    return f"""t -> CASE WHEN t IS NULL THEN '' WHEN octet_length(t) = char_length(t) THEN lower(t)
+      ELSE lower(translate(CASE WHEN t RLIKE {special} THEN {expanded} ELSE t END, {source}, {target})) END"""
 
 
 def fold_text(text: Column) -> Column:
@@ -129,14 +115,7 @@ def fold_text(text: Column) -> Column:
     most other rows one ``translate``; rows with ligatures, fractions, ellipses,
     Hangul etc. are expanded first.
     """
-    def fold(t: Column) -> Column:
-        return (
-            F.when(t.isNull(), F.lit(""))
-            .when(F.octet_length(t) == F.char_length(t), F.lower(t))
-            .otherwise(_translate_fold(F.when(t.rlike(_special()), _expand_many(t)).otherwise(t)))
-        )
-
-    return let(text, fold)
+    return F.call_function("transform", F.array(text), F.expr(_fold_lambda()))[0]
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

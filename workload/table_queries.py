@@ -596,7 +596,10 @@ _RUN = (
     ),
 )
 def triage_ranked(spark, sf):
-    ranked = ranking.report_rank(_analysed(spark, sf).filter("relevant"))
+    # Stored once: the counting and the numbering of the ranks, and in a real run the
+    # report and the history, all read it.
+    analysed = runtime.stage(_analysed(spark, sf), "analysed")
+    ranked = ranking.report_rank(analysed.filter("relevant"))
     return ranked.select(
         "report_rank", "collect_seq", "job_link", "job_title", "company", "location", "match_score",
         F.round("score_clt", 4).alias("score_clt"), "inferred_contract_type",
