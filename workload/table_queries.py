@@ -686,7 +686,8 @@ def prototype_classify(spark, sf):
 # --- streams --------------------------------------------------------------------------------------------------
 def _stream(spark, sf, name):
     schema = A.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return stream.repartition(spark.sparkContext.defaultParallelism)  # one small file per batch
 
 
 @query(
