@@ -16,6 +16,7 @@ from garimpo.functions.places import (
     workplace_matches,
 )
 from garimpo.functions.text import fold_text, fold_word, text_contains
+from garimpo.functions.times import wall_clock
 
 
 def missing_id_filter(df: DataFrame, posting_id: str = "posting_id") -> DataFrame:
@@ -50,7 +51,7 @@ def posted_within(
     if seconds is None:
         return df
     bound = run_ts - dt.timedelta(seconds=seconds)
-    return df.filter(F.col(column) >= F.lit(bound).cast("timestamp_ntz"))
+    return df.filter(F.col(column) >= wall_clock(bound))
 
 
 def workplace_code_filter(df: DataFrame, model: str | None, column: str = "workplace_type") -> DataFrame:

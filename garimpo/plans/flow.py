@@ -85,24 +85,32 @@ def decide_contract(labelled: DataFrame, best: DataFrame | None,
     )
 
 
-def posting_record(decided: DataFrame) -> DataFrame:
+def posting_record(decided: DataFrame, keep_description: bool = True) -> DataFrame:
     """The stored posting columns, with their defaults."""
+    na = F.lit(rules.NOT_AVAILABLE)
     return decided.select(
         "collect_seq", "job_link", "job_title", "company", "location",
-        F.coalesce("workplace_type", F.lit(rules.NOT_AVAILABLE)).alias("workplace_type"),
-        F.coalesce("contract_type", F.lit(rules.NOT_AVAILABLE)).alias("contract_type"),
-        F.coalesce("inferred_contract_type", F.lit(rules.NOT_AVAILABLE)).alias("inferred_contract_type"),
-        "score_clt", "score_non_clt", "contract_margin", "contract_evidence", "description",
+        F.coalesce("workplace_type", na).alias("workplace_type"),
+        F.coalesce("contract_type", na).alias("contract_type"),
+        F.coalesce("inferred_contract_type", na).alias("inferred_contract_type"),
+        "score_clt", "score_non_clt", "contract_margin", "contract_evidence",
+        *(["description"] if keep_description else []),
     )
 
 
 def collect(postings: DataFrame, history: DataFrame | None, contract_best: DataFrame | None,
-            settings: TriageSettings = TriageSettings()) -> DataFrame:
-    """New, suitable, open postings whose contract type is accepted."""
+            settings: TriageSettings = TriageSettings(), keep_description: bool = True) -> DataFrame:
+    """New, suitable, open postings whose contract type is accepted.
+
+    Postings a strong label rejects leave before the join with the answers. The
+    description is by far the widest column: without it, no later shuffle carries it.
+    """
     new = postings if history is None else known_link_anti(postings, history)
     suitable = collect_verdict(new, settings).filter(F.col("reason").isNull()).drop("reason")
-    decided = decide_contract(label_postings(suitable), contract_best, settings)
-    return posting_record(decided.filter("accepted"))
+    if settings.gated:
+        suitable = needs_answer(label_postings(suitable))
+    decided = decide_contract(suitable, contract_best, settings)
+    return posting_record(decided.filter("accepted"), keep_description)
 
 
 def analyse(collected: DataFrame, match_best: DataFrame,
@@ -152,7 +160,20 @@ def collect_discards(new: DataFrame, contract_best: DataFrame | None,
     )
 
 
+def scope_discards(collected: DataFrame, match_best: DataFrame) -> DataFrame:
+    """Unique postings that analysis drops: by title rule, or by an incompatible role."""
+    judged = dedupe_reposts(collected.select("collect_seq", "job_link", "job_title", "company")).withColumn(
+        "reason", title_scope_reason(F.col("job_title"))
+    )
+    resolved = response_resolve(judged, match_best)
+    role = F.when(~F.col("core_role_compatible"), F.lit("core role"))
+    return resolved.select(
+        "job_link", F.lit("scope").alias("stage"), F.coalesce("reason", role).alias("reason")
+    ).filter(F.col("reason").isNotNull())
+
+
 def triage(postings: DataFrame, history: DataFrame | None, contract_best: DataFrame | None,
            match_best: DataFrame, settings: TriageSettings = TriageSettings()) -> DataFrame:
     """Analysed postings of a run, each with ``relevant``; input of report and history."""
-    return analyse(collect(postings, history, contract_best, settings), match_best, settings)
+    collected = collect(postings, history, contract_best, settings, keep_description=False)
+    return analyse(collected, match_best, settings)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from garimpo import rules, runtime
 from garimpo.functions import render
+from garimpo.functions.times import wall_clock
 from garimpo.operators import capping, counts, dedupe, history, prototypes, ranking, status, views
 from garimpo.plans import flow, report
 from garimpo.schemas import HISTORY_COLUMNS
@@ -205,7 +206,7 @@ _UPSERTED = f"""upserted AS (SELECT coalesce(n.job_link, o.job_link) AS job_link
 
 
 def _upserted(spark, sf):
-    return history.history_upsert(A.history(spark, sf), _batch(spark, sf), F.lit(NOW))
+    return history.history_upsert(A.history(spark, sf), _batch(spark, sf), wall_clock(NOW))
 
 
 @query("history_upsert", A.with_postings("SELECT * FROM upserted", A.SQL_HISTORY, _BATCH, _UPSERTED))
@@ -224,7 +225,7 @@ def history_upsert(spark, sf):
 )
 def history_outer(spark, sf):
     """Which side of the upsert each entry comes from, seen in its columns."""
-    at = F.lit(NOW)
+    at = wall_clock(NOW)
     return _upserted(spark, sf).select(
         "job_link", (F.col("first_seen_at") < at).alias("in_history"),
         (F.col("last_processed_at") == at).alias("in_batch"),
@@ -618,7 +619,9 @@ def triage_ranked(spark, sf):
 )
 def stage_counts(spark, sf):
     return flow.run_counts(
-        flow.collect(_run_postings(spark, sf), A.history(spark, sf), answered.best_contract(spark, sf)),
+        flow.collect(
+            _run_postings(spark, sf), A.history(spark, sf), answered.best_contract(spark, sf), keep_description=False
+        ),
         answered.best_match(spark, sf),
     )
 
@@ -626,14 +629,21 @@ def stage_counts(spark, sf):
 @query(
     "discard_reasons",
     A.with_many_companies(
-        """SELECT CASE WHEN reason = 'contract type' THEN 'contract' ELSE 'collect' END AS stage, reason, count(*) AS n
-        FROM verdicts WHERE reason IS NOT NULL GROUP BY ALL""",
+        """SELECT stage, reason, count(*) AS n FROM (
+          SELECT CASE WHEN reason = 'contract type' THEN 'contract' ELSE 'collect' END AS stage, reason FROM verdicts
+            WHERE reason IS NOT NULL
+          UNION ALL SELECT 'scope', title_reason FROM uniques WHERE title_reason IS NOT NULL
+          UNION ALL SELECT 'scope', 'core role' FROM analysed WHERE NOT role_ok) GROUP BY ALL""",
         *_RUN,
     ),
 )
 def discard_reasons(spark, sf):
     new = history.known_link_anti(_run_postings(spark, sf), A.history(spark, sf))
-    return counts.discard_reasons(flow.collect_discards(new, answered.best_contract(spark, sf)))
+    contract, match = answered.best_contract(spark, sf), answered.best_match(spark, sf)
+    collected = flow.collect(new, None, contract, keep_description=False)
+    return counts.discard_reasons(
+        flow.collect_discards(new, contract).unionByName(flow.scope_discards(collected, match))
+    )
 
 
 _COVER = A.sql_labels("scan", "company", rules.STRONG_RULES)
@@ -707,7 +717,7 @@ def stream_ingest(spark, sf):
         return flow.triage(batch, None, answered.best_contract(spark, sf), answered.best_match(spark, sf))
 
     ingest.stream_ingest(
-        postings, f"{folder}/history", f"{folder}/progress", analyse, F.lit(NOW), A.history(spark, sf)
+        postings, f"{folder}/history", f"{folder}/progress", analyse, wall_clock(NOW), A.history(spark, sf)
     ).awaitTermination()
     return ingest.history_state(spark, f"{folder}/history").select("job_link", "status", "last_processed_at")
 
