@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from garimpo import rules
-from garimpo.functions.text import fold_text, let
+from garimpo.functions.text import fold_text, let, matches_any
 
 Rules = Sequence[tuple[str, str]]
 
 
 def _rule_hits(folded: Column, table: Rules) -> list[Column]:
-    # (?U): \b \w \s \d see every script, as they do in Python patterns.
-    return [F.when(folded.rlike("(?U)" + pattern), F.lit(label)) for label, pattern in table]
+    return [F.when(matches_any(folded, (pattern,)), F.lit(label)) for label, pattern in table]
 
 
 def platform_contains(

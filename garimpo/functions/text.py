@@ -16,6 +16,8 @@ from functools import cache
 
 from pyspark.sql import Column, functions as F
 
+from garimpo import rules
+
 # Characters Python's str.strip() removes: every code point with isspace().
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
@@ -155,8 +157,14 @@ def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
 
 
 def matches_any(text: Column, patterns: tuple[str, ...]) -> Column:
-    """One alternation: a single regex pass when only the boolean is needed."""
-    return text.rlike("(?U)(?:" + "|".join(patterns) + ")")
+    """One alternation: a single regex pass when only the boolean is needed.
+
+    (?U): \\b \\w \\s \\d see every script, as they do in Python patterns.
+    """
+    hit = text.rlike("(?U)(?:" + "|".join(patterns) + ")")
+    key = patterns[0] if len(patterns) == 1 else patterns
+    words = rules.NEEDED_WORDS.get(key)
+    return contains_any(text, words) & hit if words else hit
 
 
 def text_contains(haystack: list[Column], query: str) -> Column:

@@ -53,6 +53,30 @@ def test_labels_equal_python_regex(values):
     assert found[1] == []
 
 
+def test_needed_words_never_change_a_result(values):
+    """Random strings over the vocabulary of all patterns: words first, then the regex, equals the regex."""
+    dice = random.Random(8)
+    pieces = (
+        "pj pessoa juridica prestador prestadora de servicos prestacao nf nota fiscal emitir cnpj empresa aberta freelancer "
+        "freela freelancing autonomo cooperado self employed - / valor hora $ usd 45 4,5 hr hour h per contractor 1099 c2c "
+        "corp to w2 w-2 contract : role hire estagio temporario budget faturamento hibrido hybrid presencial presenciais on "
+        "site in office work location of this is dias no escritorio remoto remote remotamente home homeoffice teletrabalho "
+        "anywhere qualquer lugar x"
+    ).split()
+    rows = [
+        dice.choice(["", " "]).join(dice.choice(pieces) + dice.choice(["", " ", "-"]) for _ in range(dice.randrange(1, 6)))
+        for _ in range(3000)
+    ]
+    table = rules.STRONG_RULES + rules.HINT_RULES
+    found = values(lambda t: labels.hint_labels(t, text.blank_to_null(t)), rows, "t string")
+    plain = [[n for n, p in table if re.search(p, r)] for r in rows]
+    assert [[n for n in f if not n.startswith(rules.PLATFORM_LABEL)] for f in found] == plain
+    for patterns in (rules.ONSITE_PATTERNS, rules.REMOTE_PATTERNS):
+        hits = values(lambda t: text.matches_any(t, patterns), rows, "t string")
+        assert hits == [any(re.search(p, r) for p in patterns) for r in rows]
+        assert True in hits and False in hits
+
+
 def test_platform_order_and_word_boundary(values):
     rows = ["Turing", "Hire Feed", "X-Team", "x team", "Manufacturing", "ACME", "", None, "Upwork Turing"]
     assert values(labels.platform_contains, rows, "c string") == [

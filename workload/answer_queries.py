@@ -426,7 +426,7 @@ def _title_scorer(row) -> str:
 @query(
     "scorer_hook",
     A.with_postings(
-        f"""SELECT job_link, CASE WHEN k % 11 = 0 THEN 50 ELSE least(100, length(job_title) * 3) END AS match_score,
+        f"""SELECT job_link, CASE WHEN k % 11 = 0 THEN 50 ELSE CAST(least(100, length(job_title) * 3) AS INT) END AS match_score,
           CASE WHEN k % 11 = 0 THEN '{rules.FALLBACK_VERDICT}' ELSE 'scored' END AS verdict FROM postings"""
     ),
 )
