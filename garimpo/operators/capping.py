@@ -7,16 +7,25 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from garimpo.operators.dedupe import keep_first
+from garimpo.operators.ranking import position_in_group
 from garimpo.runtime import cut_lineage
 
 
+SMALL_CAP = 10_000
+
+
 def limit_cap(df: DataFrame, cap: int, group: str = "search_group", order: str = "collect_seq",
-              salts: int = 64) -> DataFrame:
+              salts: int = 64, small_cap: int = SMALL_CAP) -> DataFrame:
     """First ``cap`` rows of each group.
 
-    Two rounds: within (group, salt), then within the group. A group of any size is
-    thus cut by many tasks, and the last round sees at most ``salts * cap`` rows of it.
+    A small cap takes two rounds: within (group, salt), then within the group. A group
+    of any size is thus cut by many tasks, and the last round sees at most
+    ``salts * cap`` rows of it. A larger cap numbers the rows block by block instead,
+    where no task ever holds a whole group.
     """
+    if cap > small_cap:
+        placed = position_in_group(df, F.col(group), order, "_position", "job_link")
+        return placed.filter(F.col("_position") <= cap).select(*df.columns)
     salted = df.withColumn("salt", F.pmod(F.xxhash64(order, "job_link"), F.lit(salts)))
     by_salt = Window.partitionBy(group, "salt").orderBy(order, "job_link")
     by_group = Window.partitionBy(group).orderBy(order, "job_link")

@@ -11,38 +11,39 @@ from garimpo.runtime import cut_lineage
 BLOCK = 1 << 20
 
 
-def rank_by_score(df: DataFrame, score: Column, seq: str = "collect_seq", rank: str = "rank",
-                  block: int = BLOCK) -> DataFrame:
-    """1-based position by score (descending), then by the unique integer ``seq``.
+def position_in_group(df: DataFrame, group: Column, seq: str, position: str, *ties: str,
+                      block: int = BLOCK) -> DataFrame:
+    """1-based position within a group by the integer ``seq``, for groups of any size.
 
-    Rows are counted per (score, seq block). As ``seq`` is unique, a block holds at
-    most ``block`` rows whatever the skew, so ranks inside a block are cheap windows;
-    block starts are running sums over the small table of counts.
+    Rows are counted per (group, seq block). As ``seq`` is unique in a group, a block
+    holds at most ``block`` rows whatever the skew, so numbering inside a block is a
+    cheap window; block starts are running sums over the small table of counts.
     """
-    keyed = df.withColumn("_score", score).withColumn(
+    keyed = df.withColumn("_group", group).withColumn(
         "_block", F.floor(F.col(seq) / F.lit(block)).cast("long")
     )
-    counts = keyed.groupBy("_score", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    per_score = counts.groupBy("_score").agg(F.sum("_n").alias("_n"))
-    score_start = per_score.select(
-        "_score",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy(F.desc("_score")).rowsBetween(
-                Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_score_start"),
-    )
-    block_start = counts.select(
-        "_score", "_block",
-        F.coalesce(
-            F.sum("_n").over(Window.partitionBy("_score").orderBy("_block").rowsBetween(
-                Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_block_start"),
-    ).join(score_start, "_score")
-    inside = Window.partitionBy("_score", "_block").orderBy(seq)
+    counts = keyed.groupBy("_group", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_group", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_group", "_block").orderBy(seq, *ties)
     return (
         keyed.withColumn("_pos", F.row_number().over(inside))
-        .join(block_start, ["_score", "_block"])
-        .withColumn(rank, F.col("_score_start") + F.col("_block_start") + F.col("_pos"))
+        .join(starts, ["_group", "_block"])
+        .withColumn(position, F.col("_start") + F.col("_pos"))
+        .drop("_block", "_pos", "_start")
+    )
+
+
+def rank_by_score(df: DataFrame, score: Column, seq: str = "collect_seq", rank: str = "rank",
+                  block: int = BLOCK) -> DataFrame:
+    """1-based position by score (descending, few distinct values), then by the unique ``seq``."""
+    placed = position_in_group(df, score, seq, rank, block=block)
+    per_score = df.groupBy(score.alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    higher = Window.orderBy(F.desc("_group")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_score.select("_group", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_higher"))
+    return (
+        placed.join(starts, "_group")
+        .withColumn(rank, F.col("_higher") + F.col(rank))
         .select(*df.columns, rank)
     )
 

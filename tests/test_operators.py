@@ -62,6 +62,14 @@ def test_caps_against_brute_force(spark, cap):
     assert rows_of(capping.cap_per_group(df, cap), *columns) == sorted(single)
 
 
+def test_large_cap_equals_small_cap(spark):
+    _, df = skewed_listings(spark)
+    columns = ("search_group", "collect_seq", "job_link")
+    blocks = capping.limit_cap(df, 30, small_cap=0)
+    assert rows_of(blocks, *columns) == rows_of(capping.limit_cap(df, 30, salts=5), *columns)
+    assert blocks.columns == df.columns
+
+
 def test_ranks_of_skewed_scores(spark):
     dice = random.Random(1)
     rows = [(i * 37 + (1 << 33) * (i % 3), 70 if dice.random() < 0.4 else dice.randrange(101)) for i in range(800)]
@@ -270,6 +278,21 @@ def test_prototypes(spark):
     assert found[4].score_clt is None
 
 
+def test_flow_without_contract_gate(spark):
+    from garimpo.plans import flow
+    from workload import adapter as A
+
+    postings = A.postings(spark, "/root/testdata/sf0.001")
+    settings = flow.TriageSettings(contract_type=" Estágio ")
+    assert flow.TriageSettings(contract_type=" CLT ").gated and not settings.gated
+    collected = flow.collect(postings, None, None, settings)
+    assert {tuple(r) for r in collected.select("contract_type", "score_clt", "contract_evidence").distinct().collect()} == {
+        (" Estágio ", None, rules.EVIDENCE_NO_GATE)
+    }
+    undecided = flow.collect(postings, None, None)
+    assert {r.inferred_contract_type for r in undecided.select("inferred_contract_type").distinct().collect()} == {"INDEFINIDO"}
+
+
 def test_counts(spark):
     df = spark.createDataFrame([(["a", "b"],), (["a"],), ([],)], "labels array<string>")
     assert tuple(counts.label_coverage(df).first()) == (2, 3)
