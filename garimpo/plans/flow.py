@@ -146,25 +146,28 @@ def run_counts(collected: DataFrame, match_best: DataFrame,
     )
 
 
-def collect_discards(new: DataFrame, contract_best: DataFrame | None,
-                     settings: TriageSettings = TriageSettings()) -> DataFrame:
-    """Postings that collection drops, with ``stage`` and ``reason``."""
-    judged = collect_verdict(new, settings)
-    early = judged.filter(F.col("reason").isNotNull()).select(
-        "job_link", F.lit("collect").alias("stage"), "reason"
-    )
-    suitable = judged.filter(F.col("reason").isNull()).drop("reason")
-    refused = decide_contract(label_postings(suitable), contract_best, settings).filter(~F.col("accepted"))
-    return early.unionByName(
-        refused.select("job_link", F.lit("contract").alias("stage"), F.lit("contract type").alias("reason"))
+def judge(new: DataFrame, contract_best: DataFrame | None,
+          settings: TriageSettings = TriageSettings()) -> DataFrame:
+    """Every posting with the ``stage`` and ``reason`` collection drops it for, NULL if kept.
+
+    One pass; stage the result (``runtime.stage``) to both count and go on with it.
+    """
+    text = scan_text(F.col("job_title"), F.col("company"), F.col("description"))
+    found = F.when(F.col("reason").isNull(), strong_labels(text, F.col("company")))
+    labels = F.coalesce(found, F.array().cast("array<string>"))
+    labelled = computed_once(collect_verdict(new, settings), {"labels": labels})
+    refused = F.col("reason").isNull() & ~F.col("accepted")
+    stage = F.when(refused, "contract").when(F.col("reason").isNotNull(), "collect")
+    return decide_contract(labelled, contract_best, settings).select(
+        "collect_seq", "job_link", "job_title", "company", stage.alias("stage"),
+        F.coalesce("reason", F.when(refused, F.lit("contract type"))).alias("reason"),
     )
 
 
 def scope_discards(collected: DataFrame, match_best: DataFrame) -> DataFrame:
     """Unique postings that analysis drops: by title rule, or by an incompatible role."""
-    judged = dedupe_reposts(collected.select("collect_seq", "job_link", "job_title", "company")).withColumn(
-        "reason", title_scope_reason(F.col("job_title"))
-    )
+    unique = dedupe_reposts(collected.select("collect_seq", "job_link", "job_title", "company"))
+    judged = computed_once(unique, {"reason": title_scope_reason(F.col("job_title"))})
     resolved = response_resolve(judged, match_best)
     role = F.when(~F.col("core_role_compatible"), F.lit("core role"))
     return resolved.select(

@@ -639,11 +639,10 @@ def stage_counts(spark, sf):
 )
 def discard_reasons(spark, sf):
     new = history.known_link_anti(_run_postings(spark, sf), A.history(spark, sf))
-    contract, match = answered.best_contract(spark, sf), answered.best_match(spark, sf)
-    collected = flow.collect(new, None, contract, keep_description=False)
-    return counts.discard_reasons(
-        flow.collect_discards(new, contract).unionByName(flow.scope_discards(collected, match))
-    )
+    judged = runtime.stage(flow.judge(new, answered.best_contract(spark, sf)), "judged")
+    early = judged.filter("reason is not null").select("job_link", "stage", "reason")
+    scope = flow.scope_discards(judged.filter("reason is null"), answered.best_match(spark, sf))
+    return counts.discard_reasons(early.unionByName(scope))
 
 
 _COVER = A.sql_labels("scan", "company", rules.STRONG_RULES)
