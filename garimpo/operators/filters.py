@@ -30,13 +30,13 @@ def workplace_filter(
     return df.filter(workplace_matches(F.col("location"), model, places))
 
 
-def remote_conflict(df: DataFrame) -> Column:
+def remote_conflict() -> Column:
     """In a remote search, a description that declares on-site or hybrid work only."""
     return (fold_text(F.col("workplace_type")) == "remoto") & conflicts_with_remote(F.col("description"))
 
 
 def remote_conflict_filter(df: DataFrame) -> DataFrame:
-    return df.filter(~remote_conflict(df))
+    return df.filter(~remote_conflict())
 
 
 def closed_filter(df: DataFrame, closed: str = "is_closed") -> DataFrame:

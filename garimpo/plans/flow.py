@@ -14,10 +14,11 @@ from garimpo import rules
 from garimpo.functions.contract import contract_decision, ungated_contract
 from garimpo.functions.labels import hint_labels, strong_labels, title_scope_reason
 from garimpo.functions.numbers import is_relevant
-from garimpo.functions.places import PlaceRules, conflicts_with_remote, workplace_matches
-from garimpo.functions.text import fold_text, fold_word, scan_text
+from garimpo.functions.places import PlaceRules, workplace_matches
+from garimpo.functions.text import fold_word, scan_text
 from garimpo.operators.dedupe import dedupe_reposts
 from garimpo.operators.columns import computed_once
+from garimpo.operators.filters import closed_filter, remote_conflict, workplace_filter
 from garimpo.operators.history import known_link_anti
 from garimpo.operators.resolve import response_resolve
 
@@ -37,16 +38,13 @@ class TriageSettings:
 
 def collect_verdict(postings: DataFrame, settings: TriageSettings = TriageSettings()) -> DataFrame:
     """Adds ``reason``: why the posting is not collected (place, closed, work model)."""
-    remote = fold_text(F.col("workplace_type")) == "remoto"
     reason = F.when(
         ~workplace_matches(F.col("location"), F.col("workplace_type"), settings.places), "location"
     )
     if "is_closed" in postings.columns:
         reason = reason.when(F.coalesce("is_closed", F.lit(False)), "closed")
-    reason = reason.when(
-        remote & conflicts_with_remote(F.col("description")), "remote conflict"
-    )
-    return postings.withColumn("reason", reason)
+    reason = reason.when(remote_conflict(), "remote conflict")
+    return computed_once(postings, {"reason": reason})
 
 
 def label_postings(postings: DataFrame, hints: bool = False) -> DataFrame:
@@ -102,11 +100,18 @@ def collect(postings: DataFrame, history: DataFrame | None, contract_best: DataF
             settings: TriageSettings = TriageSettings(), keep_description: bool = True) -> DataFrame:
     """New, suitable, open postings whose contract type is accepted.
 
-    Postings a strong label rejects leave before the join with the answers. The
-    description is by far the widest column: without it, no later shuffle carries it.
+    The short location text is judged first, in or next to the scan; known links leave
+    before any description is read; postings a strong label rejects leave before the
+    join with the answers. The description is by far the widest column: without it, no
+    later shuffle carries it.
     """
-    new = postings if history is None else known_link_anti(postings, history)
-    suitable = collect_verdict(new, settings).filter(F.col("reason").isNull()).drop("reason")
+    suitable = workplace_filter(postings, places=settings.places)
+    if "is_closed" in postings.columns:
+        suitable = closed_filter(suitable)
+    if history is not None:
+        suitable = known_link_anti(suitable, history)
+    conflict = computed_once(suitable, {"_conflict": remote_conflict()})
+    suitable = conflict.filter(~F.col("_conflict")).drop("_conflict")
     if settings.gated:
         suitable = needs_answer(label_postings(suitable))
     decided = decide_contract(suitable, contract_best, settings)
