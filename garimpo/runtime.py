@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +12,12 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and staged tables: the one named by the session.
 
-    Only a local session may go without; it gets a temporary folder.
+    A session that names none gets a subfolder of its warehouse, whatever its master.
     """
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="garimpo-")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_garimpo"
     spark.conf.set(_SETTING, folder)
     return folder
 
@@ -29,6 +26,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that `new_folder` named, once nothing reads it any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later plans start from stored rows, and survive lost executors."""
     spark = df.sparkSession
@@ -39,6 +42,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: for results several sinks use (e.g. hook answers)."""
-    path = new_folder(df.sparkSession, name)
+    return stage_at(df, new_folder(df.sparkSession, name))
+
+
+def stage_at(df: DataFrame, path: str) -> DataFrame:
+    """`stage` into a folder the caller drops when it is done with it."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
