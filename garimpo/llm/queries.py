@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.llm import exact_dedup, language, mixing, packing, sharding
+from garimpo.llm import exact_dedup, language, mixing, ngram_join, packing, sharding
 from garimpo.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": _over("documents", exact_dedup.exact_groups),
     "op4_language_id": _over("documents", language.predicted_languages),
     "op6_sharding": _over("documents", sharding.balanced_shards),
+    "op7_ngram_join": _over("documents", ngram_join.near_duplicates),
     "op8_mixing": _over("documents", mixing.mixed_documents),
     "op10_packing": _over("documents", packing.packed_documents),
 }
