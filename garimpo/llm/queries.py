@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, sharding
+from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, sharding, suffix_dedup
 from garimpo.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": _over("documents", suffix_dedup.repeated_spans),
     "op2_cover_tree": _over("embeddings", cover_tree.near_pairs),
     "op3_exact_dedup": _over("documents", exact_dedup.exact_groups),
     "op4_language_id": _over("documents", language.predicted_languages),
