@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, sharding, suffix_dedup
+from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, sharding, suffix_dedup, warc
 from garimpo.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,10 @@ QUERIES: dict[str, Query] = {
     "op2_cover_tree": _over("embeddings", cover_tree.near_pairs),
     "op3_exact_dedup": _over("documents", exact_dedup.exact_groups),
     "op4_language_id": _over("documents", language.predicted_languages),
+    "op5_warc": _over("pages", warc.archived),
     "op6_sharding": _over("documents", sharding.balanced_shards),
     "op7_ngram_join": _over("documents", ngram_join.near_duplicates),
     "op8_mixing": _over("documents", mixing.mixed_documents),
     "op10_packing": _over("documents", packing.packed_documents),
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
