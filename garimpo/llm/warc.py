@@ -25,6 +25,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -286,11 +287,7 @@ def merged_index(found: DataFrame, block_rows: int = 2048, range_rows: int = 1 <
             out: list[tuple] = []
             place = 0
 
-            def chained(first: dict = row) -> Iterator[dict]:
-                yield first
-                yield from source
-
-            for entry in merged(blocks(chained())):
+            for entry in merged(blocks(chain([row], source))):
                 out.append(entry[3])
                 if len(out) == 8192:
                     yield _placed(out, state["range"], place)
