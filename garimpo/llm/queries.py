@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, sharding, suffix_dedup, warc
+from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, sharding, suffix_dedup, warc, wrappers
 from garimpo.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": _over("documents", sharding.balanced_shards),
     "op7_ngram_join": _over("documents", ngram_join.near_duplicates),
     "op8_mixing": _over("documents", mixing.mixed_documents),
+    "op9_html_wrappers": _over("pages", wrappers.main_texts),
     "op10_packing": _over("documents", packing.packed_documents),
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
