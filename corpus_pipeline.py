@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo import runtime
-from garimpo.llm import exact_dedup, language, mixing, packing
+from garimpo.llm import exact_dedup, language, mixing, ngram_join, packing
 from garimpo.llm.common import read_table
 
 ORACLE_SQL = None  # no stage but the second can be said in SQL; tests compare with brute force
@@ -30,12 +30,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _keep(docs, exact_dedup.exact_groups(docs).filter("kept").select("doc_id"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that similar shingle sets connect the one with the least doc_id stays."""
+    return _keep(docs, ngram_join.near_duplicates(docs).filter("kept").select("doc_id"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or several times."""
     found = mixing.mixed_documents(docs).filter("copies > 0")
-    copies = found.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    copies = found.groupBy("doc_id").agg(F.max("copies").alias("__mix_copies"))
     return (
-        docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+        docs.join(copies, "doc_id").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
     )
 
 
@@ -48,6 +53,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language", identify_language),
     ("exact", drop_exact_copies),
+    ("near", drop_near_copies),
     ("mix", mix_sources),
     ("pack", pack_bins),
 ]

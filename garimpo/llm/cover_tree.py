@@ -15,9 +15,9 @@ work is the number of its pairs, but no row is made for a pair.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components,
 and those without a label, link with nothing, nor do vectors of unequal lengths; equal vectors
-link with each other; rows that repeat a vec_id are one node of the links and each counts the
-other rows; a null vec_id gets null as component and links nothing together; other columns are
-ignored; an empty table gives an empty result.
+link with each other; rows that repeat a vec_id are rows of their own; a null vec_id takes part but
+names no component, so without any other it gets null; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -243,9 +243,9 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.98, leaf_rows: int = 1024,
     classes = named.filter("key IS NOT NULL").groupBy("key").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("unit").alias("unit")
     )
-    classes = runtime.stage(classes.withColumn("tree", F.xxhash64("label", F.size("unit"))), "classes")
-    trees = classes.filter("rep IS NOT NULL")
-    placed, levels = leaves(trees.select("tree", "rep", "unit", "copies"), leaf_rows, fan, depth)
+    classes = classes.withColumn("tree", F.xxhash64("label", F.size("unit"))).withColumnRenamed("rep", "name")
+    classes = runtime.stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    placed, levels = leaves(classes.select("tree", "rep", "unit", "copies"), leaf_rows, fan, depth)
     pairs = node_pairs(levels, chord)
     # a leaf still too large is cut by a hash; its parts meet each other and all that the leaf meets
     cuts = levels[-1].select("node", F.ceil(F.col("n") / leaf_rows).cast("int").alias("cuts"))
@@ -291,9 +291,10 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.98, leaf_rows: int = 1024,
 
     found = runtime.stage(pairing.compared(met, ["a", "b", "i", "j"], compare), "links")
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "rep")
-    roots = common.components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), "root")
-    known = classes.select("key", "rep", "copies").join(counts, "rep", "left").join(roots, "rep", "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "rep", "vec_id"))
+    roots = runtime.stage(common.components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep"), "roots")
+    names = classes.join(roots, "rep").groupBy("root").agg(F.min("name").alias("least"))
+    known = classes.select("key", "rep", "name", "copies").join(counts, "rep", "left").join(roots.join(names, "root"), "rep", "left")
+    component = F.coalesce("least", "name", "vec_id")
     return named.select("vec_id", "key").join(known, "key", "left").select(
         "vec_id", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"),

@@ -11,8 +11,8 @@ A member meets only members whose set sizes allow the threshold: sizes fall into
 ratio 1.25, and a pair lies in the same class or in neighbouring ones.
 
 Defined cases: a text without words (null, empty, white space) links with nothing; rows that
-repeat a doc_id, or a text, are rows of one class; a row without doc_id joins the class of
-its equals, but never names one; other columns are ignored; an empty table gives an empty
+repeat a doc_id or a text are rows of their own; a row without doc_id joins the class of its
+equals, but links with no other and never names a class; other columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -69,23 +69,23 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, rep): 32 rows a class."""
+    """(band, cid): 32 rows a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rep = batch.column(0).to_numpy()
+            cid = batch.column(0).to_numpy()
             values = np.stack([np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(1)])  # two values a word
-            pairs = values.reshape(len(rep), BANDS, -1)
-            band = np.full((len(rep), BANDS), np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+            pairs = values.reshape(len(cid), BANDS, -1)
+            band = np.full((len(cid), BANDS), np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
             for i in range(pairs.shape[2]):
                 band = shingles.mixed(band ^ pairs[:, :, i])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(band.view(np.int64).ravel()), pa.array(np.repeat(rep, BANDS))], names=["band", "rep"]
+                [pa.array(band.view(np.int64).ravel()), pa.array(np.repeat(cid, BANDS))], names=["band", "cid"]
             )
 
-    return classes.select("rep", "sketch").mapInArrow(run, "band long, rep long")
+    return classes.select("cid", "sketch").mapInArrow(run, "band long, cid long")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,17 +159,18 @@ def near_duplicates(
     rows = runtime.stage(sketches(docs, width), "sketches")
     classes = runtime.stage(
         rows.filter("key IS NOT NULL").groupBy("key")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
     bands = _bands(classes.filter("rep IS NOT NULL"))
-    buckets = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    stars = bands.join(buckets, "band").filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    buckets = bands.groupBy("band").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    stars = bands.join(buckets, "band").filter("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     together = common.components(stars.distinct())
     # every set with a candidate: its group, size class and block
     ratio = np.log(den / num)
     members = (
-        classes.join(together, F.col("rep") == F.col("node")).select("rep", "key", "copies", "n", "sketch", F.col("root").alias("grp"), F.floor(F.log("n") / F.lit(float(ratio))).cast("int").alias("cls"))
+        classes.join(together, F.col("cid") == F.col("node")).select("cid", "rep", "key", "copies", "n", "sketch", F.col("root").alias("grp"), F.floor(F.log("n") / F.lit(float(ratio))).cast("int").alias("cls"))
     )
     members = runtime.stage(members, "members")
     blocks = members.groupBy("grp", "cls").agg(
@@ -179,7 +180,7 @@ def near_duplicates(
     dealt = members
     for side in around:
         dealt = dealt.join(side, ["grp", "cls"], "left")
-    block = F.pmod(F.xxhash64("rep"), F.col("own")).cast("int")
+    block = F.pmod(F.xxhash64("cid"), F.col("own")).cast("int")
 
     def met(size: str, lower: str, cls: int) -> Column:
         """Tasks (class of the lower block, its block, the other block, is the row in the other)."""
@@ -195,7 +196,7 @@ def near_duplicates(
     texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL AND text IS NOT NULL")
     met_rows = dealt.withColumn("m", F.explode(meetings)).select(
         "grp", F.col("m.c").alias("c"), F.col("m.cross").alias("cross"), F.col("m.i").alias("i"), F.col("m.j").alias("j"),
-        "rep", "key", "copies", "n", "sketch", "cls", "block",
+        "cid", "rep", "key", "copies", "n", "sketch", "cls", "block",
     )
     met_rows = met_rows.join(texts, "rep")
 
@@ -207,7 +208,7 @@ def near_duplicates(
                 sets.append(s)
                 first.append(at)
         table = table.take(first)
-        ids, copies, sizes, cls, own = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "copies", "n", "cls", "block"))
+        ids, copies, sizes, cls, own = (table.column(c).to_numpy().astype(np.int64) for c in ("cid", "copies", "n", "cls", "block"))
         counts = np.zeros(len(ids), np.int64)
         nothing = np.empty(0, np.int64)
         if len(ids) < 2:
@@ -221,11 +222,12 @@ def near_duplicates(
         np.add.at(counts, b, copies[a])
         return ids, counts, a, b
 
-    found = runtime.stage(pairing.compared(met_rows.select("grp", "c", "cross", "i", "j", "rep", "key", "copies", "n", "sketch", "cls", "block", "text"), ["grp", "c", "cross", "i", "j"], compare), "links")
-    counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "rep")
-    roots = common.components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), "root")
-    named = classes.select("key", "rep", "copies").join(counts, "rep", "left").join(roots, "rep", "left")
-    class_id = F.coalesce("root", "rep", "doc_id")
+    found = runtime.stage(pairing.compared(met_rows.select("grp", "c", "cross", "i", "j", "cid", "key", "copies", "n", "sketch", "cls", "block", "text"), ["grp", "c", "cross", "i", "j"], compare), "links")
+    counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "cid")
+    roots = runtime.stage(common.components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "cid"), "roots")
+    names = classes.join(roots, "cid").groupBy("root").agg(F.min("rep").alias("name"))
+    named = classes.select("key", "cid", "rep", "copies").join(counts, "cid", "left").join(roots.join(names, "root"), "cid", "left")
+    class_id = F.coalesce("name", "rep", "doc_id")
     return rows.join(named, "key", "left").select(
         "doc_id", class_id.alias("class_id"), F.coalesce("rep", "doc_id").alias("set_id"),
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),

@@ -118,7 +118,7 @@ def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = 2048, p
     larger ones, take more documents.
     """
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"),
         size.cast("long").alias("words"), cluster.alias("cluster"),
     )
     rows = runtime.stage(rows, "to_pack")
@@ -145,8 +145,9 @@ def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = 2048, p
         held["bin_offset"] = [o for _, o in placed]
         yield held[["doc_id", "source", "piece", "size", "pack_group", "bin", "bin_offset", "cluster"]]
 
-    kind = "doc_id long, source string, piece long, size long, pack_group long, bin long, bin_offset long, cluster string"
-    return rows.groupBy("pack_group").applyInPandas(run, kind)
+    kind = "doc_id string, source string, piece long, size long, pack_group long, bin long, bin_offset long, cluster string"
+    # numbers travel as text: with a null among them pandas would make doubles of them
+    return rows.groupBy("pack_group").applyInPandas(run, kind).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def packed_documents(docs: DataFrame, **options: int) -> DataFrame:
