@@ -49,7 +49,11 @@ class Tree:
             self._add(centres, parents, owner)
             radius /= 2
         if len(centres) < len(x):
-            self._add(np.arange(len(x)), owner, np.arange(len(x)))
+            # nodes of a level stay in the order of their parents, so that a <= b holds for children too
+            order = np.argsort(owner, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(x))
+            self._add(order, owner[order], place)
 
     def _add(self, centres: np.ndarray, parents: np.ndarray, owner: np.ndarray) -> None:
         far = np.zeros(len(centres))
