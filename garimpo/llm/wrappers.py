@@ -58,6 +58,7 @@ ASIDE_WORDS = frozenset(
     "login share sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager widget toolbar "
     "copyright legal skip search complementary contentinfo form".split()
 )
+HEAD = "^"
 CORE_TAGS = frozenset(("html", "body", "article", "main"))
 
 
@@ -221,7 +222,7 @@ def _is_core(label: str) -> int:
 
 
 def judged(wrapper: list, stats: dict[str, tuple[int, int, int, int]]) -> list[str]:
-    """Paths of the wrapper's article slots; stats: path -> pages, characters, linked ones, texts (2: several)."""
+    """Paths of the wrapper's article slots, those of headlines before it marked; stats: path -> pages, characters, linked ones, texts (2: several)."""
     slots: list[tuple[str, int, bool]] = []  # path, core, aside
 
     def holds_core(node: list) -> bool:
@@ -248,7 +249,7 @@ def judged(wrapper: list, stats: dict[str, tuple[int, int, int, int]]) -> list[s
         if sum(stats.get(p, (0, 0, 0, 0))[1] for p in inside):
             # the headline may stand before the article
             heads = {p for p, _, aside in slots if not aside and p.rsplit("/", 1)[-1].split(".")[0] == "h1" and mass[p]}
-            return sorted(inside | heads)
+            return sorted(inside) + [HEAD + p for p in sorted(heads - inside)]
     # the deepest element with most of the text
     total, best = sum(mass.values()), ""
     holders = {"/".join(p.split("/")[:i]) for p in mass for i in range(1, len(p.split("/")) + 1)}
@@ -259,12 +260,10 @@ def judged(wrapper: list, stats: dict[str, tuple[int, int, int, int]]) -> list[s
 
 
 def main_text(page: Page, paths: frozenset[str]) -> str:
-    found = [t for p, t, _ in page.blocks if p in paths]
-    if not found and page.blocks:
+    if page.blocks and not any(p in paths for p, _, _ in page.blocks):
         own = {p: (1, c, n, 2) for p, (_, c, n, _) in _sums(page).items()}
-        chosen = frozenset(judged(folded(page.root), own))
-        found = [t for p, t, _ in page.blocks if p in chosen]
-    return "\n".join(found)
+        paths = frozenset(judged(folded(page.root), own))
+    return "\n".join(t for p, t, _ in page.blocks if p in paths or HEAD + p in paths)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
