@@ -7,12 +7,6 @@ from pyspark.sql import Column, functions as F
 from garimpo import rules
 from garimpo.functions.numbers import round2
 
-CONTRACT_TYPE = (
-    "struct<inferred_contract_type:string,accepted:boolean,score_clt:double,"
-    "score_non_clt:double,contract_margin:double,contract_evidence:string>"
-)
-
-
 def _outcome(inferred: Column, accepted: Column, clt: Column, non_clt: Column, evidence: Column) -> Column:
     nothing = F.lit(None).cast("double")
     return F.struct(
@@ -30,7 +24,7 @@ def evidence_text(answer: Column, threshold: float = rules.DISCARD_CONFIDENCE) -
     confidence = answer["confidence"]
     base = F.rtrim(
         F.format_string(
-            "[LLM] regime=%s confidence=%.2f. %s", answer["regime"], confidence, answer["evidence"]
+            "[LLM] regime=%s confidence=%.2f. %s", answer["regime"], round2(confidence), answer["evidence"]
         )
     )
     doubtful = answer["regime"].isin(*rules.NON_CLT_REGIMES) & (confidence < threshold)

@@ -13,8 +13,21 @@ def as_float(value: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+# Between two hundredths: the double next to the middle, and where it rounds to itself.
+_MIDDLES = [(2 * i + 1) / 200 for i in range(100)]
+_MIDDLE_UP = [round(m, 2) > i / 100 for i, m in enumerate(_MIDDLES)]
+
+
 def round2(value: Column) -> Column:
-    return F.bround(value, 2)
+    """Nearest hundredth of the binary value, as a float rounds: 0.695 is below 0.695 and gives 0.69.
+
+    Exact for 0 to 1, where confidences lie; other values are rounded by their decimal text.
+    """
+    below = F.least(F.greatest(F.floor(value * 100), F.lit(0)), F.lit(99)).cast("int")
+    middle = F.get(F.array(*map(F.lit, _MIDDLES)), below)
+    up = (value > middle) | ((value == middle) & F.get(F.array(*map(F.lit, _MIDDLE_UP)), below))
+    exact = (below + F.when(up, 1).otherwise(0)) / F.lit(100.0)
+    return F.when((value >= 0) & (value <= 1), exact).otherwise(F.bround(value, 2))
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

@@ -2,43 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from garimpo.operators.dedupe import keep_first
+from garimpo import runtime
+from garimpo.operators.dedupe import keep_first, nulls_last
 from garimpo.operators.ranking import position_in_group
-from garimpo.runtime import cut_lineage
-
 
-SMALL_CAP = 10_000
 
+def limit_cap(df: DataFrame, cap: int, group: str = "search_group", order: str = "collect_seq") -> DataFrame:
+    """First ``cap`` rows of each group by the integer ``order``, then by link.
 
-def limit_cap(df: DataFrame, cap: int, group: str = "search_group", order: str = "collect_seq",
-              salts: int = 64, small_cap: int = SMALL_CAP) -> DataFrame:
-    """First ``cap`` rows of each group.
-
-    A small cap takes two rounds: within (group, salt), then within the group. A group
-    of any size is thus cut by many tasks, and the last round sees at most
-    ``salts * cap`` rows of it. A larger cap numbers the rows block by block instead,
-    where no task ever holds a whole group.
+    Rows are numbered block by block, and blocks that begin beyond the cap are dropped
+    before anything is numbered: no task holds a whole group, whatever the cap. A NULL
+    group is a group, a NULL order comes last in its group.
     """
-    if cap > small_cap:
-        placed = position_in_group(df, F.col(group), order, "_position", "job_link")
-        return placed.filter(F.col("_position") <= cap).select(*df.columns)
-    salted = df.withColumn("salt", F.pmod(F.xxhash64(order, "job_link"), F.lit(salts)))
-    by_salt = Window.partitionBy(group, "salt").orderBy(order, "job_link")
-    by_group = Window.partitionBy(group).orderBy(order, "job_link")
-    few = salted.withColumn("rn", F.row_number().over(by_salt)).filter(F.col("rn") <= cap)
-    return (
-        few.withColumn("rn", F.row_number().over(by_group)).filter(F.col("rn") <= cap)
-        .drop("rn", "salt")
-    )
+    placed = position_in_group(df, F.col(group), order, "_position", "job_link", upto=cap)
+    return placed.filter(F.col("_position") <= cap).select(*df.columns)
 
 
 def own_group(df: DataFrame, group: str = "search_group", order: str = "collect_seq") -> DataFrame:
     """Each link once, in the earliest group that lists it."""
-    return keep_first(df, {"key_link": F.col("job_link")}, F.struct(group, order))
+    return keep_first(df, {"key_link": F.col("job_link")}, F.struct(*nulls_last(group), *nulls_last(order)))
 
 
 def cap_per_group(df: DataFrame, cap: int, group: str = "search_group",
@@ -51,23 +35,33 @@ def cap_per_group(df: DataFrame, cap: int, group: str = "search_group",
     return limit_cap(own_group(df, group, order), cap, group, order)
 
 
-def cap_per_group_greedy(df: DataFrame, cap: int, groups: Iterable[int], group: str = "search_group",
+def cap_per_group_greedy(df: DataFrame, cap: int, group: str = "search_group",
                          order: str = "collect_seq") -> DataFrame:
     """Exact sequential form: groups in turn, links accepted earlier are skipped.
 
-    Earlier groups accept at most ``cap`` links each, so only the first
-    ``len(groups) * cap`` links of a group can matter. That bounded slice is stored
-    once; the loop over the (configured, few) groups then reads nothing else.
+    The groups are those of the data, a NULL one last. All are cut together, round after
+    round: a round leaves out what the round before accepted in an earlier group. After n
+    rounds the first n groups are final, and a round that changes nothing ends the search;
+    where caps cut few shared links that is the second or third.
     """
-    groups = sorted(set(groups))
+    spark = df.sparkSession
     listed = keep_first(
-        df, {"key_group": F.col(group), "key_link": F.col("job_link")}, F.col(order)
+        df, {"key_group": F.col(group), "key_link": F.col("job_link")}, F.struct(*nulls_last(order))
     )
-    slice_ = cut_lineage(limit_cap(listed, cap * max(len(groups), 1), group, order))
-    taken = slice_.limit(0)
-    for g in groups:
-        mine = slice_.filter(F.col(group) == g)
-        if g != groups[0]:
-            mine = mine.join(taken.select("job_link"), "job_link", "left_anti").select(slice_.columns)
-        taken = cut_lineage(taken.unionByName(mine.orderBy(order, "job_link").limit(cap)))
-    return taken
+    listed = runtime.stage(listed, "listed")
+    place = F.struct(*nulls_last(group))
+    path = runtime.new_folder(spark, "accepted")
+    accepted = runtime.stage_at(limit_cap(listed, cap, group, order), path)
+    while True:
+        owner = accepted.groupBy(F.col("job_link").alias("_link")).agg(F.min(place).alias("_owner"))
+        allowed = listed.join(owner, F.col("job_link").eqNullSafe(F.col("_link")), "left").filter(
+            F.col("_owner").isNull() | (place <= F.col("_owner"))
+        ).select(*listed.columns)
+        new_path = runtime.new_folder(spark, "accepted")
+        new = runtime.stage_at(limit_cap(allowed, cap, group, order), new_path)
+        pair = [F.col(group), F.col("job_link")]
+        same = new.select(*pair).exceptAll(accepted.select(*pair)).isEmpty() and new.count() == accepted.count()
+        runtime.drop_folder(spark, path)
+        accepted, path = new, new_path
+        if same:
+            return accepted

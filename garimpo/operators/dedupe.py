@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from garimpo.functions.text import fold_text
 
 
+def nulls_last(*columns: str) -> list[Column]:
+    """Parts of an order in which a NULL comes after every value."""
+    return [part for c in columns for part in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+
+
 def keep_first(df: DataFrame, keys: dict[str, Column], order: Column, copies: str | None = None) -> DataFrame:
-    """One whole row per key: the one with the least ``order`` (unique per key).
+    """One whole row per key: the one with the least ``order`` (unique per key); a NULL is the last.
 
     ``copies`` names an extra column with the number of rows of the key.
     """
     row = F.struct(*[F.col(c) for c in df.columns])
-    aggregates = [F.min_by(row, order).alias("row")]
+    aggregates = [F.min_by(row, F.struct(order.isNull(), order)).alias("row")]  # a struct is never NULL
     if copies:
         aggregates.append(F.count(F.lit(1)).alias(copies))
     kept = df.groupBy(*[k.alias(n) for n, k in keys.items()]).agg(*aggregates)

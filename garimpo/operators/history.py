@@ -22,14 +22,14 @@ def _latest_of_batch(batch: DataFrame, order: str, relevant: Column) -> DataFram
     """Per link the last row; a batch normally holds a link once.
 
     A link counts as below the bar as soon as one of its rows is, because that row
-    would already have been stored as such.
+    would already have been stored as such. A NULL order is the least.
     """
     columns = [c for c in REFRESHED if c in batch.columns]
     row = F.struct(*columns)
     return (
         batch.filter(blank_to_null(F.col("job_link")).isNotNull())
         .groupBy("job_link")
-        .agg(F.max_by(row, F.col(order)).alias("new"), F.bool_and(relevant).alias("relevant"))
+        .agg(F.max_by(row, F.struct(F.col(order).isNotNull(), F.col(order))).alias("new"), F.bool_and(relevant).alias("relevant"))
     )
 
 
@@ -41,9 +41,13 @@ def history_upsert(prior: DataFrame, batch: DataFrame, now: Column, order: str =
     a new posting below the bar starts as 'irrelevant', other entries pass through.
     Both sides are hashed on ``job_link`` once: the batch aggregation and the join
     share that partitioning, and a history table bucketed on it is not shuffled.
+    Whether a posting is relevant is what the batch says in its column ``relevant``, if it
+    has one; else the default thresholds decide.
     """
     if relevant is None:
-        relevant = is_relevant(F.col("score_clt"), F.col("match_score"))
+        relevant = F.coalesce("relevant", F.lit(False)) if "relevant" in batch.columns else is_relevant(
+            F.col("score_clt"), F.col("match_score")
+        )
     new = _latest_of_batch(batch, order, relevant)
     old = prior.select("job_link", F.struct(*HISTORY_COLUMNS[1:]).alias("old"))
     joined = old.join(new, "job_link", "full_outer")

@@ -12,40 +12,45 @@ BLOCK = 1 << 20
 
 
 def position_in_group(df: DataFrame, group: Column, seq: str, position: str, *ties: str,
-                      block: int = BLOCK) -> DataFrame:
+                      block: int = BLOCK, upto: int | None = None) -> DataFrame:
     """1-based position within a group by the integer ``seq``, for groups of any size.
 
     Rows are counted per (group, seq block). As ``seq`` is unique in a group, a block
     holds at most ``block`` rows whatever the skew, so numbering inside a block is a
-    cheap window; block starts are running sums over the small table of counts.
+    cheap window; block starts are running sums over the small table of counts. Rows
+    without ``seq`` come last, by ``ties``. With ``upto``, blocks that begin beyond it are
+    left out before the window.
     """
+    last = F.lit((1 << 62) // block)
     keyed = df.withColumn("_group", group).withColumn(
-        "_block", F.floor(F.col(seq) / F.lit(block)).cast("long")
+        "_block", F.coalesce(F.floor(F.col(seq) / F.lit(block)).cast("long"), last)
     )
     counts = keyed.groupBy("_group", "_block").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_group", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_group", "_block").orderBy(seq, *ties)
+    starts = counts.select(
+        F.col("_group").alias("_g"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+    )
+    if upto is not None:
+        starts = starts.filter(F.col("_start") < upto)
+    inside = Window.partitionBy("_group", "_block").orderBy(F.col(seq).asc_nulls_last(), *ties)
     return (
-        keyed.withColumn("_pos", F.row_number().over(inside))
-        .join(starts, ["_group", "_block"])
-        .withColumn(position, F.col("_start") + F.col("_pos"))
-        .drop("_block", "_pos", "_start")
+        keyed.join(starts, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")))
+        .withColumn(position, F.col("_start") + F.row_number().over(inside))
+        .drop("_block", "_start", "_g", "_b")
     )
 
 
 def rank_by_score(df: DataFrame, score: Column, seq: str = "collect_seq", rank: str = "rank",
-                  block: int = BLOCK) -> DataFrame:
-    """1-based position by score (descending, few distinct values), then by the unique ``seq``."""
-    placed = position_in_group(df, score, seq, rank, block=block)
-    per_score = df.groupBy(score.alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
-    higher = Window.orderBy(F.desc("_group")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_score.select("_group", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_higher"))
-    return (
-        placed.join(starts, "_group")
-        .withColumn(rank, F.col("_higher") + F.col(rank))
-        .select(*df.columns, rank)
-    )
+                  ties: tuple[str, ...] = ("job_link",)) -> DataFrame:
+    """1-based position of every row by score (descending, NULL as 0), then by ``seq`` (NULL
+    last) and those of ``ties`` that the rows have.
+
+    One range-partitioned sort on all of them, so neither one score nor one place with most
+    rows is a task of its own.
+    """
+    order = [F.desc("_score"), F.col(seq).asc_nulls_last(), *[t for t in ties if t in df.columns]]
+    scored = df.withColumn("_score", F.coalesce(score, F.lit(0)))
+    return with_position(scored.orderBy(*order), rank).select(*df.columns, rank)
 
 
 def report_rank(df: DataFrame, seq: str = "collect_seq") -> DataFrame:

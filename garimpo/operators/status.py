@@ -29,12 +29,15 @@ def payload_problem() -> Column:
 def event_validation(events: DataFrame, history: DataFrame) -> DataFrame:
     """Events plus ``problem``: NULL is valid, else the first failing rule.
 
-    ``history`` must hold a link once; one outer join finds unknown links.
+    ``history`` must hold a link once; one outer join finds unknown links. Events that are
+    decided already, blank links among them, take no part in it.
     """
+    judged = events.withColumn("problem", payload_problem())
     known = history.select(F.col("job_link").alias("link"), F.lit(True).alias("_known"))
-    problem = F.coalesce(payload_problem(), F.when(F.col("_known").isNull(), F.lit(UNKNOWN_LINK)))
-    return events.join(known, "link", "left").withColumn("problem", problem).select(
-        *events.columns, "problem"
+    unknown = F.when(F.col("_known").isNull(), F.lit(UNKNOWN_LINK))
+    open_ = judged.filter(F.col("problem").isNull()).drop("problem").join(known, "link", "left")
+    return judged.filter(F.col("problem").isNotNull()).unionByName(
+        open_.withColumn("problem", unknown).select(*events.columns, "problem")
     )
 
 

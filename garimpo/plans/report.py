@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from garimpo import rules
+from garimpo import rules, runtime
 from garimpo.functions.render import report_row, report_section
 from garimpo.operators.ranking import report_rank
 
@@ -22,8 +22,9 @@ def report_lines(analysed: DataFrame, now: dt.datetime, min_clt: float = rules.M
     """Pieces ``(part, position, text)`` of the report on the relevant rows, unsorted.
 
     ``analysed`` carries the boolean ``relevant``. With nothing relevant the report
-    is just its head.
+    is just its head. Its input is stored once, as counts, ranks and rows all read it.
     """
+    analysed = runtime.stage(analysed, "report")
     shown = report_rank(analysed.filter("relevant"), seq)
     head = analysed.agg(F.count_if("relevant").alias("n"), F.count(F.lit(1)).alias("m")).select(
         F.lit(_HEAD).alias("part"), F.lit(0).cast("long").alias("position"),
@@ -34,7 +35,9 @@ def report_lines(analysed: DataFrame, now: dt.datetime, min_clt: float = rules.M
             "n", "m",
         ).alias("text"),
     )
-    rule = head.select(F.lit(_RULE).alias("part"), "position", F.lit("\n---").alias("text"))
+    rule = analysed.sparkSession.range(1).select(
+        F.lit(_RULE).alias("part"), F.lit(0).cast("long").alias("position"), F.lit("\n---").alias("text")
+    )
     pieces = F.array(
         F.struct(F.lit(_ROW).alias("part"), report_row().alias("text")),
         F.struct(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from garimpo import runtime
 from garimpo.operators.status import (
     current_status, event_validation, merge_deltas, rejected_events, status_delta, valid_events,
 )
@@ -25,9 +26,12 @@ def stream_status(events: DataFrame, history: DataFrame, folder: str, checkpoint
     events a link has; merged deltas equal one fold over all events.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = event_validation(batch, history)
+        # stored once: source, rules and join run a single time for both outputs
+        path = runtime.new_folder(batch.sparkSession, "checked")
+        checked = runtime.stage_at(event_validation(batch, history), path)
         write_batch(status_delta(valid_events(checked)), f"{folder}/deltas", batch_id)
         write_batch(rejected_events(checked), f"{folder}/rejected", batch_id)
+        runtime.drop_folder(batch.sparkSession, path)
 
     return (
         events.writeStream.foreachBatch(handle)

@@ -19,8 +19,8 @@ def rows_of(df, *columns):
 
 
 def test_dedupe_keeps_first_in_collection_order(spark):
-    rows = [(1, "AI Engineer", "ACME", "SP"), (2, "ai engineer", "acme", "RJ"), (3, "Data Scientist", "ACME", "SP"),
-            (4, "Ai Engínéer", "Acmé", "X"), (5, None, "ACME", "A"), (6, "", "ACME", "B")]
+    rows = [(1, "Ópera Técnica", "Vento", "SP"), (2, "opera tecnica", "VENTO", "RJ"), (3, "Solo", "Vento", "SP"),
+            (4, "OPERA TÉCNICA", "Vênto", "X"), (5, None, "Vento", "A"), (6, "", "Vento", "B")]
     df = spark.createDataFrame(rows[::-1], "collect_seq long, job_title string, company string, location string")
     assert rows_of(dedupe.dedupe_reposts(df), "collect_seq", "location") == [(1, "SP"), (3, "SP"), (5, "A")]
     copies = dedupe.dedupe_reposts(df, copies="copies")
@@ -50,7 +50,7 @@ def test_caps_against_brute_force(spark, cap):
                 greedy.append((group, seq, link))
                 count += 1
     columns = ("search_group", "collect_seq", "job_link")
-    assert rows_of(capping.cap_per_group_greedy(df, cap, range(6)), *columns) == sorted(greedy)
+    assert rows_of(capping.cap_per_group_greedy(df, cap), *columns) == sorted(greedy)
 
     owner = {}
     for seq, link, g in rows:
@@ -62,12 +62,34 @@ def test_caps_against_brute_force(spark, cap):
     assert rows_of(capping.cap_per_group(df, cap), *columns) == sorted(single)
 
 
-def test_large_cap_equals_small_cap(spark):
-    _, df = skewed_listings(spark)
-    columns = ("search_group", "collect_seq", "job_link")
-    blocks = capping.limit_cap(df, 30, small_cap=0)
-    assert rows_of(blocks, *columns) == rows_of(capping.limit_cap(df, 30, salts=5), *columns)
-    assert blocks.columns == df.columns
+@pytest.mark.parametrize("cap", [1, 2, 10_001])
+def test_caps_keep_null_groups_and_orders(spark, cap):
+    rows = [(1, "a", None), (2, "b", None), (3, "c", 1), (None, "d", 1), (None, "e", 1), (4, "f", 1)]
+    df = spark.createDataFrame(rows, "collect_seq long, job_link string, search_group int")
+    found = rows_of(capping.limit_cap(df, cap), "job_link")
+    assert found == sorted([("a",), ("b",)][:cap] + [("c",), ("f",), ("d",), ("e",)][:cap])
+    assert capping.limit_cap(df, cap).columns == df.columns
+    assert len(rows_of(capping.cap_per_group_greedy(df, cap), "job_link")) == len(found)
+
+
+def test_null_orders_and_scores_lose_no_row(spark):
+    df = spark.createDataFrame([(None, "A", "x", 5), (None, "B", "y", None), (3, "B", "z", 9)], "collect_seq long, job_title string, job_link string, match_score int")
+    df = df.withColumn("company", F.lit("c"))
+    assert rows_of(dedupe.dedupe_reposts(df), "job_link") == [("x",), ("z",)]
+    rows = [(None, "a", 5), (2, "b", None), (None, "c", None), (1, "d", 5), (3, "e", -1)]
+    df = spark.createDataFrame(rows, "collect_seq long, job_link string, match_score int")
+    ranked = ranking.rank_by_score(df, F.col("match_score")).orderBy("rank")
+    assert [r.job_link for r in ranked.collect()] == ["d", "a", "b", "c", "e"]
+    batch = df.withColumns({"score_clt": F.lit(0.9), "job_title": F.lit("t")})
+    stored = history.history_upsert(history.empty_history(spark), batch, F.current_timestamp())
+    assert stored.filter("job_title IS NULL").count() == 0
+
+
+def test_history_takes_the_relevance_of_the_run(spark):
+    rows = [("a", 10, True), ("b", 99, False), ("c", 99, None)]
+    df = spark.createDataFrame(rows, "job_link string, match_score int, relevant boolean").withColumns({"score_clt": F.lit(None).cast("double"), "collect_seq": F.lit(1)})
+    stored = history.history_upsert(history.empty_history(spark), df, F.current_timestamp())
+    assert sorted((r.job_link, r.status) for r in stored.collect()) == [("a", None), ("b", "irrelevant"), ("c", "irrelevant")]
 
 
 def test_ranks_of_skewed_scores(spark):
@@ -75,7 +97,7 @@ def test_ranks_of_skewed_scores(spark):
     rows = [(i * 37 + (1 << 33) * (i % 3), 70 if dice.random() < 0.4 else dice.randrange(101)) for i in range(800)]
     df = spark.createDataFrame(rows, "collect_seq long, match_score int").repartition(5)
     expected = sorted(rows, key=lambda r: (-r[1], r[0]))
-    ranked = ranking.rank_by_score(df, F.col("match_score"), block=64)
+    ranked = ranking.rank_by_score(df, F.col("match_score"))
     assert [tuple(r) for r in ranked.orderBy("rank").select("collect_seq", "match_score").collect()] == expected
     assert [r.rank for r in ranked.orderBy("rank").collect()] == list(range(1, len(rows) + 1))
     placed = ranking.with_position(df.orderBy(F.desc("match_score"), "collect_seq"))
@@ -240,17 +262,17 @@ def test_resolution_and_hook(spark):
 
 def test_profile_text(spark, values):
     full = prompts.Profile(
-        summary=" Resumo aqui. ", level="Sênior", skills={"linguagens_e_backend": ["Python", "SQL"]}, soft_skills=["Comunicação"]
+        summary=" Resumo aqui. ", level="Sênior", skills={"nuvem_e_filas": ["Python", "SQL"]}, soft_skills=["Comunicação"]
     )
     one = spark.range(1).select(F.lit("l").alias("job_link"))
     texts = [r.profile_text for r in prompts.profile_cross(one, [full, prompts.Profile(text=" plain "), prompts.Profile(level="x")]).collect()]
     assert texts == [
-        "Professional Summary:\nResumo aqui.\n\nTechnical Skills (Hard Skills):\n- Linguagens e Backend: Python, SQL\n\n"
+        "Professional Summary:\nResumo aqui.\n\nTechnical Skills (Hard Skills):\n- Nuvem e Filas: Python, SQL\n\n"
         "Soft Skills:\n- Comunicação\n\nExperience Level: Sênior",
         "plain", "Experience Level: x",
     ]
-    rows = ["ia_e_llms", "engenharia_de_dados", "MLOPS", "ci_CD_para_tudo", "ÉTICA"]
-    assert values(prompts.pretty_label, rows, "k string") == ["IA e LLMs", "Engenharia de Dados", "MLOps", "CI CD para Tudo", "Ética"]
+    rows = ["visao_e_ml", "bancos_de_dados", "MLOPS", "ci_CD_para_tudo", "ÉTICA"]
+    assert values(prompts.pretty_label, rows, "k string") == ["Visao e ML", "Bancos de Dados", "MLOps", "CI CD para Tudo", "Ética"]
 
 
 def test_models(spark):

@@ -5,9 +5,10 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from garimpo import rules
-from garimpo.functions import html, labels, links, numbers, places, render, text
+from garimpo.functions import contract, html, labels, links, numbers, places, render, text
 
 
 def fold_python(value):
@@ -36,12 +37,12 @@ def test_fold_random_mixtures(values):
 
 
 LABEL_ROWS = [
-    "Contrato PJ, necessário CNPJ ativo e emissão de nota fiscal.",
-    "Vaga efetiva com carteira assinada.",
-    "R Engineer | $45/hr Remote",
-    "USD 40,5 per hour; self employed or self-employed; C2C, W2, corp to corp",
-    "Contract: AI; a contract  position", "contractors manage the budget", "valor / hora", "estágio",
-    "freelancing", "pjx xpj", "empresa aberta", "emitir nota",
+    "Somente PJ: traga o CNPJ e a nota fiscal do mês.",
+    "Registro em carteira e vale transporte.",
+    "Translator | $38/hr from home",
+    "USD 27,50 per hour; self employed, self-employed; W-2, C2C, corp to corp",
+    "Contract: voice work; a contract  assignment", "contractors plan the budget", "valor / hora", "estágio",
+    "freelancing", "epj pjota", "empresa aberta", "emitir nota",
 ]
 
 
@@ -78,7 +79,7 @@ def test_needed_words_never_change_a_result(values):
 
 
 def test_platform_order_and_word_boundary(values):
-    rows = ["Turing", "Hire Feed", "X-Team", "x team", "Manufacturing", "ACME", "", None, "Upwork Turing"]
+    rows = ["Turing", "Hire Feed", "X-Team", "x team", "Restructuring", "Vento Norte", "", None, "Upwork Turing"]
     assert values(labels.platform_contains, rows, "c string") == [
         "turing", "hire feed", "x-team", "x team", "turing", None, None, None, "turing",
     ]
@@ -87,10 +88,9 @@ def test_platform_order_and_word_boundary(values):
 
 
 FLAGGED = [
-    ("Contract: AI Operations Specialist", "Newsela"), ("LLM Engineer (Remote)", "Hire Feed"),
-    ("GenAI Engineer (Remote)", "Hire Feed"), ("Remote Data Scientist", "Turing"),
-    ("R Engineer | $45/hr Remote", "Crossing Hurdles"),
-    ("Software Engineer (Multi-Language) | $40/hr Remote", "Crossing Hurdles"),
+    ("Contract: Speech Annotation", "Bravia Labs"), ("Prompt Reviewer", "Toptal"),
+    ("Vision Scientist", "Upwork"), ("Geologist", "Braintrust Network"),
+    ("Forecast Modeller | $38/hr", "Vento Norte"), ("Translator | USD 55 per hour", "Crossing Hurdles"),
 ]
 
 
@@ -101,13 +101,13 @@ def test_flagged_titles_have_a_strong_label(values):
 
 def test_workplace_matches(values):
     rows = [
-        ("Campinas, SP", "remoto", True), ("United States", "remoto", False),
-        ("Florianópolis, SC", "hibrido", True), ("São Paulo, SP", "hibrido", False),
-        ("São José, Santa Catarina, Brasil", "híbrido", True), ("São José, SC", "hybrid", True),
-        ("São José dos Campos, São Paulo, Brasil", "hibrido", False),
-        ("São José do Rio Preto, SP", "hibrido", False), ("São José", "hibrido", False),
-        ("Criciúma, SC", "hibrido", False), ("Santa Catarina, Brasil", "hibrido", False),
-        ("anywhere", None, True), ("Lisboa, Portugal", "presencial", True), ("Franca, SP", "remoto", False),
+        ("Curitiba, PR", "remoto", True), ("Canadá", "remoto", False),
+        ("Floripa, SC", "hibrido", True), ("Recife, PE", "hibrido", False),
+        ("São José, Santa Catarina", "híbrido", True), ("Centro, São José - SC", "hybrid", True),
+        ("São José dos Campos, SP", "hibrido", False),
+        ("São José do Rio Preto", "hibrido", False), ("Vila São José", "hibrido", False),
+        ("Blumenau, SC", "hibrido", False), ("Santa Catarina", "hibrido", False),
+        ("em qualquer parte", None, True), ("Porto, Portugal", "presencial", True), ("Patrocínio Paulista e Franca", "remoto", False),
     ]
     found = values(places.workplace_matches, [r[:2] for r in rows], "l string, m string")
     assert found == [r[2] for r in rows]
@@ -117,10 +117,10 @@ def test_workplace_matches(values):
 
 def test_remote_conflict(values):
     rows = {
-        "The work location of this role is hybrid, both from home and an office.": True,
-        "Vaga 100% presencial em nosso escritório.": True, "Modelo híbrido, 3 dias no escritório.": True,
-        "Trabalho remoto ou híbrido, você escolhe.": False, "100% remoto, home office.": False,
-        "Sem menção a modelo.": False, "": False,
+        "Note: work location of this role is hybrid.": True,
+        "Encontros presenciais todas as manhãs.": True, "Time hybrid: dois dias no escritório.": True,
+        "Home office ou presencial, conforme o projeto.": False, "Teletrabalho integral.": False,
+        "Nada sobre o local.": False, "": False,
     }
     assert values(places.conflicts_with_remote, list(rows), "d string") == list(rows.values())
 
@@ -163,13 +163,12 @@ def test_unescape(values):
 
 def test_title_scope(values):
     out = [
-        "Desenvolvedor Qlik", "Market Intelligence Analyst", "Analista de Inteligência de Mercado JR",
-        "Analista de sistema", "Analista de Sistemas Pleno", "Desenvolvedor Junior Node.js - Remoto",
-        "Associate-Graduate:Developer",
+        "Qlik Sense Builder", "Power  BI Report Builder", "Market Research Lead", "Especialista em Inteligência de Mercado",
+        "Analista de Sistema Fiscal", "BI tools developer", "Programa Trainee Nodejs", "Graduate: Statistician",
     ]
     kept = [
-        "Cientista de Dados Sênior", "Machine Learning Engineer", "Engenheiro de Dados", "Analista de Dados",
-        "Analista de Dados e BI", "AI Developer", "Data Insights - Tech Senior Associate", "", None,
+        "Estatístico de Risco", "Computer Vision Researcher", "Especialista de Dados e BI", "Qlikado de Dados",
+        "Analista de Sistemática", "Undergraduated Helper", "BI. Developer tools", "", None,
     ]
     found = values(labels.title_scope_reason, out + kept, "t string")
     assert all(found[: len(out)]) and not any(found[len(out):])
@@ -186,6 +185,21 @@ def test_relevance(values):
     assert ungated == [True]
 
 
+def test_round2_rounds_the_binary_value(values):
+    rows = [i / 1000 for i in range(1001)] + [0.125, 0.375, 0.1 + 0.2, 5e-324]
+    assert values(numbers.round2, rows, "x double") == [round(x, 2) for x in rows]
+    assert values(numbers.round2, [None, 7.125], "x double") == [None, 7.12]
+
+
+def test_evidence_prints_what_is_rounded(values):
+    rows = [i / 1000 for i in range(1001)]
+
+    def evidence(x):
+        return contract.evidence_text(F.struct(F.lit("CLT").alias("regime"), x.alias("confidence"), F.lit("e").alias("evidence")))
+
+    assert values(evidence, rows, "x double") == [f"[LLM] regime=CLT confidence={x:.2f}. e" for x in rows]
+
+
 def test_render_helpers(values):
     assert values(render.bullet_list, [([],), (["a", "b"],), (None,)], "x array<string>") == ["- N/A", "- a\n- b", "- N/A"]
     assert values(render.table_text, ["a|b\nc", None], "x string") == ["a\\|b c", "N/A"]

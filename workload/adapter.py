@@ -14,29 +14,29 @@ RUN_TS = dt.datetime(2001, 8, 1)
 NOW_TEXT = "2026-01-02 03:04:05"
 
 TITLES = (
-    "Cientista de Dados Sênior", "Machine Learning Engineer", "Engenheiro de Dados",
-    "Analista de Dados e BI", "Desenvolvedor Qlik", "Analista de Inteligência de Mercado JR",
-    "Analista de Sistemas Pleno", "Desenvolvedor Junior Node.js", "Associate-Graduate:Developer",
-    "Contract: AI Operations Specialist", "R Engineer | $45/hr Remote", "AI DEVELOPER",
+    "Estatístico de Risco", "Computer Vision Researcher", "Arquiteto de Lagos de Dados e Eventos",
+    "Especialista de Dados e BI", "Power BI Report Builder", "Especialista em Pesquisa de Mercado",
+    "Analista de Sistema Fiscal", "Programa Trainee Nodejs", "Graduate Statistician",
+    "Contract: Speech Annotation", "Forecast Modeller | $38/hr", "Qlikado de Dados Abertos",
 )
-COMPANIES = ("ACME", "Hotmart", "Turing", "Hire Feed", "Globex", "Manufacturing São Bento", "EY")
+COMPANIES = ("Vento Norte", "Bravia Labs", "Toptal", "Crossing Hurdles", "Oficina Sul", "Clube Restructuring Ltda", "QZ")
 LOCATIONS = (
-    "Campinas, SP", "Florianópolis, SC", "São José, SC", "São José dos Campos, São Paulo",
-    "Criciúma, SC", "United States", "São José", "Franca, SP", "Lisboa, Portugal",
-    "São Paulo, Brasil", "Joinville, Santa Catarina",
+    "Curitiba, PR", "Floripa, SC", "Grande Florianópolis", "São José dos Campos, SP",
+    "Blumenau, SC", "Canadá", "São José do Rio Preto", "Patrocínio Paulista e Franca", "Porto, Portugal",
+    "Recife, PE", "São José, Santa Catarina",
 )
 TEXTS = (
-    "Vaga efetiva com carteira assinada, VR e plano de saúde.",
-    "Contratação PJ. Necessário CNPJ ativo e emissão de nota fiscal.",
-    "100% remote contractor role paid at $55/hour.",
-    "Modelo híbrido, 3 dias no escritório.",
-    "Trabalho remoto ou híbrido, você escolhe.",
-    "Forecasting de budget e gestão de contractors externos.",
-    "This is a freelance, self-employed engagement (1099).",
-    "Vaga 100% presencial em nosso escritório.",
+    "Registro em carteira, vale transporte e seguro de vida.",
+    "Atuação como pessoa jurídica; é preciso ter CNPJ e emitir nota.",
+    "Anywhere in the world, contractor at usd 62 per hour.",
+    "Time hybrid: dois dias no escritório central.",
+    "Home office ou presencial, conforme o projeto.",
+    "Responsável pelo faturamento e pelo budget anual da área.",
+    "We hire freelancers and self employed people (c2c, W-2).",
+    "Encontros presenciais todas as manhãs.",
     "",
-    "Estágio temporário; valor/hora a combinar.",
-    "Prestação de serviços por projeto.",
+    "Bolsa de estágio; combinamos o valor hora.",
+    "Buscamos prestadora de serviços para o site.",
 )
 MODELS = ("remoto", "hibrido", "presencial")
 LINK = "https://jobs.example/view/"
@@ -46,12 +46,15 @@ REGIMES = {
 }
 
 
+SPREAD = "workload.spread"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. Each is one small file that a single task would read; spread those
-    over the cores. Tables with enough splits are read as they are, without a shuffle."""
+    """A test table as it is. A session that measures the single small files of the test
+    data may ask for them to be dealt to so many tasks; no other session does."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    tasks = spark.conf.get(SPREAD, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -213,13 +216,22 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_of(wide_postings(spark, sf_dir))
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry for every posting: what the list view shows."""
+    return entries_of(wide_postings(spark, sf_dir))
+
+
 def history_of(wide: DataFrame) -> DataFrame:
+    return entries_of(wide.filter("collect_seq % 5 = 0"))
+
+
+def entries_of(wide: DataFrame) -> DataFrame:
     k = F.col("collect_seq")
     status = F.when(k % 4 == 1, "viewed").when(k % 4 == 2, "applied").when(k % 4 == 3, "error")
     pct = F.col("confidence_pct").cast("double") / 100
     clt = F.col("regime").isin("CLT", "INDEFINIDO")
     updated = F.when(status.isNotNull(), F.col("posted_at") + F.expr("interval 1 day"))
-    return wide.filter(k % 5 == 0).select(
+    return wide.select(
         "job_link", "job_title", "company", "location",
         F.when(k % 3 != 0, F.col("regime")).alias("contract_type"),
         F.when(k % 2 == 0, F.col("regime")).alias("inferred_contract_type"),
@@ -248,6 +260,7 @@ SQL_HISTORY = """history AS (
     CASE WHEN k % 4 <> 0 THEN posted_at + INTERVAL 1 DAY END AS status_updated_at,
     CASE WHEN k % 4 = 3 AND k % 3 = 0 THEN 'Não é CLT' END AS error_class, k
   FROM postings WHERE k % 5 = 0)"""
+SQL_ENTRIES = SQL_HISTORY.replace(" WHERE k % 5 = 0", "")
 SQL_VIEW = """view_rows AS (
   SELECT job_link AS link, job_title, company, location, workplace_type,
     coalesce(inferred_contract_type, contract_type, 'N/A') AS inferred_contract_type, score_clt,

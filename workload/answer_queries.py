@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from garimpo import rules
-from garimpo.functions import answers, contract
+from garimpo.functions import answers, contract, numbers
 from garimpo.operators import filters, hooks, models, prompts, resolve
 from garimpo.plans import flow
 from workload import adapter as A
@@ -181,13 +181,13 @@ def parser_hook(spark, sf):
     A.with_postings(
         """SELECT job_link, arg_min(provider, rank) AS provider, min(rank) AS provider_rank, count(*) AS tries FROM (
           SELECT job_link, ['openrouter', 'gemini', 'other'][CAST((k + a) % 3 AS INT) + 1] AS provider,
-            CAST((k + a) % 3 AS INT) AS rank FROM tries WHERE (k + a) % 3 < 2 AND a < 2) GROUP BY job_link""",
+            CAST((k + a) % 3 AS INT) AS rank FROM tries WHERE (k + a) % 3 < 2) GROUP BY job_link""",
         A.SQL_ANSWERS, _TRIES,
     ),
 )
 def provider_registry(spark, sf):
     n = (F.col("collect_seq") + F.col("attempt")) % 3
-    named = _match_attempts(spark, sf).withColumn("attempt", _attempt_no()).filter("attempt < 2").withColumn(
+    named = _match_attempts(spark, sf).withColumn("attempt", _attempt_no()).withColumn(
         "provider", F.element_at(F.array(*map(F.lit, (*rules.PROVIDERS, "other"))), n.cast("int") + 1)
     )
     ranked = resolve.provider_ranks(named, rules.PROVIDERS)
@@ -197,6 +197,23 @@ def provider_registry(spark, sf):
     )
 
 
+_HUNDREDTHS = "[" + ", ".join(str(round(i / 1000, 2)) for i in range(1001)) + "]"
+
+
+@query(
+    "round2_thousandths",
+    f"SELECT o_orderkey, {_HUNDREDTHS}[CAST(o_orderkey % 1001 AS INT) + 1]::DOUBLE AS rounded, "
+    f"{_HUNDREDTHS}[CAST(o_orderkey % 1001 AS INT) + 1] >= 0.7 AS sure FROM orders",
+)
+def round2_thousandths(spark, sf):
+    """Confidences of three decimals: each of 0.000 to 1.000 with its rounded value."""
+    value = (F.col("o_orderkey") % 1001) / F.lit(1000.0)
+    return A.table(spark, sf, "orders").select(
+        "o_orderkey", numbers.round2(value).alias("rounded"),
+        numbers.is_relevant(numbers.round2(value), F.lit(100)).alias("sure"),
+    )
+
+
 # --- resolving ------------------------------------------------------------------------------------
 @query(
     "first_valid_response",
@@ -323,14 +340,14 @@ def posting_record(spark, sf):
 PROFILES = (
     prompts.Profile(
         name="data", summary="Builds data products.", level="Sênior",
-        skills={"ia_e_llms": ("RAG", "Agents"), "engenharia_de_dados": ("Spark", "SQL")},
+        skills={"visao_e_ml": ("OCR", "Pose"), "plataformas_para_eventos": ("Kafka", "SQL")},
         soft_skills=("Clear writing",),
     ),
     prompts.Profile(name="plain", text="  Ready-made profile. "),
 )
 _PROFILE_TEXTS = (
-    "Professional Summary:\nBuilds data products.\n\nTechnical Skills (Hard Skills):\n- IA e LLMs: RAG, Agents\n"
-    "- Engenharia de Dados: Spark, SQL\n\nSoft Skills:\n- Clear writing\n\nExperience Level: Sênior",
+    "Professional Summary:\nBuilds data products.\n\nTechnical Skills (Hard Skills):\n- Visao e ML: OCR, Pose\n"
+    "- Plataformas para Eventos: Kafka, SQL\n\nSoft Skills:\n- Clear writing\n\nExperience Level: Sênior",
     "Ready-made profile.",
 )
 
@@ -352,7 +369,7 @@ def profile_cross(spark, sf):
     """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_name ELSE
       'Professional Summary:' || chr(10) || 'Customer of ' || c_mktsegment
       || CASE WHEN c_custkey % 3 <> 0 THEN chr(10) || chr(10) || 'Technical Skills (Hard Skills):' || chr(10)
-        || '- IA e LLMs: ' || c_mktsegment || ', n' || c_nationkey || chr(10) || '- Linguagens e APIs: SQL' ELSE '' END
+        || '- Visao e ML: ' || c_mktsegment || ', n' || c_nationkey || chr(10) || '- Runtimes e APIs: SQL' ELSE '' END
       || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || 'Soft Skills:' || chr(10) || '- ' || c_name ELSE '' END
       || chr(10) || chr(10) || 'Experience Level: L' || c_nationkey END AS profile_text
     FROM customer""",
@@ -360,8 +377,8 @@ def profile_cross(spark, sf):
 def profile_text(spark, sf):
     key, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
     skills = F.create_map(
-        F.lit("ia_e_llms"), F.array("c_mktsegment", F.concat(F.lit("n"), nation)),
-        F.lit("linguagens_e_APIS"), F.array(F.lit("SQL")),
+        F.lit("visao_e_ml"), F.array("c_mktsegment", F.concat(F.lit("n"), nation)),
+        F.lit("runtimes_e_APIS"), F.array(F.lit("SQL")),
     )
     shown = prompts.profile_text(
         F.when(key % 10 == 0, F.concat(F.lit(" \n"), "c_name", F.lit("\t"))),

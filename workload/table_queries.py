@@ -119,7 +119,7 @@ _GREEDY = [
     A.with_postings(" UNION ALL ".join(f"SELECT * FROM g{g}" for g in range(10)), A.SQL_LISTINGS, *_GREEDY),
 )
 def cap_per_group_greedy(spark, sf):
-    return capping.cap_per_group_greedy(_listings(spark, sf), CAP, range(10)).select(
+    return capping.cap_per_group_greedy(_listings(spark, sf), CAP).select(
         "search_group", "collect_seq", "job_link"
     )
 
@@ -135,10 +135,38 @@ def limit_cap(spark, sf):
     return capping.limit_cap(A.postings(spark, sf), 100).select("search_group", "collect_seq")
 
 
+@query(
+    "limit_cap_large",
+    A.with_postings(
+        "SELECT search_group, collect_seq FROM (SELECT k AS collect_seq, CASE WHEN search_group <> 3 THEN search_group END AS search_group "
+        "FROM postings) QUALIFY row_number() OVER (PARTITION BY search_group ORDER BY collect_seq) <= 20000"
+    ),
+)
+def limit_cap_large(spark, sf):
+    """A cap beyond most groups, and a group without a number."""
+    rows = A.postings(spark, sf).withColumn("search_group", F.when(F.col("search_group") != 3, F.col("search_group")))
+    return capping.limit_cap(rows, 20_000).select("search_group", "collect_seq")
+
+
+@query(
+    "rank_nulls",
+    A.with_postings(
+        "SELECT job_link, row_number() OVER (ORDER BY CASE WHEN k % 4 <> 0 THEN least(raw_score, 100) ELSE 0 END DESC, "
+        "CASE WHEN k % 6 <> 0 THEN k END NULLS LAST, job_link) AS report_rank FROM postings"
+    ),
+)
+def rank_nulls(spark, sf):
+    """Every row gets a rank: no score counts as 0, no place in the collection comes last."""
+    k = F.col("collect_seq")
+    score = F.when(k % 4 != 0, F.least("raw_score", F.lit(100)))
+    rows = A.wide_postings(spark, sf).select("job_link", score.alias("match_score"), F.when(k % 6 != 0, k).alias("collect_seq"))
+    return ranking.report_rank(rows).select("job_link", "report_rank")
+
+
 # --- search plan ----------------------------------------------------------------------------------------
 _FILTERS = (
-    search_plan.SearchFilter("remoto", "Brasil", "106057199"),
-    search_plan.SearchFilter("híbrido", None, "104746682"),
+    search_plan.SearchFilter("remoto", "Brasil", "900100"),
+    search_plan.SearchFilter("híbrido", None, "900200"),
 )
 
 
@@ -150,7 +178,7 @@ def _terms(spark, sf):
 
 
 _PAIRS = """pairs AS (SELECT p_partkey * 2 + f.filter_no AS search_group, p_name || ' ' || p_partkey AS term, f.*
-  FROM part, (VALUES (0, 'híbrido?no', 'Brasil', '106057199', '2'), (1, 'x', 'Curitiba', '104746682', '3'))
+  FROM part, (VALUES (0, 'híbrido?no', 'Brasil', '900100', '2'), (1, 'x', 'Curitiba', '900200', '3'))
     AS f(filter_no, unused, location, geo_id, model_code))"""
 
 
@@ -236,12 +264,12 @@ def history_outer(spark, sf):
     "scan_history",
     A.with_postings(
         "SELECT job_link, job_title, match_score, round(score_clt, 4) AS score_clt, first_seen_at, status, notes "
-        "FROM history WHERE k % 10 <> 5", A.SQL_HISTORY,
+        "FROM history WHERE k % 10 <> 5", A.SQL_ENTRIES,
     ),
 )
 def scan_history(spark, sf):
     """History documents of about a hundred entries each, some entries no objects."""
-    past = A.history(spark, sf).withColumn("k", F.substring_index("job_link", "/", -1).cast("long"))
+    past = A.entries(spark, sf).withColumn("k", F.substring_index("job_link", "/", -1).cast("long"))
     fields = [c for c in HISTORY_COLUMNS if c != "job_link"]
     entry = F.when(F.col("k") % 10 == 5, F.lit("7")).otherwise(F.to_json(F.struct(*fields)))
     pair = F.concat(F.lit('"'), "job_link", F.lit('": '), entry)
@@ -257,10 +285,10 @@ def scan_history(spark, sf):
 
 # --- list view -----------------------------------------------------------------------------------------
 def _view(spark, sf):
-    return views.job_view(A.history(spark, sf))
+    return views.job_view(A.entries(spark, sf))
 
 
-_VIEW_PARTS = (A.SQL_HISTORY, A.SQL_VIEW)
+_VIEW_PARTS = (A.SQL_ENTRIES, A.SQL_VIEW)
 
 
 @query("job_view", A.with_postings("SELECT * EXCLUDE (k) FROM view_rows", *_VIEW_PARTS))
@@ -313,9 +341,9 @@ def status_counts(spark, sf):
     return views.status_counts(_view(spark, sf), views.ViewFilter(only_new=False, hide_applied=True))
 
 
-@query("last_run", A.with_postings("SELECT max(last_processed_at) AS last_run FROM history", A.SQL_HISTORY))
+@query("last_run", A.with_postings("SELECT max(last_processed_at) AS last_run FROM history", A.SQL_ENTRIES))
 def last_run(spark, sf):
-    return views.last_run(A.history(spark, sf))
+    return views.last_run(A.entries(spark, sf))
 
 
 @query(
@@ -324,8 +352,8 @@ def last_run(spark, sf):
 )
 def score_sort(spark, sf):
     seq = F.substring_index("link", "/", -1).cast("long")
-    ranked = ranking.rank_by_score(_view(spark, sf).withColumn("seq", seq), F.col("match_score"), "seq", "position")
-    return ranked.select("link", "match_score", "position")
+    ordered = ranking.score_sort(_view(spark, sf).withColumn("seq", seq), "seq")
+    return ranking.with_position(ordered).select("link", "match_score", "position")
 
 
 def _sorted_view(spark, sf, column, direction=None):
@@ -666,12 +694,15 @@ def label_frequency(spark, sf):
 
 
 # --- prototypes ---------------------------------------------------------------------------------------------
-def _prototypes(spark, sf, label):
-    rows = A.table(spark, sf, "embeddings").filter(F.col("label") == label).orderBy("vec_id").limit(5)
-    return [r.embedding for r in rows.select("embedding").collect()]  # five configured vectors
+PROTOTYPES_PER_GROUP = 5  # a prototype set is configured by hand: that many vectors stand for it
+
+
+def _prototypes(spark, sf, label, prototypes_per_group=PROTOTYPES_PER_GROUP):
+    rows = A.table(spark, sf, "embeddings").filter(F.col("label") == label).orderBy("vec_id").limit(prototypes_per_group)
+    return [r.embedding for r in rows.select("embedding").collect()]
 
 
-_PROTO = "(SELECT list(embedding) FROM (SELECT embedding FROM embeddings WHERE label = {} ORDER BY vec_id LIMIT 5))"
+_PROTO = f"(SELECT list(embedding) FROM (SELECT embedding FROM embeddings WHERE label = {{}} ORDER BY vec_id LIMIT {PROTOTYPES_PER_GROUP}))"
 _COSINES = "list_max(list_transform({}, lambda p: list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(p AS DOUBLE[]))))"
 
 
