@@ -45,6 +45,19 @@ def first_valid_response(parsed: DataFrame) -> DataFrame:
     return keep_first(valid, keys, F.struct("cycle", "provider_rank", "model_rank"))
 
 
+def best_answers(given: DataFrame, postings: DataFrame,
+                 reader: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One valid answer per link of ``postings``, which should be stored.
+
+    ``given`` are recorded attempts: those of other links leave by a semi join before any
+    text is parsed. Answers that are read already (column ``answer``) pass as they are.
+    """
+    if "answer" in given.columns:
+        return given
+    links = postings.select("job_link").distinct()
+    return first_valid_response(reader(given.join(links, "job_link", "left_semi")))
+
+
 def provider_ranks(attempts: DataFrame, order: tuple[str, ...], column: str = "provider") -> DataFrame:
     """Rank attempts by the configured provider order; other providers are not available."""
     rank = F.lit(None).cast("int")

@@ -1,16 +1,17 @@
 """The triage run as one lazy plan: collect gates, contract, dedupe, scope, relevance.
 
-Cheap filters come first, answers are joined only for rows that need them, and every
-folded text is computed once per stage.
+Cheap filters come first, answers are read and joined only for rows that need them, and
+every folded text is computed once per stage. Where answers come as recorded attempts, the
+rows that need them are stored, narrow, before the attempts are cut to their links.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from garimpo import rules
+from garimpo import rules, runtime
 from garimpo.functions.contract import contract_decision, ungated_contract
 from garimpo.functions.labels import hint_labels, strong_labels, title_scope_reason
 from garimpo.functions.numbers import is_relevant
@@ -20,7 +21,7 @@ from garimpo.operators.dedupe import dedupe_reposts
 from garimpo.operators.columns import computed_once
 from garimpo.operators.filters import closed_filter, remote_conflict, workplace_filter
 from garimpo.operators.history import known_link_anti
-from garimpo.operators.resolve import response_resolve
+from garimpo.operators.resolve import best_answers, contract_answers, match_answers, response_resolve
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def posting_record(decided: DataFrame, keep_description: bool = True) -> DataFra
     )
 
 
-def collect(postings: DataFrame, history: DataFrame | None, contract_best: DataFrame | None,
+def collect(postings: DataFrame, history: DataFrame | None, contract_given: DataFrame | None,
             settings: TriageSettings = TriageSettings(), keep_description: bool = True) -> DataFrame:
     """New, suitable, open postings whose contract type is accepted.
 
@@ -112,18 +113,29 @@ def collect(postings: DataFrame, history: DataFrame | None, contract_best: DataF
         suitable = known_link_anti(suitable, history)
     conflict = computed_once(suitable, {"_conflict": remote_conflict()})
     suitable = conflict.filter(~F.col("_conflict")).drop("_conflict")
+    best = None
     if settings.gated:
         suitable = needs_answer(label_postings(suitable))
-    decided = decide_contract(suitable, contract_best, settings)
+        if contract_given is not None:
+            suitable, best = _with_answers(suitable if keep_description else suitable.drop("description"), contract_given, contract_answers)
+    decided = decide_contract(suitable, best, settings)
     return posting_record(decided.filter("accepted"), keep_description)
 
 
-def analyse(collected: DataFrame, match_best: DataFrame,
+def _with_answers(rows: DataFrame, given: DataFrame, reader, needing: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and the best answers of those that need one."""
+    if "answer" in given.columns:
+        return rows, given
+    rows = runtime.stage(rows, "to_answer")
+    return rows, best_answers(given, rows if needing is None else rows.filter(needing), reader)
+
+
+def analyse(collected: DataFrame, match_given: DataFrame,
             settings: TriageSettings = TriageSettings()) -> DataFrame:
     """Unique, in-scope postings with their analysis and the ``relevant`` flag."""
     unique = dedupe_reposts(collected)
     in_scope = unique.filter(title_scope_reason(F.col("job_title")).isNull())
-    scored = response_resolve(in_scope, match_best).filter("core_role_compatible")
+    scored = response_resolve(*_with_answers(in_scope, match_given, match_answers)).filter("core_role_compatible")
     return scored.withColumn(
         "relevant",
         is_relevant(F.col("score_clt"), F.col("match_score"), settings.min_clt, settings.min_match,
@@ -131,12 +143,14 @@ def analyse(collected: DataFrame, match_best: DataFrame,
     )
 
 
-def run_counts(collected: DataFrame, match_best: DataFrame,
+def run_counts(collected: DataFrame, match_given: DataFrame,
                settings: TriageSettings = TriageSettings()) -> DataFrame:
     """Counters of a run: one pass, copies counted while reposts are removed."""
     unique = dedupe_reposts(collected, copies="copies")
     out_of_title = title_scope_reason(F.col("job_title")).isNotNull()
-    flagged = response_resolve(unique.withColumn("_title", out_of_title), match_best)
+    flagged = response_resolve(
+        *_with_answers(unique.withColumn("_title", out_of_title), match_given, match_answers, ~F.col("_title"))
+    )
     relevant = is_relevant(
         F.col("score_clt"), F.col("match_score"), settings.min_clt, settings.min_match, settings.gated
     )
@@ -151,7 +165,7 @@ def run_counts(collected: DataFrame, match_best: DataFrame,
     )
 
 
-def judge(new: DataFrame, contract_best: DataFrame | None,
+def judge(new: DataFrame, contract_given: DataFrame | None,
           settings: TriageSettings = TriageSettings()) -> DataFrame:
     """Every posting with the ``stage`` and ``reason`` collection drops it for, NULL if kept.
 
@@ -160,28 +174,35 @@ def judge(new: DataFrame, contract_best: DataFrame | None,
     text = scan_text(F.col("job_title"), F.col("company"), F.col("description"))
     found = F.when(F.col("reason").isNull(), strong_labels(text, F.col("company")))
     labels = F.coalesce(found, F.array().cast("array<string>"))
-    labelled = computed_once(collect_verdict(new, settings), {"labels": labels})
+    labelled = computed_once(collect_verdict(new, settings), {"labels": labels}).drop("description")
+    best = None
+    if settings.gated and contract_given is not None:
+        undecided = F.col("reason").isNull() & (F.size("labels") == 0)
+        labelled, best = _with_answers(labelled, contract_given, contract_answers, undecided)
     refused = F.col("reason").isNull() & ~F.col("accepted")
     stage = F.when(refused, "contract").when(F.col("reason").isNotNull(), "collect")
-    return decide_contract(labelled, contract_best, settings).select(
+    return decide_contract(labelled, best, settings).select(
         "collect_seq", "job_link", "job_title", "company", stage.alias("stage"),
         F.coalesce("reason", F.when(refused, F.lit("contract type"))).alias("reason"),
     )
 
 
-def scope_discards(collected: DataFrame, match_best: DataFrame) -> DataFrame:
+def scope_discards(collected: DataFrame, match_given: DataFrame) -> DataFrame:
     """Unique postings that analysis drops: by title rule, or by an incompatible role."""
     unique = dedupe_reposts(collected.select("collect_seq", "job_link", "job_title", "company"))
     judged = computed_once(unique, {"reason": title_scope_reason(F.col("job_title"))})
-    resolved = response_resolve(judged, match_best)
+    resolved = response_resolve(*_with_answers(judged, match_given, match_answers, F.col("reason").isNull()))
     role = F.when(~F.col("core_role_compatible"), F.lit("core role"))
     return resolved.select(
         "job_link", F.lit("scope").alias("stage"), F.coalesce("reason", role).alias("reason")
     ).filter(F.col("reason").isNotNull())
 
 
-def triage(postings: DataFrame, history: DataFrame | None, contract_best: DataFrame | None,
-           match_best: DataFrame, settings: TriageSettings = TriageSettings()) -> DataFrame:
-    """Analysed postings of a run, each with ``relevant``; input of report and history."""
-    collected = collect(postings, history, contract_best, settings, keep_description=False)
-    return analyse(collected, match_best, settings)
+def triage(postings: DataFrame, history: DataFrame | None, contract_given: DataFrame | None,
+           match_given: DataFrame, settings: TriageSettings = TriageSettings()) -> DataFrame:
+    """Analysed postings of a run, each with ``relevant``; input of report and history.
+
+    Answers are given as recorded attempts, or as one read answer per link.
+    """
+    collected = collect(postings, history, contract_given, settings, keep_description=False)
+    return analyse(collected, match_given, settings)

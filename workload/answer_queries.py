@@ -21,11 +21,11 @@ _MATCH = (
 _CONTRACT = "regime, round(CAST(confidence AS DOUBLE), 4) AS confidence, 'e' || (k % 6) || ' try ' || {} AS evidence"
 
 
-def _match_attempts(spark, sf):
+def match_attempts(spark, sf):
     return A.attempts(A.wide_postings(spark, sf), "match")
 
 
-def _contract_attempts(spark, sf):
+def contract_attempts(spark, sf):
     return A.attempts(A.wide_postings(spark, sf), "contract")
 
 
@@ -98,7 +98,7 @@ _RAW_CONTRACT = (
     ),
 )
 def strip_fence(spark, sf):
-    return _contract_attempts(spark, sf).select(
+    return contract_attempts(spark, sf).select(
         "job_link", _attempt_no(), answers.strip_fence(F.col("raw_text")).alias("bare")
     )
 
@@ -117,7 +117,7 @@ def strip_fence(spark, sf):
 )
 def first_json_object(spark, sf):
     text = answers.strip_fence(F.col("raw_text"))
-    return _contract_attempts(spark, sf).select(
+    return contract_attempts(spark, sf).select(
         "job_link", _attempt_no(), answers.first_json_object(text).alias("candidate")
     )
 
@@ -129,7 +129,7 @@ def first_json_object(spark, sf):
     ),
 )
 def parse_match(spark, sf):
-    parsed = resolve.match_answers(_match_attempts(spark, sf))
+    parsed = resolve.match_answers(match_attempts(spark, sf))
     return parsed.select("job_link", _attempt_no(), *_match_fields("answer"))
 
 
@@ -140,7 +140,7 @@ def parse_match(spark, sf):
     ),
 )
 def parse_contract(spark, sf):
-    parsed = resolve.contract_answers(_contract_attempts(spark, sf))
+    parsed = resolve.contract_answers(contract_attempts(spark, sf))
     return parsed.select(
         "job_link", _attempt_no(), "answer.regime", F.round("answer.confidence", 4).alias("confidence"),
         "answer.evidence",
@@ -173,7 +173,7 @@ def parser_hook(spark, sf):
     def words(raw):
         return F.when(~F.contains(raw, F.lit("{")), F.struct(F.size(F.split(raw, " ")).alias("words")))
 
-    return resolve.read_answers(_match_attempts(spark, sf), words).select("job_link", _attempt_no(), "answer.words")
+    return resolve.read_answers(match_attempts(spark, sf), words).select("job_link", _attempt_no(), "answer.words")
 
 
 @query(
@@ -187,7 +187,7 @@ def parser_hook(spark, sf):
 )
 def provider_registry(spark, sf):
     n = (F.col("collect_seq") + F.col("attempt")) % 3
-    named = _match_attempts(spark, sf).withColumn("attempt", _attempt_no()).withColumn(
+    named = match_attempts(spark, sf).withColumn("attempt", _attempt_no()).withColumn(
         "provider", F.element_at(F.array(*map(F.lit, (*rules.PROVIDERS, "other"))), n.cast("int") + 1)
     )
     ranked = resolve.provider_ranks(named, rules.PROVIDERS)
@@ -224,7 +224,7 @@ def round2_thousandths(spark, sf):
     ),
 )
 def first_valid_response(spark, sf):
-    best = resolve.first_valid_response(resolve.contract_answers(_contract_attempts(spark, sf)))
+    best = resolve.first_valid_response(resolve.contract_answers(contract_attempts(spark, sf)))
     return best.select(
         "job_link", "task", "cycle", "provider_rank", "answer.regime",
         F.round("answer.confidence", 4).alias("confidence"), "answer.evidence",
@@ -241,7 +241,7 @@ FROM answers"""
 
 
 def _best_match(spark, sf):
-    return resolve.first_valid_response(resolve.match_answers(_match_attempts(spark, sf)))
+    return resolve.first_valid_response(resolve.match_answers(match_attempts(spark, sf)))
 
 
 def _flat(df):
@@ -290,7 +290,7 @@ _DECISION = "job_link, inferred_contract_type, accepted, round(score_clt, 4) AS
 
 
 def best_contract(spark, sf):
-    return resolve.first_valid_response(resolve.contract_answers(_contract_attempts(spark, sf)))
+    return resolve.first_valid_response(resolve.contract_answers(contract_attempts(spark, sf)))
 
 
 def best_match(spark, sf):

@@ -239,11 +239,11 @@ def round2(spark, sf):
     "text_search",
     A.with_postings(
         "SELECT job_link, job_title, location FROM postings "
-        "WHERE contains(lower(job_title || ' ' || company || ' ' || location), 'acme são')"
+        "WHERE contains(lower(job_title || ' ' || company || ' ' || location), 'norte são')"
     ),
 )
 def text_search(spark, sf):
-    return filters.text_search(A.postings(spark, sf), "  ACME São ").select("job_link", "job_title", "location")
+    return filters.text_search(A.postings(spark, sf), "  NORTE São ").select("job_link", "job_title", "location")
 
 
 @query(

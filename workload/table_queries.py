@@ -502,7 +502,7 @@ def _run_postings(spark, sf):
 
 def _analysed(spark, sf):
     return flow.triage(
-        _run_postings(spark, sf), A.history(spark, sf), answered.best_contract(spark, sf), answered.best_match(spark, sf)
+        _run_postings(spark, sf), A.history(spark, sf), answered.contract_attempts(spark, sf), answered.match_attempts(spark, sf)
     )
 
 
@@ -648,9 +648,9 @@ def triage_ranked(spark, sf):
 def stage_counts(spark, sf):
     return flow.run_counts(
         flow.collect(
-            _run_postings(spark, sf), A.history(spark, sf), answered.best_contract(spark, sf), keep_description=False
+            _run_postings(spark, sf), A.history(spark, sf), answered.contract_attempts(spark, sf), keep_description=False
         ),
-        answered.best_match(spark, sf),
+        answered.match_attempts(spark, sf),
     )
 
 
@@ -667,9 +667,9 @@ def stage_counts(spark, sf):
 )
 def discard_reasons(spark, sf):
     new = history.known_link_anti(_run_postings(spark, sf), A.history(spark, sf))
-    judged = runtime.stage(flow.judge(new, answered.best_contract(spark, sf)), "judged")
+    judged = runtime.stage(flow.judge(new, answered.contract_attempts(spark, sf)), "judged")
     early = judged.filter("reason is not null").select("job_link", "stage", "reason")
-    scope = flow.scope_discards(judged.filter("reason is null"), answered.best_match(spark, sf))
+    scope = flow.scope_discards(judged.filter("reason is null"), answered.match_attempts(spark, sf))
     return counts.discard_reasons(early.unionByName(scope))
 
 
@@ -724,10 +724,20 @@ def prototype_classify(spark, sf):
 
 
 # --- streams --------------------------------------------------------------------------------------------------
-def _stream(spark, sf, name):
-    schema = A.table(spark, sf, name).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    return stream.repartition(spark.sparkContext.defaultParallelism)  # one small file per batch
+BATCHES = 3
+
+
+def _stream(spark, sf, name, key):
+    """A test table as a stream of three files and so three micro-batches: rows by ``key`` mod 3."""
+    df, folder = A.table(spark, sf, name), runtime.new_folder(spark, "source")
+    for part in range(BATCHES):  # one write after the other: the files' times are their order
+        df.filter(F.col(key) % BATCHES == part).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+_STREAMED = tuple(
+    part.replace("(PARTITION BY", f"(PARTITION BY k % {BATCHES},") if part.startswith("uniques") else part for part in _RUN
+)
 
 
 @query(
@@ -735,16 +745,16 @@ def _stream(spark, sf, name):
     A.with_many_companies(
         f"""SELECT job_link, status, last_processed_at FROM history UNION ALL
         SELECT job_link, CASE WHEN NOT relevant THEN 'irrelevant' END, TIMESTAMP '{A.NOW_TEXT}' FROM marked""",
-        *_RUN,
+        *_STREAMED,
     ),
 )
 def stream_ingest(spark, sf):
-    """The triage run fed by a stream; the history ends as after one batch run."""
+    """The triage run fed by a stream; reposts are those of a micro-batch, as of a batch run."""
     folder = runtime.new_folder(spark, "ingest")
-    postings = A.many_companies(A.from_orders(_stream(spark, sf, "orders")).select(*A.POSTING_COLUMNS))
+    postings = A.many_companies(A.from_orders(_stream(spark, sf, "orders", "o_orderkey")).select(*A.POSTING_COLUMNS))
 
     def analyse(batch):
-        return flow.triage(batch, None, answered.best_contract(spark, sf), answered.best_match(spark, sf))
+        return flow.triage(batch, None, answered.contract_attempts(spark, sf), answered.match_attempts(spark, sf))
 
     ingest.stream_ingest(
         postings, f"{folder}/history", f"{folder}/progress", analyse, wall_clock(NOW), A.history(spark, sf)
@@ -752,23 +762,67 @@ def stream_ingest(spark, sf):
     return ingest.history_state(spark, f"{folder}/history").select("job_link", "status", "last_processed_at")
 
 
+_RELEVANT_STREAM = "coalesce(score_clt >= 0.4, false) AND match_score >= 20"
+
+
+@query(
+    "stream_ingest_settings",
+    A.with_many_companies(
+        f"""SELECT job_link, status FROM history UNION ALL
+        SELECT job_link, CASE WHEN NOT ({_RELEVANT_STREAM}) THEN 'irrelevant' END FROM marked""",
+        *_STREAMED,
+    ),
+)
+def stream_ingest_settings(spark, sf):
+    """The bars of the run, not the default ones, decide what the history stores as irrelevant."""
+    folder = runtime.new_folder(spark, "ingest")
+    postings = A.many_companies(A.from_orders(_stream(spark, sf, "orders", "o_orderkey")).select(*A.POSTING_COLUMNS))
+    bars = flow.TriageSettings(min_clt=0.4, min_match=20)
+
+    def analyse(batch):
+        return flow.triage(batch, None, answered.contract_attempts(spark, sf), answered.match_attempts(spark, sf), bars)
+
+    ingest.stream_ingest(
+        postings, f"{folder}/history", f"{folder}/progress", analyse, wall_clock(NOW), A.history(spark, sf)
+    ).awaitTermination()
+    return ingest.history_state(spark, f"{folder}/history").select("job_link", "status")
+
+
 @query(
     "stream_dedupe",
     A.with_postings(
         "SELECT collect_seq, job_link FROM postings QUALIFY row_number() OVER "
-        f"(PARTITION BY {A.sql_fold('job_title')}, {A.sql_fold('company')} ORDER BY collect_seq) = 1"
+        f"(PARTITION BY {A.sql_fold('job_title')}, {A.sql_fold('company')} ORDER BY k % {BATCHES}, collect_seq) = 1"
     ),
 )
 def stream_dedupe(spark, sf):
     folder = runtime.new_folder(spark, "reposts")
-    stream = A.from_orders(_stream(spark, sf, "orders")).select("collect_seq", "job_link", "job_title", "company")
+    stream = A.from_orders(_stream(spark, sf, "orders", "o_orderkey")).select("collect_seq", "job_link", "job_title", "company")
     reposts.stream_dedupe(stream, f"{folder}/kept", f"{folder}/progress").awaitTermination()
     return reposts.kept_postings(spark, f"{folder}/kept", "collect_seq long, job_link string")
 
 
+@query(
+    "stream_dedupe_ttl",
+    A.with_many_companies(
+        f"SELECT {A.sql_fold('job_title')} AS key_title, {A.sql_fold('company')} AS key_company, count(*) AS kept "
+        "FROM (SELECT DISTINCT job_title, company FROM postings) GROUP BY ALL"
+    ),
+)
+def stream_dedupe_ttl(spark, sf):
+    """Keys that live longer than the table's years: each is kept once, whichever row comes first."""
+    folder = runtime.new_folder(spark, "ttl")
+    stream = A.many_companies(A.from_orders(_stream(spark, sf, "orders", "o_orderkey"))).select("job_title", "company", "posted_at", "collect_seq")
+    (
+        reposts.dedupe_within(stream, "4000 days").writeStream.format("parquet").option("path", f"{folder}/kept")
+        .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.parquet(f"{folder}/kept").groupBy("key_title", "key_company").agg(F.count(F.lit(1)).alias("kept"))
+
+
 @query("stream_status", A.with_postings("SELECT * FROM folded", *_EVENT_PARTS, A.SQL_FOLD))
 def stream_status(spark, sf):
     folder = runtime.new_folder(spark, "status")
-    events = A.status_of(_stream(spark, sf, "events"))
+    events = A.status_of(_stream(spark, sf, "events", "event_id"))
     status_log.stream_status(events, A.history(spark, sf), folder, f"{folder}/progress").awaitTermination()
     return status_log.status_state(spark, folder)
