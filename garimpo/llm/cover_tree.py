@@ -198,7 +198,8 @@ def leaves(vectors: DataFrame, leaf_rows: int, fan: int, depth: int) -> tuple[Da
             break
         lot = F.xxhash64(F.lit(len(levels)), "rep")
         at = rows.join(wide, "node").withColumn("lot", F.pmod(lot, F.lit(1 << 40)))
-        drawn = at.filter(F.col("lot") < F.lit(float(fan << 40)) / F.col("n")).select("node", "lot", "rep", "unit")
+        wanted = F.least(F.lit(fan), F.ceil(2 * F.col("n") / leaf_rows))  # no more children than it takes
+        drawn = at.filter(F.col("lot") < wanted * float(1 << 40) / F.col("n")).select("node", "lot", "rep", "unit")
         centres = runtime.stage(_separated(drawn, radius, fan), "centres")
         near = runtime.stage(_assigned(at.join(centres, "node")), "assigned")
         child = F.xxhash64(F.lit(len(levels)), "node", "best")
