@@ -62,12 +62,14 @@ def _as_string(value: Column) -> Column:
 
 def text_of(value: Column, missing: str) -> Column:
     """Text form of any JSON value; lists and objects keep their JSON form."""
-    kind = _kind(value)
+    kind, shown = _kind(value), _as_string(value)
+    fraction = kind.rlike("^(DECIMAL|DOUBLE|FLOAT)") & ~shown.rlike("[^0-9-]")  # 1.0 is not 1
     return (
         F.when(value.isNull(), F.lit(missing))
         .when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.initcap(_as_string(value)))
-        .otherwise(_as_string(value))
+        .when(kind == "BOOLEAN", F.initcap(shown))
+        .when(fraction, F.concat(shown, F.lit(".0")))
+        .otherwise(shown)
     )
 
 
@@ -108,10 +110,6 @@ def _score_number(value: Column) -> Column:
 
 
 MATCH_FIELDS = ("match_score", "core_role_compatible", "strengths", "gaps", "verdict")
-MATCH_TYPE = (
-    "struct<match_score:int,core_role_compatible:boolean,strengths:array<string>,"
-    "gaps:array<string>,verdict:string>"
-)
 
 
 def match_from_fields(found: Column) -> Column:

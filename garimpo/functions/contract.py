@@ -71,12 +71,18 @@ def ungated_contract(requested: str | None) -> Column:
     return _outcome(F.lit(wanted), F.lit(True), null, null, F.lit(rules.EVIDENCE_NO_GATE))
 
 
-def fallback_analysis() -> Column:
-    """Neutral analysis for postings without a valid answer: never discards."""
+def fallback_analysis(
+    score: int = rules.FALLBACK_SCORE, strengths: tuple[str, ...] = rules.FALLBACK_STRENGTHS,
+    gaps: tuple[str, ...] = rules.FALLBACK_GAPS, verdict: str = rules.FALLBACK_VERDICT,
+) -> Column:
+    """Neutral analysis for postings without a valid answer: never discards.
+
+    The default texts are fixed values; a run with other model settings says so in its own.
+    """
     return F.struct(
-        F.lit(rules.FALLBACK_SCORE).alias("match_score"),
+        F.lit(score).alias("match_score"),
         F.lit(True).alias("core_role_compatible"),
-        F.array(*map(F.lit, rules.FALLBACK_STRENGTHS)).alias("strengths"),
-        F.array(*map(F.lit, rules.FALLBACK_GAPS)).alias("gaps"),
-        F.lit(rules.FALLBACK_VERDICT).alias("verdict"),
+        F.array(*map(F.lit, strengths)).alias("strengths"),
+        F.array(*map(F.lit, gaps)).alias("gaps"),
+        F.lit(verdict).alias("verdict"),
     )

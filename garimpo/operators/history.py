@@ -79,11 +79,6 @@ def empty_history(spark) -> DataFrame:
     return spark.createDataFrame([], HISTORY)
 
 
-def write_snapshot(history: DataFrame, path: str) -> None:
-    """A new directory per snapshot: the one being read is never overwritten."""
-    history.write.mode("errorifexists").parquet(path)
-
-
 def write_bucketed(history: DataFrame, table: str, buckets: int) -> None:
     """Store as a table hashed on ``job_link``; later joins on it skip that shuffle."""
     history.write.bucketBy(buckets, "job_link").sortBy("job_link").mode("overwrite").saveAsTable(table)

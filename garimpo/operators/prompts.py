@@ -14,19 +14,27 @@ from garimpo.functions.text import blank_to_null, strip
 
 @dataclass(frozen=True)
 class Profile:
-    """Configured candidate profile; ``text`` alone is a ready-made profile."""
+    """Configured candidate profile; ``text`` alone is a ready-made profile.
+
+    Skills may be one text, soft skills too; the skills of a category may be a single value.
+    """
 
     name: str = "default"
     text: str | None = None
     summary: str | None = None
-    skills: dict[str, Sequence[str]] = field(default_factory=dict)
-    soft_skills: Sequence[str] = ()
+    skills: dict[str, Sequence[str] | str] | str = field(default_factory=dict)
+    soft_skills: Sequence[str] | str = ()
     level: str | None = None
 
     def columns(self) -> list[Column]:
-        skills = [x for k, v in self.skills.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
+        listed = {} if isinstance(self.skills, str) else self.skills
+        skills = [
+            x for k, v in listed.items()
+            for x in (F.lit(k), F.array(*map(F.lit, v if isinstance(v, (list, tuple)) else [str(v)])))
+        ]
         skill_map = F.create_map(*skills) if skills else F.lit(None)
-        soft = F.array(*map(F.lit, self.soft_skills)) if self.soft_skills else F.lit(None)
+        many = not isinstance(self.soft_skills, str) and self.soft_skills
+        soft = F.array(*map(F.lit, self.soft_skills)) if many else F.lit(None)
         return [
             F.lit(self.name).alias("profile"),
             F.lit(self.text).cast("string").alias("text"),
@@ -34,6 +42,8 @@ class Profile:
             skill_map.cast("map<string,array<string>>").alias("skills"),
             soft.cast("array<string>").alias("soft_skills"),
             F.lit(self.level).cast("string").alias("level"),
+            F.lit(self.skills if isinstance(self.skills, str) else None).cast("string").alias("skills_text"),
+            F.lit(self.soft_skills if isinstance(self.soft_skills, str) else None).cast("string").alias("soft_text"),
         ]
 
 
@@ -51,8 +61,9 @@ def pretty_label(key: Column) -> Column:
     return F.array_join(F.transform(words, word), " ")
 
 
-def profile_text(text: Column, summary: Column, skills: Column, soft_skills: Column, level: Column) -> Column:
-    """Profile as sections; a plain text profile is only trimmed."""
+def profile_text(text: Column, summary: Column, skills: Column, soft_skills: Column, level: Column,
+                 skills_text: Column | None = None, soft_text: Column | None = None) -> Column:
+    """Profile as sections; a plain text profile is only trimmed, and so are plain text skills."""
     skill_lines = F.transform(
         F.map_entries(skills),
         lambda e: F.concat(F.lit("- "), pretty_label(e["key"]), F.lit(": "), F.array_join(e["value"], ", ")),
@@ -62,11 +73,14 @@ def profile_text(text: Column, summary: Column, skills: Column, soft_skills: Col
     def titled(title: str, lines: Column) -> Column:
         return F.array_join(F.concat(F.array(F.lit(title)), lines), "\n")
 
+    def plain(title: str, value: Column | None) -> Column:
+        return F.concat(F.lit(title + "\n"), strip(blank_to_null(F.lit(None).cast("string") if value is None else value)))
+
     sections = F.concat_ws(
         "\n\n",
         F.concat(F.lit("Professional Summary:\n"), strip(blank_to_null(summary))),
-        titled("Technical Skills (Hard Skills):", skill_lines),
-        titled("Soft Skills:", soft_lines),
+        F.coalesce(titled("Technical Skills (Hard Skills):", skill_lines), plain("Technical Skills (Hard Skills):", skills_text)),
+        F.coalesce(titled("Soft Skills:", soft_lines), plain("Soft Skills:", soft_text)),
         F.concat(F.lit("Experience Level: "), blank_to_null(level)),
     )
     return F.coalesce(strip(text), strip(sections))

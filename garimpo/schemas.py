@@ -22,10 +22,6 @@ HISTORY = (
     "error_class string"
 )
 STATUS_EVENT = "seq bigint, ts timestamp_ntz, link string, status string, notes string, error_class string"
-RESPONSE = (
-    "job_link string, task string, cycle int, provider_rank int, model_rank int, raw_text string, "
-    "error_code int, error_text string"
-)
 
 
 def names(ddl: str) -> list[str]:

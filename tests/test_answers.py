@@ -99,3 +99,9 @@ def test_evidence(values):
 def test_transient(values):
     rows = [(429, None), (404, "not found"), (None, "Rate-Limit hit"), (None, None), (400, "HTTP 503 upstream")]
     assert values(answers.transient_error, rows, "c int, m string") == [True, False, True, False, True]
+
+
+def test_list_items_keep_their_fraction(values):
+    rows = ['{"match_score": 5, "strengths": [1.0, 1, 2.5, -3.0, true, null, "1"]}']
+    found = values(lambda c: answers.parse_match(c)["strengths"], rows, "t string")
+    assert found == [["1.0", "1", "2.5", "-3.0", "True", "None", "1"]]

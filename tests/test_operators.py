@@ -321,3 +321,12 @@ def test_counts(spark):
     assert rows_of(counts.label_frequency(df), "label", "n") == [("a", 2), ("b", 1)]
     flagged = spark.createDataFrame([(True, False), (True, True)], "x boolean, y boolean")
     assert tuple(counts.stage_counts(flagged, {"x": "x", "y": "y"}).first()) == (2, 2, 1)
+
+
+def test_profiles_with_plain_text_skills(spark):
+    rows = spark.createDataFrame([("j",)], "job_link string")
+    listed = [prompts.Profile(name="a", skills=" All of them ", soft_skills=" Calm "), prompts.Profile(name="b", skills={"sql": "Much"})]
+    found = {r.profile: r.profile_text for r in prompts.profile_cross(rows, listed).collect()}
+    assert found == {
+        "a": "Technical Skills (Hard Skills):\nAll of them\n\nSoft Skills:\nCalm", "b": "Technical Skills (Hard Skills):\n- Sql: Much",
+    }
