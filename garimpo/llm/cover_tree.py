@@ -304,3 +304,22 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.98, leaf_rows: int = 1024,
         "vec_id", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
+
+
+SQL = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a
+)
+SELECT vec_id, (SELECT count(*) FROM linked l WHERE l.a = vec_id) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept
+FROM embeddings JOIN reached ON vec_id = a GROUP BY vec_id
+"""

@@ -233,3 +233,31 @@ def near_duplicates(
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),
         F.col("n").alias("n_shingles"), F.col("doc_id").eqNullSafe(class_id).alias("kept"),
     )
+
+
+SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) AS gram
+  FROM worded WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+linked AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) = any_value(m.n) AND any_value(m.n) = any_value(o.n) AS same
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes o ON o.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 5 * count(*) >= 4 * (any_value(m.n) + any_value(o.n) - count(*))
+),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a
+),
+classes AS (SELECT a, min(b) AS class_id FROM reached GROUP BY a)
+SELECT d.doc_id, class_id,
+  least(d.doc_id, coalesce((SELECT min(b) FROM linked l WHERE l.a = d.doc_id AND same), d.doc_id)) AS set_id,
+  (SELECT count(*) FROM linked l WHERE l.a = d.doc_id) AS n_links, coalesce(n, 0)::INTEGER AS n_shingles, d.doc_id = class_id AS kept
+FROM documents d JOIN classes c ON c.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""

@@ -30,4 +30,9 @@ QUERIES: dict[str, Query] = {
     "op10_packing": _over("documents", packing.packed_documents),
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
+ORACLES: dict[str, str] = {
+    "op2_cover_tree": cover_tree.SQL,
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op5_warc": warc.SQL,
+    "op7_ngram_join": ngram_join.SQL,
+}

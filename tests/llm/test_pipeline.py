@@ -1,5 +1,10 @@
 """The pipeline's stages against brute force, and the registered queries."""
 
+import glob
+import os
+
+import pytest
+
 import corpus_pipeline
 from garimpo.llm import queries
 
@@ -60,3 +65,16 @@ def test_pipeline_of_no_documents(spark, empty):
     for name, stage in corpus_pipeline.STAGES:
         kept = corpus_pipeline.runtime.stage(stage(spark, kept, ""), name)
     assert kept.count() == 0
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from workload.check import compare
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    verdict, _ = compare(spark, con, name, queries.QUERIES[name], queries.ORACLES[name], folder)
+    assert verdict.startswith("ok"), verdict
