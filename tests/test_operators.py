@@ -330,3 +330,26 @@ def test_profiles_with_plain_text_skills(spark):
     assert found == {
         "a": "Technical Skills (Hard Skills):\nAll of them\n\nSoft Skills:\nCalm", "b": "Technical Skills (Hard Skills):\n- Sql: Much",
     }
+
+
+def test_hook_answers_in_batches_and_falls_back_to_rows(spark):
+    rows = spark.createDataFrame([(f"j{i}", i) for i in range(40)], "job_link string, n int").repartition(4)
+
+    def one(row):
+        if row["n"] == 7:
+            raise ValueError("seven")
+        return f"row {row['n']}"
+
+    def many(batch):
+        if (batch["n"] == 7).any():
+            raise ValueError("seven among them")
+        return ["batch"] * len(batch)
+
+    def short(batch):
+        return ["too few"] if len(batch) > 1 else []
+
+    found = {r.job_link: (r.raw_text, r.error_text) for r in hooks.hook_answers(rows, one, ["n"], "match", answer_batch=many).collect()}
+    assert found["j7"] == (None, "seven") and {t for t, _ in found.values()} > {"batch"} and len(found) == 40
+    assert all(t == f"row {k[1:]}" for k, (t, e) in found.items() if t not in ("batch", None))
+    found = {r.job_link: r.raw_text for r in hooks.hook_answers(rows, one, ["n"], "match", answer_batch=short).collect()}
+    assert found["j3"] == "row 3"

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from garimpo import rules
+from garimpo import rules, runtime
 from garimpo.functions import answers, contract, numbers
 from garimpo.operators import filters, hooks, models, prompts, resolve
 from garimpo.plans import flow
@@ -440,6 +440,11 @@ def _title_scorer(row) -> str:
     return '{"match_score": %d, "verdict": "scored"}' % (len(row["job_title"]) * 3)
 
 
+def _title_scores(batch) -> list[str | None]:
+    score = (batch["job_title"].str.len() * 3).astype(str)
+    return ('{"match_score": ' + score + ', "verdict": "scored"}').where(batch["collect_seq"] % 11 != 0, None).tolist()
+
+
 @query(
     "scorer_hook",
     A.with_postings(
@@ -449,7 +454,9 @@ def _title_scorer(row) -> str:
 )
 def scorer_hook(spark, sf):
     postings = A.postings(spark, sf)
-    tries = hooks.hook_answers(postings, _title_scorer, ["collect_seq", "job_title"], "match")
+    tries = runtime.stage(
+        hooks.hook_answers(postings, _title_scorer, ["collect_seq", "job_title"], "match", answer_batch=_title_scores), "tries"
+    )
     best = resolve.first_valid_response(resolve.match_answers(tries))
     return resolve.response_resolve(postings, best).select("job_link", "match_score", "verdict")
 
@@ -463,6 +470,13 @@ def _text_classifier(row) -> str | None:
     return '{"regime": "%s", "confidence": 0.8, "evidence": "size"}' % regime
 
 
+def _text_classes(batch) -> list[str | None]:
+    size = batch["description"].fillna("").str.len()
+    regime = (size < 40).map({True: "TEMPORARIO", False: "CLT"})
+    texts = '{"regime": "' + regime + '", "confidence": 0.8, "evidence": "size"}'
+    return texts.where(size > 0, None).tolist()
+
+
 @query(
     "classifier_hook",
     A.with_postings(
@@ -474,7 +488,10 @@ def _text_classifier(row) -> str | None:
 )
 def classifier_hook(spark, sf):
     labelled = flow.label_postings(A.postings(spark, sf))
-    tries = hooks.hook_answers(flow.needs_answer(labelled), _text_classifier, ["description"], "contract")
+    labelled = runtime.stage(labelled.select("job_link", "description", "labels"), "labelled")
+    tries = runtime.stage(
+        hooks.hook_answers(flow.needs_answer(labelled), _text_classifier, ["description"], "contract", answer_batch=_text_classes), "tries"
+    )
     best = resolve.first_valid_response(resolve.contract_answers(tries))
     return flow.decide_contract(labelled, best).select("job_link", "inferred_contract_type", "accepted")
 
