@@ -358,7 +358,7 @@ def removed(size: int, marks: pa.Array | None, length: int) -> list[list[int]]:
     return np.stack([begins[new], np.concatenate([reach[new[1:] - 1], reach[-1:]])], axis=1).tolist()
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, most: int = 256, slice_bytes: int = 1 << 24, hot_runs: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, most: int = 256, slice_bytes: int = 1 << 23, hot_runs: int = 20_000, chunk: int = 5_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans [begin, end)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select("doc_id", text.cast("binary").alias("bytes"), F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc"))
@@ -381,10 +381,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, most: int = 256, slice_by
     hot = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_runs).select("anchor")
     marks = ranked.filter("anchor IS NULL").select("doc", "at")
     if hot.isEmpty():
-        marks = marks.unionAll(_doubled_here(texts, length, hot_runs))
+        marks = marks.unionAll(_doubled_here(texts, length, chunk))
     else:
         hot = runtime.stage(hot, "hot")
-        marks = marks.unionAll(_doubled_here(texts.join(hot, "anchor", "left_anti"), length, max(1, hot_runs)))
+        marks = marks.unionAll(_doubled_here(texts.join(hot, "anchor", "left_anti"), length, chunk))
         marks = marks.unionAll(_doubled(texts.join(hot, "anchor", "left_semi"), length))
     cut = _cut(source, marks.groupBy("doc").agg(F.collect_list("at").alias("at")), length)
     if named is not None:
