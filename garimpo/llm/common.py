@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from garimpo import runtime
 
-ROWS_PER_BLOCK = 1 << 17
+ROWS_PER_BLOCK = 1 << 11
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
