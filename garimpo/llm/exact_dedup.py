@@ -129,6 +129,8 @@ def exact_groups(docs: DataFrame, **chunking: int) -> DataFrame:
         named.groupBy("chunks").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
     )
+    # stored, so that only the join stands in its stage, and Spark can split a hot group
+    groups = runtime.stage(groups, "groups")
     found = named.join(groups, "chunks", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
