@@ -146,6 +146,35 @@ def test_linked_documents_move_together_as_far_as_quotas_go(spark):
     assert sum(n for _, n in places["giant"].most_common(2)) >= 150  # two shards hold 200 at most
 
 
+def test_pairs_meet_where_every_shard_is_full(spark):
+    rows = [(i, f"pair {i % 600}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["shard"] for r in _rows(sharding.balanced_shards(df, 8))}
+    assert sorted(Counter(found.values()).values()) == [150] * 8
+    assert sum(found[i] != found[i + 600] for i in range(600)) <= 12
+
+
+def test_rows_leave_a_full_shard_for_a_side_with_room(spark):
+    rows = [("two", 0), ("two", 1), ("whole", 0), ("whole", 0), ("three", 0), ("three", 0), ("three", 1)]
+    df = spark.createDataFrame([(i, g, s) for i, (g, s) in enumerate(rows)], "row long, group string, shard int")
+    found = defaultdict(Counter)
+    for r in sharding.propagate(df, [5, 9], 6).collect():
+        found[r["group"]][r["shard"]] += 1
+    assert all(len(c) == 1 for c in found.values()) and sum(c[0] for c in found.values()) <= 5
+
+
+def test_moves_between_shards_respect_quotas():
+    wished = {(0, 1): 5, (1, 0): 3, (1, 2): 4, (2, 0): 1, (3, 1): 2}
+    assert sharding.circulation(wished, [0, 0, 0, 0]) == {(0, 1): 4, (1, 0): 3, (1, 2): 1, (2, 0): 1}
+    made = sharding.circulation(wished, [0, 0, 2, 0])
+    net = Counter()
+    for (a, b), n in made.items():
+        assert 0 < n <= wished[a, b]
+        net[b] += n
+        net[a] -= n
+    assert max(net[s] - [0, 0, 2, 0][s] for s in range(4)) <= 0 and made[1, 2] == 3
+
+
 @pytest.mark.parametrize(("name", "options"), [("docs", {"capacity": 200}), ("docs", {"capacity": 64, "per_group": 10}), ("repeated", {"capacity": 50}), ("empty", {})])
 def test_bins(request, name, options):
     df = request.getfixturevalue(name)
