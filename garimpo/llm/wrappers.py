@@ -10,13 +10,14 @@ expressions, then over the parts; a task holds one wrapper at a time.
 
 A wrapper's slots are judged once for a host, by their place in it and by sums over all of
 the host's pages: slots inside the article (or else main, or else the element with most of
-the varying, unlinked text) that no menu, header, footer, sidebar, notice, advert, form or
+the varying, unlinked text; text that several pages of different content share does not vary) that no menu, header, footer, sidebar, notice, advert, form or
 comment element encloses. Extraction reads the slots off each page. A page without text in
 the host's article slots is judged by its own tree alone.
 
 Defined cases: null html is an empty page; a null or malformed url belongs to the host ''; a
 page without article text yields the empty text; rows that repeat a page_id are rows of their
-own; other columns are ignored; an empty table gives an empty result.
+own in the result, while copies of a page count once in what is judged; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -221,9 +222,9 @@ def _is_core(label: str) -> int:
     return int(name == "main" or "main" in words and name in ("div", "section"))
 
 
-def judged(wrapper: list, stats: dict[str, tuple[int, int, int, int]]) -> list[str]:
-    """Paths of the wrapper's article slots, those of headlines before it marked; stats: path -> pages, characters, linked ones, texts (2: several)."""
-    slots: list[tuple[str, int, bool]] = []  # path, core, aside
+def _slots(wrapper: list) -> list[tuple[str, int, bool]]:
+    """(path, core, aside) of each slot of a wrapper or of a page's own expression."""
+    slots: list[tuple[str, int, bool]] = []
 
     def holds_core(node: list) -> bool:
         return bool(_is_core(node[0])) or any(holds_core(c) for c in node[1])
@@ -240,6 +241,19 @@ def judged(wrapper: list, stats: dict[str, tuple[int, int, int, int]]) -> list[s
                 walk(child, f"{path}/{label}", max(core, _is_core(label)), away)
 
     walk(wrapper, "", 0, False)
+    return slots
+
+
+def _content(page: Page, tree: list) -> bytes:
+    """A name of what a page says outside menus, adverts and lists of links: copies have it in common."""
+    own = {path for path, _, aside in _slots(tree) if not aside}
+    blocks = [(p, t) for p, t, n in page.blocks if p in own and 2 * n <= len(t)] or [(p, t) for p, t, _ in page.blocks]
+    return hashlib.blake2b(json.dumps(blocks).encode(), digest_size=16).digest()
+
+
+def judged(wrapper: list, stats: dict[str, tuple[int, int, int, int]]) -> list[str]:
+    """Paths of the wrapper's article slots, those of headlines before it marked; stats: path -> pages, copies counted once, characters, linked ones, texts (2: several)."""
+    slots = _slots(wrapper)
     mass: dict[str, int] = {}
     for path, _, aside in slots:
         pages, chars, linked, texts = stats.get(path, (0, 0, 0, 0))
@@ -280,16 +294,17 @@ def wrappers(pages: DataFrame, parts: int = 16) -> DataFrame:
             hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
             for host, source in zip(hosts, _texts(batch), strict=True):
                 page = Page(source)
-                rows.append((host, json.dumps(folded(page.root), separators=(",", ":")), None, 1, 0, 0, None))
-                sums = _sums(page)
-                rows += [(host, None, path, *s) for path, s in sums.items()]
+                tree = folded(page.root)
+                rows.append((host, json.dumps(tree, separators=(",", ":")), None, None, 0, 0, None))
+                content = _content(page, tree)
+                rows += [(host, None, path, content, *s[1:]) for path, s in _sums(page).items()]
             # equal expressions of a batch go on once
             rows = list(dict.fromkeys(r for r in rows if r[1])) + [r for r in rows if not r[1]]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["host", "tree", "path", "pages", "chars", "linked", "first"]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            names = ["host", "tree", "path", "content", "chars", "linked", "first"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
-    seen = runtime.stage(pages.mapInArrow(read, "host string, tree string, path string, pages long, chars long, linked long, first long"), "trees")
+    seen = runtime.stage(pages.mapInArrow(read, "host string, tree string, path string, content binary, chars long, linked long, first long"), "trees")
     trees = seen.filter("tree IS NOT NULL").groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
 
     def infer(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,9 +319,13 @@ def wrappers(pages: DataFrame, parts: int = 16) -> DataFrame:
     part = F.pmod(F.xxhash64("tree"), F.lit(parts))
     partial = trees.select("host", "tree", part.alias("part")).groupBy("host", "part").applyInPandas(infer, "host string, tree string")
     whole = partial.groupBy("host").applyInPandas(infer, "host string, tree string")
-    sums = seen.filter("path IS NOT NULL").groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
-        F.when(F.min("first") == F.max("first"), 1).otherwise(2).alias("texts"),
+    # copies of a page are one page, however many rows they have
+    once = seen.filter("path IS NOT NULL").groupBy("host", "path", "content").agg(
+        F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.min("first").alias("least"), F.max("first").alias("most")
+    )
+    sums = once.groupBy("host", "path").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+        F.when(F.min("least") == F.max("most"), 1).otherwise(2).alias("texts"),
     )
     slots = sums.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "chars", "linked", "texts")).alias("slots"))  # one entry a path of the wrapper
 

@@ -115,6 +115,28 @@ def test_main_text_of_mixed_hosts_and_odd_pages(spark):
     assert wrappers.main_texts(spark.createDataFrame([], KIND)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 3, 5])
+def test_copies_of_a_page_do_not_make_its_blocks_constant(spark, copies):
+    quoted = SHAPES["divs"].replace("</p></div>", "</p><blockquote>Said once, of page {0}.</blockquote></div>", 1)
+    assert quoted != SHAPES["divs"]
+    pages = [(i, f"http://d.org/{i}", SHAPES["divs"].format(i)) for i in range(6)]
+    # the copies' links differ, what they say does not
+    pages += [(50 + i, f"http://d.org/q{i}", quoted.format(50).replace("Other article 50", f"Other article {i}")) for i in range(copies)]
+    body = "<body><h1>Early title {0}</h1><article><p>Text {0} of some length.</p></article>"
+    pages += [(80 + i, f"http://e.org/{i}", body.format(80)) for i in range(copies)]
+    found = _texts(spark, pages)
+    assert {i: found[i] for i in range(6)} == {i: WANTED.format(i) for i in range(6)}
+    for i in range(copies):
+        assert found[50 + i] == WANTED.format(50) + "\nSaid once, of page 50."
+        assert found[80 + i] == "Early title 80\nText 80 of some length."
+
+
+def test_text_that_different_pages_share_stays_constant(spark):
+    page = "<body><div><div class=post><p>Story {0} with enough words to be the text.</p></div><h3>Our firm since 1900</h3></div>"
+    found = _texts(spark, [(i, f"http://c.org/{i}", page.format(i)) for i in range(4)])
+    assert found == {i: f"Story {i} with enough words to be the text." for i in range(4)}
+
+
 def test_wrappers_stay_union_free_and_cover_their_pages(spark):
     pages = [(i, "http://w.org/", "<body><div>" + "<p>t</p><h2>u</h2>" * (i + 1) + ("<ul><li>x</ul>" if i % 2 else "") + "</div>") for i in range(4)]
     from pyspark.sql import functions as F
