@@ -1,4 +1,8 @@
-"""From raw documents to packed training bins: five stages, each over all its predecessor kept."""
+"""From raw documents to packed training bins: five stages, each over all its predecessor kept.
+
+A row is decided by itself, whatever its doc_id: null ones stay as others do, repeated rows are
+equal texts of which one stays, and two texts of one doc_id are two documents.
+"""
 
 from __future__ import annotations
 
@@ -14,33 +18,56 @@ from garimpo.llm.common import read_table
 ORACLE_SQL = None  # no stage but the second can be said in SQL; tests compare with brute force
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Whole rows of `docs` whose doc_id is in `ids` (doc_id)."""
-    return docs.join(ids.distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """`docs`, stored, each row with a number of its own: a doc_id may be null or repeated."""
+    return runtime.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _one_each(rows: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
+    """Whole rows: of each group of `groups` (__row, __group) the one with the largest or least
+    doc_id; a null doc_id loses against any other, equal ones go by a hash of their contents."""
+    columns = [c for c in rows.columns if c != "__row"]
+    known = rows.select("__row", F.col("doc_id").alias("__id"), F.xxhash64(*columns).alias("__hash"))
+    missing = F.col("__id").isNull()
+    order = F.struct((~missing if largest else missing).alias("m"), F.col("__id").alias("i"), F.col("__hash").alias("h"), F.col("__row").alias("r"))
+    chosen = groups.join(known, "__row").groupBy("__group").agg((F.max(order) if largest else F.min(order)).alias("o")).select(F.col("o.r").alias("__row"))
+    return rows.join(chosen, "__row", "left_semi").select(*columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language, or between two, go."""
-    found = language.predicted_languages(docs)
-    return _keep(docs, found.filter(~F.col("rejected")).select("doc_id"))
+    rows = _rows(docs)
+    clear = language.classify(_by_row(rows), language.dictionaries(language.training_rows(rows))).filter(~F.col("rejected"))
+    return rows.join(clear.select(F.col("doc_id").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
-    return _keep(docs, exact_dedup.exact_groups(docs).filter("kept").select("doc_id"))
+    """Of rows with equal texts one with the largest doc_id stays."""
+    rows = _rows(docs)
+    found = exact_dedup.exact_groups(_by_row(rows))
+    return _one_each(rows, found.select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("__group")), largest=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similar shingle sets connect the one with the least doc_id stays."""
-    return _keep(docs, ngram_join.near_duplicates(docs).filter("kept").select("doc_id"))
+    """Of rows that similar shingle sets connect one with the least doc_id stays."""
+    rows = _rows(docs)
+    found = ngram_join.near_duplicates(_by_row(rows))
+    return _one_each(rows, found.select(F.col("doc_id").alias("__row"), F.col("class_id").alias("__group")), largest=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once, or several times."""
-    found = mixing.mixed_documents(docs).filter("copies > 0")
-    copies = found.groupBy("doc_id").agg(F.max("copies").alias("__mix_copies"))
+    """Each row as often as the mix takes it: not at all, once, or several times."""
+    rows = _rows(docs)
+    # the seeded order is that of the documents, not of the row numbers
+    named = rows.withColumn("__hash", F.xxhash64(*docs.columns))
+    found = mixing.mix(named, F.array(F.col("source").cast("string")), mixing.words(F.col("text")), tell=("__hash", "__row")).filter("copies > 0")
+    copies = found.select("__row", F.col("copies").alias("__mix_copies"))
     return (
-        docs.join(copies, "doc_id").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+        rows.join(copies, "__row").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
     )
 
 

@@ -109,8 +109,11 @@ def classify(docs: DataFrame, dicts: list[tuple[str, bytes]], block: int = 2048,
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def training_rows(docs: DataFrame) -> DataFrame:
+    return docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
 def predicted_languages(docs: DataFrame, **options: float) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected."""
-    train = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = classify(docs, dictionaries(train), **options)
+    found = classify(docs, dictionaries(training_rows(docs)), **options)
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

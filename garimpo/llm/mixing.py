@@ -109,7 +109,7 @@ def route(patterns: list[tuple[frozenset, int]], quotas: dict[str | None, int],
     return {k: room[e ^ 1] for k, e in given.items()}
 
 
-def _cumulated(rows: DataFrame, blocks: int) -> DataFrame:
+def _cumulated(rows: DataFrame, blocks: int, tell: tuple[str, ...] = ()) -> DataFrame:
     """Column `_before`: words of the documents ahead in a pattern's seeded order.
 
     Hash blocks are summed first; a window sees one block of one pattern.
@@ -120,7 +120,7 @@ def _cumulated(rows: DataFrame, blocks: int) -> DataFrame:
     starts = sums.select(
         F.col("_pattern").alias("_p"), F.col("_block").alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy("_pattern", "_block").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_pattern", "_block").orderBy("_order", "doc_id", *tell).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts, (F.col("_pattern") == F.col("_p")) & (F.col("_block") == F.col("_b")))
@@ -130,19 +130,21 @@ def _cumulated(rows: DataFrame, blocks: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, members: Column, size: Column, most: int = 3, seed: int = 42, gap_rounds: int = 3, max_patterns: int = 10_000
+    docs: DataFrame, members: Column, size: Column, most: int = 3, seed: int = 42, gap_rounds: int = 3, max_patterns: int = 10_000,
+    tell: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: doc_id, size, members, taken (words, repeats counted), copies.
 
     `members` is an array of sources (nulls stand for the null source); `most` bounds both a
     document's copies and a source's target. `gap_rounds` is how many documents of a pattern
-    may close the gap that the seeded order leaves.
+    may close the gap that the seeded order leaves. Columns `tell` together tell rows apart
+    that share a doc_id or have none, and are returned as well.
     """
     key = F.array_sort(F.array_distinct(members), lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0))
     rows = runtime.stage(
         docs.select(
             "doc_id", size.alias("size"), key.alias("members"),
-            F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_order"),
+            F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_order"), *tell,
         ),
         "sizes",
     )
@@ -169,7 +171,7 @@ def mix(
     table = F.broadcast(spark.createDataFrame(plan, kind))  # at most max_patterns rows
     rows = rows.join(table, F.col("members").eqNullSafe(F.col("_members"))).drop("_members", "_size")
     blocks = common.blocks_for(sum(r["n"] for r in found))
-    rows = _cumulated(rows, blocks).withColumn("_extra", (F.col("_before") + F.col("size") <= F.col("_rest")) & (F.col("size") > 0))
+    rows = _cumulated(rows, blocks, tell).withColumn("_extra", (F.col("_before") + F.col("size") <= F.col("_rest")) & (F.col("size") > 0))
     rows = runtime.stage(rows, "mixed")
     for _ in range(gap_rounds):
         gap = (
@@ -177,17 +179,20 @@ def mix(
         )
         fits = (
             rows.filter(~F.col("_extra") & (F.col("size") > 0)).join(F.broadcast(gap), "_pattern").filter(F.col("size") <= F.col("_gap"))
-            .groupBy("_pattern").agg(F.max(F.struct("size", "_order", "doc_id")).alias("_fit"))
-            .select(F.col("_pattern").alias("_p"), F.col("_fit.doc_id").alias("_fit_id"))
+            .groupBy("_pattern").agg(F.max(F.struct("size", "_order", "doc_id", *tell)).alias("_fit"))
+            .select(F.col("_pattern").alias("_p"), F.col("_fit.doc_id").alias("_fit_id"), *[F.col(f"_fit.{c}").alias(f"_fit_{c}") for c in tell])
         )
-        pick = F.broadcast(spark.createDataFrame(fits.collect(), "_p int, _fit_id long"))  # one row a pattern
+        pick = F.broadcast(spark.createDataFrame(fits.collect(), fits.schema))  # one row a pattern
+        same = (F.col("_pattern") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("_fit_id"))
+        for c in tell:
+            same = same & F.col(c).eqNullSafe(F.col(f"_fit_{c}"))
         rows = (
-            rows.join(pick, (F.col("_pattern") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("_fit_id")), "left")
-            .withColumn("_extra", F.col("_extra") | F.col("_p").isNotNull()).drop("_p", "_fit_id")
+            rows.join(pick, same, "left")
+            .withColumn("_extra", F.col("_extra") | F.col("_p").isNotNull()).drop(*pick.columns)
         )
     copies = F.col("_copies") + F.col("_extra").cast("int")
     return rows.select(
-        "doc_id", "size", "members", "targets", "source_sizes", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies")
+        "doc_id", "size", "members", "targets", "source_sizes", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"), *tell
     )
 
 

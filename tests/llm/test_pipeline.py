@@ -60,6 +60,35 @@ def test_stages(spark, docs, corpus):
     assert sum(r["size"] for r in seen[-1][2].collect()) == words
 
 
+def test_stages_of_repeated_rows(spark, repeated):
+    rows = repeated.filter("text IS NOT NULL")
+    texts = {r.text for r in rows.collect()}
+    one = corpus_pipeline.identify_language(spark, repeated, "").collect()
+    count = {t: sum(r.text == t for r in rows.collect()) for t in texts}
+    assert one and all(sum(r.text == t for r in one) == count[t] for t in {r.text for r in one})
+    assert any(r.doc_id is None for r in one)
+    exact = corpus_pipeline.drop_exact_copies(spark, rows, "").collect()
+    best = {}
+    for r in rows.collect():
+        best[r.text] = max(best.get(r.text, -1), -1 if r.doc_id is None else r.doc_id)
+    assert sorted(r.text for r in exact) == sorted(texts)
+    assert {r.text: -1 if r.doc_id is None else r.doc_id for r in exact} == best
+    near = corpus_pipeline.drop_near_copies(spark, rows, "").collect()
+    assert sorted(r.text for r in near) == sorted(texts)  # none of these texts is like another
+
+
+def test_a_verdict_holds_for_its_row_alone(spark):
+    long = "one two three four five six seven eight nine ten " * 3
+    rows = [(1, long, "en", "s"), (2, long, "en", "s"), (1, "another text of that id", "en", "s"), (None, "a text without id", "en", "s"), (None, long, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_exact_copies(spark, df, "").collect())
+    assert found == [(0, "a text without id"), (1, "another text of that id"), (2, long)]
+    mixed = corpus_pipeline.mix_sources(spark, df, "").collect()
+    assert any(r.doc_id is None for r in mixed)
+    words = sum(len(t.split()) for _, t, _, _ in rows)
+    assert abs(sum(len(r.text.split()) for r in mixed) - words) <= 30
+
+
 def test_pipeline_of_no_documents(spark, empty):
     kept = empty
     for name, stage in corpus_pipeline.STAGES:
