@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, sharding, suffix_dedup, warc, wrappers
+from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, phrase_automata, sharding, suffix_dedup, warc, wrappers
 from garimpo.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": _over("documents", mixing.mixed_documents),
     "op9_html_wrappers": _over("pages", wrappers.main_texts),
     "op10_packing": _over("documents", packing.packed_documents),
+    "op12_phrase_automata": _over("documents", phrase_automata.removed_passages),
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
