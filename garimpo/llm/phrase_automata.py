@@ -360,3 +360,29 @@ def removed_passages(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans of `without_repeats`."""
     found = without_repeats(docs, **options)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "spans")
+
+
+SQL = r"""
+WITH word AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)
+), passage AS (
+  SELECT doc_id, pos, word, string_agg(word, ' ') OVER w AS words, count(*) OVER w AS n
+  FROM word WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), judged AS (
+  SELECT doc_id, pos, word, n = 20 AND row_number() OVER (PARTITION BY words, n ORDER BY doc_id, pos) > 1 AS again FROM passage
+), covered AS (
+  SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM judged
+), counted AS (
+  SELECT doc_id, count(*) AS n_words, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept,
+         list(pos - 1 ORDER BY pos) FILTER (gone) AS places
+  FROM covered GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+       list_transform(
+         list_filter(coalesce(places, []), lambda p: NOT list_contains(places, p - 1)),
+         lambda p: [p, list_min(list_filter(places, lambda q: q >= p AND NOT list_contains(places, q + 1))) + 1]
+       ) AS spans
+FROM documents LEFT JOIN counted USING (doc_id)
+"""
