@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, phrase_automata, sharding, suffix_dedup, treap_search, warc, wrappers
+from garimpo.llm import cover_tree, exact_dedup, language, mixing, ngram_join, packing, phrase_automata, prefix_trie, sharding, suffix_dedup, treap_search, warc, wrappers
 from garimpo.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": _over("documents", mixing.mixed_documents),
     "op9_html_wrappers": _over("pages", wrappers.main_texts),
     "op10_packing": _over("documents", packing.packed_documents),
+    "op11_prefix_trie": _over("conversations", prefix_trie.prefix_trie),
     "op12_phrase_automata": _over("documents", phrase_automata.removed_passages),
     "op13_k2_treap": lambda spark, sf_dir: treap_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
     "pipeline": corpus_pipeline.run,
@@ -37,6 +38,7 @@ ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_warc": warc.SQL,
     "op7_ngram_join": ngram_join.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op12_phrase_automata": phrase_automata.SQL,
     "op13_k2_treap": treap_search.SQL,
 }
