@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_open = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,7 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_open, "scratch", None):
+        _open.scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that this thread names inside are dropped at the end, also after an error."""
+    held: list[str] = []
+    _open.scratch = [*getattr(_open, "scratch", []), held]
+    try:
+        yield
+    finally:
+        _open.scratch = _open.scratch[:-1]
+        for path in held:
+            drop_folder(spark, path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, stored; the folders it has staged on its way are dropped."""
+    path = new_folder(spark, name)
+    with scratch(spark):
+        return stage_at(make(), path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
