@@ -52,10 +52,10 @@ def dictionaries(
         return []
     span = float(1 << 63)
     bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, sample_docs / r["count"]) * span * 2 - span) - 1)])
-    chosen = F.xxhash64("doc_id") <= bounds[F.col("lang")]
-    rows = train.filter(chosen).select("lang", F.xxhash64("doc_id").alias("o"), F.substring("text", 1, sample_chars).alias("t")).collect()
+    drawn = F.xxhash64("doc_id", "text")  # texts that share a doc_id are drawn one by one, equal rows count once
+    rows = train.filter(drawn <= bounds[F.col("lang")]).groupBy("lang", drawn.alias("o")).agg(F.first(F.substring("text", 1, sample_chars)).alias("t"))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows:  # about sample_docs x sample_chars characters a language
+    for r in rows.collect():  # about sample_docs x sample_chars characters a language
         texts.setdefault(r["lang"], []).append((r["o"], r["t"]))
     made = []
     for r in counts:
@@ -71,36 +71,43 @@ def _encoder(content: bytes, search: dict[str, int]) -> zstandard.ZstdCompressor
     return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
 
+def _tools(dicts: list[tuple[str, bytes]]) -> list[tuple]:
+    return [(lang, _encoder(content + CARRIER, SEARCH), _encoder(content + CARRIER, FINE)) for lang, content in dicts]
+
+
+def _told(texts: pa.Array, tools: list[tuple], block: int, short: int, min_margin: float) -> tuple[list[str], list[float], list[bool]]:
+    langs, scores, refused = [], [], []
+    for text in texts:
+        value = text.as_py()
+        if value is None or not tools or not LETTER.search(value):
+            langs.append("und")
+            scores.append(0.0)
+            refused.append(True)
+            continue
+        raw = value.lower().encode()
+        sizes = []
+        for i, (_, coarse, fine) in enumerate(tools):
+            if len(raw) <= short:
+                sizes.append((len(fine.compress(CARRIER + raw)), i))
+            else:
+                sizes.append((sum(len(coarse.compress(raw[a : a + block])) for a in range(0, len(raw), block)), i))
+        sizes.sort()
+        score = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        langs.append(tools[sizes[0][1]][0])
+        scores.append(score)
+        refused.append(score < min_margin)
+    return langs, scores, refused
+
+
 def classify(docs: DataFrame, dicts: list[tuple[str, bytes]], block: int = 2048, short: int = 512, min_margin: float = 0.002) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(dicts)  # bounded: dictionary_bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = []
-        for lang, content in shared.value:
-            tools.append((lang, _encoder(content + CARRIER, SEARCH), _encoder(content + CARRIER, FINE)))
+        tools = _tools(shared.value)
         for batch in batches:
-            langs, scores, refused = [], [], []
-            for text in batch.column(1):
-                value = text.as_py()
-                if value is None or not tools or not LETTER.search(value):
-                    langs.append("und")
-                    scores.append(0.0)
-                    refused.append(True)
-                    continue
-                raw = value.lower().encode()
-                sizes = []
-                for i, (_, coarse, fine) in enumerate(tools):
-                    if len(raw) <= short:
-                        sizes.append((len(fine.compress(CARRIER + raw)), i))
-                    else:
-                        sizes.append((sum(len(coarse.compress(raw[a : a + block])) for a in range(0, len(raw), block)), i))
-                sizes.sort()
-                score = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-                langs.append(tools[sizes[0][1]][0])
-                scores.append(score)
-                refused.append(score < min_margin)
+            langs, scores, refused = _told(batch.column(1), tools, block, short, min_margin)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())],
                 names=["doc_id", "lang_pred", "score", "rejected"],
@@ -109,6 +116,20 @@ def classify(docs: DataFrame, dicts: list[tuple[str, bytes]], block: int = 2048,
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, dicts: list[tuple[str, bytes]], block: int = 2048, short: int = 512, min_margin: float = 0.002) -> DataFrame:
+    """The rows of `docs`, all columns, whose text is clearly in one language; no row is moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(dicts)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = _tools(shared.value)
+        for batch in batches:
+            _, _, refused = _told(batch.column(at), tools, block, short, min_margin)
+            yield batch.filter(pa.array([not r for r in refused], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 

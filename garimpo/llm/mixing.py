@@ -6,18 +6,25 @@ then routes words from patterns to source quotas; the r-th copy of a pattern's w
 copies go to all documents of a pattern; the rest of its words is taken by documents in a
 seeded order, and the last gap is closed by the largest documents that fit it.
 
-The driver sees one row per pattern and per source, never a document. The number of
-patterns is bounded by `max_patterns`, beyond which the operator raises.
+Sources and patterns are tables; the driver sees sums over all of them only. A source that
+no pattern shares with another needs no flow: its quota goes to its one pattern, as whole
+copies and a rest. Patterns that sources connect are solved by the flow, one task for each
+connected set.
+
+Rows that agree in doc_id, size, sources and `tell` are interchangeable: they are one weighted
+row until the end, and the mix takes so many of them. So the order has no ties, and the
+result depends neither on partitions nor on null or repeated doc_ids.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in the
-order; rows that repeat a doc_id are rows of their own and share the fate of their copy;
-other columns are ignored; an empty table gives an empty result.
+order; rows that repeat a doc_id are rows of their own, each taken or not by itself; other
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,89 +116,144 @@ def route(patterns: list[tuple[frozenset, int]], quotas: dict[str | None, int],
     return {k: room[e ^ 1] for k, e in given.items()}
 
 
-def _cumulated(rows: DataFrame, blocks: int, tell: tuple[str, ...] = ()) -> DataFrame:
-    """Column `_before`: words of the documents ahead in a pattern's seeded order.
+def _cumulated(groups: DataFrame, blocks: int, order: list[Column | str]) -> DataFrame:
+    """Column `_before`: words of the rows ahead in a pattern's seeded order.
 
     Hash blocks are summed first; a window sees one block of one pattern.
     """
-    rows = rows.withColumn("_block", F.shiftrightunsigned(F.col("_order"), 33) % F.lit(blocks))
-    sums = rows.groupBy("_pattern", "_block").agg(F.sum("size").alias("_sum"))
+    groups = groups.withColumn("_block", F.shiftrightunsigned(F.col("_order"), 33) % F.lit(blocks)).withColumn("_all", F.col("size") * F.col("_n"))
+    sums = groups.groupBy("_pattern", "_block").agg(F.sum("_all").alias("_sum"))
     ahead = Window.partitionBy("_pattern").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
         F.col("_pattern").alias("_p"), F.col("_block").alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy("_pattern", "_block").orderBy("_order", "doc_id", *tell).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_pattern", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        groups.withColumn("_inside", F.coalesce(F.sum("_all").over(inside), F.lit(0)))
         .join(starts, (F.col("_pattern") == F.col("_p")) & (F.col("_block") == F.col("_b")))
         .withColumn("_before", F.col("_start") + F.col("_inside"))
-        .drop("_p", "_b", "_start", "_inside", "_block")
+        .drop("_p", "_b", "_start", "_inside", "_block", "_all")
     )
 
 
+def source_targets(sources: DataFrame, total: int, most: int, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
+    """`targets` of a table (source, size): (source, size, target, quota), stored.
+
+    Sources are numbered over sorted ranges. All whose size by weight lies below a bound stop
+    at `most` times their size; what they leave raises the bound, until no more stop.
+    """
+    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ranged = runtime.stage(ranged.withColumn("place", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("place", 33)
+    counts = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(
+        F.col("part").alias("part_"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier")
+    )  # one row a range
+    number = F.col("earlier") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.array(*[F.lit(float(w)) for w in weights])[(number % len(weights)).cast("int")]
+    weighed = runtime.stage(ranged.join(before, part == F.col("part_")).select("source", "size", weight.alias("weight")), "weights")
+    sums = weighed.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).first()
+    whole, share, stopped = sums.weight or 0.0, 0.0, 0
+    left, over = float(total), F.lit(False)
+    while stopped < sums.n:
+        share = left / whole
+        over = F.lit(share) * F.col("weight") > F.col("size") * F.lit(most)
+        full = weighed.filter(over).agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).first()
+        if full.n == stopped:
+            break
+        stopped, left, whole = full.n, float(total) - float(most * full.size), sums.weight - full.weight
+    target = F.when(over, (F.col("size") * most).cast("double")).otherwise(F.lit(share) * F.col("weight"))
+    return weighed.select("source", "size", target.alias("target"))
+
+
+def _given(patterns: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """(_pattern, words): what each pattern gives, stored. `patterns`: (_pattern, members, size)."""
+    held = patterns.select("_pattern", "size", F.size("members").alias("k"), F.explode("members").alias("source_"))
+    same = F.col("source_").eqNullSafe(F.col("source"))
+    quota = F.bround("target").cast("long")
+    linked = held.join(sources.select("source", quota.alias("quota"), F.monotonically_increasing_id().alias("sid")), same).drop("source_")
+    linked = runtime.stage(linked, "held")
+    shared = linked.filter("k > 1").select("sid").distinct()
+    if shared.isEmpty():
+        return linked.select("_pattern", F.least("quota", F.col("size") * most).alias("words"))
+    tied = runtime.stage(linked.join(shared, "sid", "left_semi"), "tied")
+    edges = tied.select((F.col("_pattern") * 2).alias("a"), (F.col("sid") * 2 + 1).alias("b"))
+    parts = common.components(edges)
+    flows = tied.join(parts, F.col("_pattern") * 2 == F.col("node")).select("root", "_pattern", "size", "sid", "quota")
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("_pattern", "size", "sid", "quota")), strict=True))
+        members: dict[int, set] = {}
+        sizes, quotas = {}, {}
+        for p, size, s, quota in rows:
+            members.setdefault(p, set()).add(s)
+            sizes[p], quotas[s] = size, quota
+        names = list(members)
+        found = route([(frozenset(members[p]), sizes[p]) for p in names], quotas, most)
+        words_ = [sum(found.get((i, s), 0) for s in members[p]) for i, p in enumerate(names)]
+        return pa.table({"_pattern": pa.array(names, pa.int64()), "words": pa.array(words_, pa.int64())})
+
+    alone = linked.join(shared, "sid", "left_anti").filter("k = 1").select("_pattern", F.least("quota", F.col("size") * most).alias("words"))
+    return runtime.stage(alone.unionAll(flows.groupBy("root").applyInArrow(solve, "_pattern long, words long")), "given")
+
+
 def mix(
-    docs: DataFrame, members: Column, size: Column, most: int = 3, seed: int = 42, gap_rounds: int = 3, max_patterns: int = 10_000,
-    tell: tuple[str, ...] = (),
+    docs: DataFrame, members: Column, size: Column, most: int = 3, seed: int = 42, gap_rounds: int = 3, tell: tuple[str, ...] = (), per_block: int = 4096,
 ) -> DataFrame:
-    """One row per document: doc_id, size, members, taken (words, repeats counted), copies.
+    """One row per document: doc_id, size, members, targets, source_sizes, taken (words, repeats counted), copies.
 
     `members` is an array of sources (nulls stand for the null source); `most` bounds both a
-    document's copies and a source's target. `gap_rounds` is how many documents of a pattern
-    may close the gap that the seeded order leaves. Columns `tell` together tell rows apart
-    that share a doc_id or have none, and are returned as well.
+    document's copies and a source's target. `gap_rounds` is how many kinds of documents of a
+    pattern may close the gap that the seeded order leaves. Columns `tell` together tell rows
+    apart that share a doc_id or have none, and are returned as well.
     """
     key = F.array_sort(F.array_distinct(members), lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    rows = runtime.stage(
-        docs.select(
-            "doc_id", size.alias("size"), key.alias("members"),
-            F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_order"), *tell,
-        ),
-        "sizes",
-    )
-    found = rows.groupBy("members").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    found.sort(key=lambda r: [(m is None, m or "") for m in r["members"]])
-    patterns = [(frozenset(r["members"]), int(r["size"])) for r in found]
-    sizes: dict[str | None, int] = {}
-    for held, n in patterns:
-        for s in held:
-            sizes[s] = sizes.get(s, 0) + n
+    rows = docs.select("doc_id", size.alias("size"), key.alias("members"), *tell)
+    same = ["doc_id", "size", *tell]
+    groups = runtime.stage(rows.groupBy("members", *same).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    patterns = groups.groupBy("members").agg(F.sum(F.col("size") * F.col("_n")).alias("size"), F.sum("_n").alias("rows"))
+    patterns = runtime.stage(patterns.withColumn("_pattern", F.monotonically_increasing_id()), "patterns")
+    sizes = patterns.select(F.explode("members").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    whole = patterns.agg(F.sum("size").alias("words"), F.sum("rows").alias("rows"), F.sum(F.col("size") * F.size("members")).alias("held")).first()
+    wanted = source_targets(sizes, whole.held or 0, most)
     # words that several sources hold count once in what is shared out
-    wanted = targets(sizes, most)
-    scale = sum(n for _, n in patterns) / max(1, sum(sizes.values()))
-    wanted = {s: w * scale for s, w in wanted.items()} if scale < 1 else wanted
-    flow = route(patterns, {s: round(w) for s, w in wanted.items()}, most)
-    spark = docs.sparkSession
-    plan = []
-    for i, ((held, n), r) in enumerate(zip(patterns, found, strict=True)):
-        words_ = sum(flow.get((i, s), 0) for s in held)
-        plan.append((i, r["members"], n, words_ // n if n else 0, words_ % n if n else 0, [float(wanted[s]) for s in r["members"]], [sizes[s] for s in r["members"]]))
-    kind = "_pattern int, _members array<string>, _size long, _copies long, _rest long, targets array<double>, source_sizes array<long>"
-    table = F.broadcast(spark.createDataFrame(plan, kind))  # at most max_patterns rows
-    rows = rows.join(table, F.col("members").eqNullSafe(F.col("_members"))).drop("_members", "_size")
-    blocks = common.blocks_for(sum(r["n"] for r in found))
-    rows = _cumulated(rows, blocks, tell).withColumn("_extra", (F.col("_before") + F.col("size") <= F.col("_rest")) & (F.col("size") > 0))
-    rows = runtime.stage(rows, "mixed")
+    scale = min(1.0, (whole.words or 0) / max(1, whole.held or 0))
+    wanted = runtime.stage(wanted.withColumn("target", F.col("target") * F.lit(scale)), "targets")
+    given = _given(patterns, wanted, most)
+    shares = patterns.select("_pattern", F.posexplode("members").alias("at", "source_")).join(wanted, F.col("source_").eqNullSafe(F.col("source")))
+    shares = shares.groupBy("_pattern").agg(F.sort_array(F.collect_list(F.struct("at", "target", "size"))).alias("of"))
+    n = F.col("size")
+    plan = patterns.join(given, "_pattern", "left").join(shares, "_pattern", "left").select(  # some rows have no source
+        "_pattern", F.col("members").alias("_members"), F.col("of.target").alias("targets"), F.col("of.size").alias("source_sizes"),
+        *[F.coalesce(F.when(n > 0, x), F.lit(0)).cast("long").alias(name) for name, x in (("_copies", F.floor(F.col("words") / n)), ("_rest", F.col("words") % n))],
+    )
+    groups = groups.join(runtime.stage(plan, "plan"), F.col("members").eqNullSafe(F.col("_members"))).drop("_members")
+    groups = groups.withColumn("_order", F.xxhash64(F.lit(seed), *same))
+    order = ["_order", *same]
+    # how many of equal rows the rest takes
+    fit = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("_n"), F.floor((F.col("_rest") - F.col("_before")) / F.col("size"))))).otherwise(0)
+    groups = runtime.stage(_cumulated(groups, common.blocks_for(whole.rows or 0), order).withColumn("_extra", fit.cast("long")).drop("_before"), "mixed")
     for _ in range(gap_rounds):
-        gap = (
-            rows.groupBy("_pattern").agg((F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_extra"), F.col("size"))), F.lit(0))).alias("_gap"))
-        )
+        gap = groups.groupBy("_pattern").agg((F.first("_rest") - F.sum(F.col("_extra") * F.col("size"))).alias("_gap"))
         fits = (
-            rows.filter(~F.col("_extra") & (F.col("size") > 0)).join(F.broadcast(gap), "_pattern").filter(F.col("size") <= F.col("_gap"))
-            .groupBy("_pattern").agg(F.max(F.struct("size", "_order", "doc_id", *tell)).alias("_fit"))
-            .select(F.col("_pattern").alias("_p"), F.col("_fit.doc_id").alias("_fit_id"), *[F.col(f"_fit.{c}").alias(f"_fit_{c}") for c in tell])
-        )
-        pick = F.broadcast(spark.createDataFrame(fits.collect(), fits.schema))  # one row a pattern
-        same = (F.col("_pattern") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("_fit_id"))
-        for c in tell:
-            same = same & F.col(c).eqNullSafe(F.col(f"_fit_{c}"))
-        rows = (
-            rows.join(pick, same, "left")
-            .withColumn("_extra", F.col("_extra") | F.col("_p").isNotNull()).drop(*pick.columns)
+            groups.filter((F.col("_extra") < F.col("_n")) & (F.col("size") > 0)).join(gap, "_pattern").filter(F.col("size") <= F.col("_gap"))
+            .groupBy("_pattern").agg(F.max(F.struct("size", "_order", *[c for c in same if c != "size"], (F.col("_n") - F.col("_extra")).alias("_free"), "_gap")).alias("_fit"))
         )
-    copies = F.col("_copies") + F.col("_extra").cast("int")
-    return rows.select(
+        more = F.least(F.col("_fit._free"), F.floor(F.col("_fit._gap") / F.col("_fit.size")))
+        pick = runtime.stage(fits.select(F.col("_pattern").alias("_p"), *[F.col(f"_fit.{c}").alias(f"_fit_{c}") for c in same], more.alias("_more")), "picks")
+        if pick.isEmpty():
+            break
+        chosen = F.col("_pattern") == F.col("_p")
+        for c in same:
+            chosen = chosen & F.col(c).eqNullSafe(F.col(f"_fit_{c}"))
+        groups = groups.join(pick, chosen, "left").withColumn("_extra", F.col("_extra") + F.coalesce("_more", F.lit(0))).drop(*pick.columns)
+    # one row for each of the equal ones, the first `_extra` with one copy more; very many are dealt out in blocks
+    blocks = groups.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(per_block).cast("long"))))
+    if not groups.filter(F.col("_n") > per_block).isEmpty():
+        blocks = blocks.repartition("_pattern", *same, "_from")
+    each = blocks.withColumn("_i", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + per_block, F.col("_n")) - 1)))
+    copies = F.col("_copies") + (F.col("_i") < F.col("_extra")).cast("int")
+    return each.select(
         "doc_id", "size", "members", "targets", "source_sizes", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"), *tell
     )
 

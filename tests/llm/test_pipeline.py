@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from garimpo.llm import queries
 
-TEN = {f"op{n}_" for n in range(1, 11)}
+TEN = {f"op{n}_" for n in range(1, 14)}
 
 
 def test_every_operator_and_the_pipeline_are_registered():

@@ -108,6 +108,54 @@ def test_mixing(request, name):
     assert sorted(map(str, _rows(mixing.mixed_documents(df)))) == sorted(map(str, found))
 
 
+@pytest.mark.parametrize("rows", [
+    # half without doc_id; seven ids for all; one row for all
+    [(None if i % 2 else i, "w " * (1 + i * i % 150), "abc"[i % 3]) for i in range(1500)],
+    [(i % 7, "w " * (1 + i * i % 90), "ab"[i % 2]) for i in range(1500)],
+    [(5, "w w w", "a")] * 900 + [(6, "w " * 40, "b"), (None, "w " * 9, None)],
+])
+def test_mixing_of_null_and_repeated_ids(spark, rows):
+    df = spark.createDataFrame([(i, t, s, 1, "x", 2, 3) for i, t, s in rows], "doc_id long, text string, source string, `_n` int, `_order` string, `_extra` int, `_pattern` int")
+    found = [sorted(map(str, _rows(mixing.mixed_documents(df.repartition(n), per_block=100)))) for n in (2, 5)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    taken, largest, sizes = Counter(), Counter(), Counter()
+    for r in _rows(mixing.mixed_documents(df)):
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+        sizes[r["source"]] += r["size"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"])
+    wanted = mixing.targets(dict(sizes))
+    assert all(abs(taken[s] - wanted[s]) <= largest[s] for s in sizes)
+
+
+def test_targets_of_a_table_are_those_of_the_rule(spark):
+    import random
+
+    rng = random.Random(6)
+    for n in (0, 1, 7, 500):
+        sizes = {f"s{i}" if i else None: int(10 ** rng.uniform(0, 5)) for i in range(n)}
+        df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(3)
+        found = {r.source: r.target for r in mixing.source_targets(df, sum(sizes.values()), 3).collect()}
+        assert found == pytest.approx(mixing.targets(sizes))
+
+
+def test_many_sources(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', 1 + id % 13) AS text", "concat('s', id % 2000) AS source")
+    taken, wanted, largest = Counter(), {}, Counter()
+    for r in mixing.mixed_documents(df).collect():
+        taken[r.source] += r.taken
+        wanted[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r.size)
+    assert len(wanted) == 2000 and all(abs(taken[s] - wanted[s]) <= largest[s] for s in wanted)
+
+
+def test_separate_overlaps_are_solved_apart(spark):
+    rows = [(i, "w " * (1 + i % 9), [f"{i % 40}a", f"{i % 40}b"] if i % 3 else [f"{i % 40}a"]) for i in range(800)]
+    df = spark.createDataFrame([*rows, (900, "w " * 50, ["alone"]), (901, "w w", [])], "doc_id long, text string, sources array<string>")
+    found = _rows(mixing.mix(df, F.col("sources"), mixing.words(F.col("text"))))
+    assert len(found) == 802 and {r["copies"] for r in found} <= {0, 1, 2, 3} and [r["taken"] for r in found if r["doc_id"] == 901] == [0]
+
+
 def test_mixing_of_overlapping_sources(spark):
     rows = [(i, "w " * (1 + i % 9), (["a"], ["a", "b"], ["b"], ["b", "a", "a"])[i % 4]) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
