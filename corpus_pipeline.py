@@ -1,7 +1,14 @@
 """From raw documents to packed training bins: five stages, each over all its predecessor kept.
 
-A row is decided by itself, whatever its doc_id: null ones stay as others do, repeated rows are
-equal texts of which one stays, and two texts of one doc_id are two documents.
+A stage computes a verdict a row, stores it without any text, drops what it staged on the way
+and lets the verdict take effect on the table it was given. Where every doc_id is there once
+it names the row; else the rows are stored with numbers first.
+
+Defined cases: a row is decided by itself, whatever its doc_id: null ones stay as others do,
+repeated rows are equal texts of which one stays, and two texts of one doc_id are two
+documents. A null, empty or letterless text is in no language and goes with the first stage;
+very long texts are read whole. Ties are decided by doc_id, then by a hash of the whole row.
+Helper columns take names that the table does not have. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,57 +25,86 @@ from garimpo.llm.common import read_table
 ORACLE_SQL = None  # no stage but the second can be said in SQL; tests compare with brute force
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """`docs`, stored, each row with a number of its own: a doc_id may be null or repeated."""
-    return runtime.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+def _free(docs: DataFrame, name: str) -> str:
+    """`name`, or what must be added to it for a column that `docs` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _by_row(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("__row").alias("doc_id"), "text")
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, and the name of that column."""
+    key = _free(docs, "row_number")
+    ids = docs.select(F.col("doc_id").cast("long").alias("i"))
+    odd = ids.filter("i IS NULL").select("i").limit(1).unionAll(ids.groupBy("i").count().filter("count > 1").select("i").limit(1))
+    if odd.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    return runtime.stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
-def _one_each(rows: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
-    """Whole rows: of each group of `groups` (__row, __group) the one with the largest or least
-    doc_id; a null doc_id loses against any other, equal ones go by a hash of their contents."""
-    columns = [c for c in rows.columns if c != "__row"]
-    known = rows.select("__row", F.col("doc_id").alias("__id"), F.xxhash64(*columns).alias("__hash"))
-    missing = F.col("__id").isNull()
-    order = F.struct((~missing if largest else missing).alias("m"), F.col("__id").alias("i"), F.col("__hash").alias("h"), F.col("__row").alias("r"))
-    chosen = groups.join(known, "__row").groupBy("__group").agg((F.max(order) if largest else F.min(order)).alias("o")).select(F.col("o.r").alias("__row"))
-    return rows.join(chosen, "__row", "left_semi").select(*columns)
+def _by_row(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(F.col(key).alias("doc_id"), "text")
+
+
+def _losers(rows: DataFrame, key: str, groups: DataFrame, largest: bool) -> DataFrame:
+    """(row): of each group of `groups` (row, grp) of several rows all but the one with the largest
+    or least doc_id; a null doc_id loses against any other, equal ones go by a hash of their contents."""
+    columns = [c for c in rows.columns if c != key]
+    several = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp")
+    contested = runtime.stage(groups.join(several, "grp", "left_semi"), "contested")
+    known = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(*columns).alias("h")).join(contested, "row")
+    known = runtime.stage(known, "known")
+    missing = F.col("i").isNull()
+    order = F.struct((~missing if largest else missing).alias("m"), "i", "h", "row")
+    best = known.groupBy("grp").agg((F.max(order) if largest else F.min(order)).alias("o")).select(F.col("o.row").alias("row"))
+    return known.join(best, "row", "left_anti").select("row")
+
+
+def _without(docs: DataFrame, losers: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    rows, key = _rows(docs)
+    gone = runtime.settled(docs.sparkSession, "verdicts", lambda: losers(rows, key))
+    return rows.join(gone.withColumnRenamed("row", key), key, "left_anti").select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language, or between two, go."""
-    rows = _rows(docs)
-    clear = language.classify(_by_row(rows), language.dictionaries(language.training_rows(rows))).filter(~F.col("rejected"))
-    return rows.join(clear.select(F.col("doc_id").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    """Documents in no language, or between two, go. No row is moved for it."""
+    return language.accepted(docs, language.dictionaries(language.training_rows(docs)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal texts one with the largest doc_id stays."""
-    rows = _rows(docs)
-    found = exact_dedup.exact_groups(_by_row(rows))
-    return _one_each(rows, found.select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("__group")), largest=True)
+
+    def losers(rows: DataFrame, key: str) -> DataFrame:
+        found = runtime.stage(exact_dedup.exact_groups(_by_row(rows, key)).select(F.col("doc_id").alias("row"), F.col("keep_id").alias("grp")), "exact")
+        return _losers(rows, key, found, largest=True)
+
+    return _without(docs, losers)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that similar shingle sets connect one with the least doc_id stays."""
-    rows = _rows(docs)
-    found = ngram_join.near_duplicates(_by_row(rows))
-    return _one_each(rows, found.select(F.col("doc_id").alias("__row"), F.col("class_id").alias("__group")), largest=False)
+
+    def losers(rows: DataFrame, key: str) -> DataFrame:
+        found = ngram_join.near_duplicates(_by_row(rows, key)).select(F.col("doc_id").alias("row"), F.col("class_id").alias("grp"))
+        return _losers(rows, key, runtime.settled(spark, "near", lambda: found), largest=False)
+
+    return _without(docs, losers)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once, or several times."""
-    rows = _rows(docs)
+    rows, key = _rows(docs)
     # the seeded order is that of the documents, not of the row numbers
-    named = rows.withColumn("__hash", F.xxhash64(*docs.columns))
-    found = mixing.mix(named, F.array(F.col("source").cast("string")), mixing.words(F.col("text")), tell=("__hash", "__row")).filter("copies > 0")
-    copies = found.select("__row", F.col("copies").alias("__mix_copies"))
-    return (
-        rows.join(copies, "__row").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
-    )
+    content, times, turn = _free(docs, "content"), _free(docs, "times"), _free(docs, "turn")
+    named = rows.withColumn(content, F.xxhash64(*docs.columns))
+
+    def copies() -> DataFrame:
+        found = mixing.mix(named, F.array(F.col("source").cast("string")), mixing.words(F.col("text")), tell=(content, key))
+        return found.filter("copies > 0").select(key, F.col("copies").alias(times))
+
+    taken = rows.join(runtime.settled(spark, "copies", copies), key)
+    return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +123,11 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = runtime.stage(stage(spark, docs, sf_dir), name)
-    return runtime.stage(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    docs, path = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        before, path = path, runtime.new_folder(spark, name)
+        with runtime.scratch(spark):
+            docs = runtime.stage_at(stage(spark, docs, sf_dir), path)
+        if before:
+            runtime.drop_folder(spark, before)
+    return docs
