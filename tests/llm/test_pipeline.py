@@ -89,6 +89,28 @@ def test_a_verdict_holds_for_its_row_alone(spark):
     assert abs(sum(len(r.text.split()) for r in mixed) - words) <= 30
 
 
+def test_clashing_columns_come_through(spark):
+    """Columns named as the helpers are keep their values through all stages but the last."""
+    long = "one two three four five six seven eight nine ten " * 3
+    rows = [(i, f"{long} and {i} " * (1 + n), "en", "s", 10 + n, "c", 20 + n, 30 + n, 40 + n) for n, i in enumerate((1, 2, 2, None, 5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row_number int, content string, times int, turn int, grp int")
+    whole = {tuple(r) for r in df.collect()}
+    kept = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.runtime.stage(stage(spark, kept, ""), "kept")
+        assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} <= whole
+    assert kept.count()
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, docs, monkeypatch):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    folder = str(tmp_path / "shared")
+    os.mkdir(folder)
+    monkeypatch.setattr(corpus_pipeline.runtime, "shared_folder", lambda _: folder)
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.count() > 20 and [x.split("-")[0] for x in os.listdir(folder)] == ["pack"]
+
+
 def test_pipeline_of_no_documents(spark, empty):
     kept = empty
     for name, stage in corpus_pipeline.STAGES:
