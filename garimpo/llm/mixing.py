@@ -38,6 +38,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def seeded(*columns: Column | str, seed: int = 42) -> Column:
+    """What a pattern's rows are ordered by first: a hash of doc_id, size and what tells rows apart."""
+    return F.xxhash64(F.lit(seed), *columns)
+
+
 def targets(sizes: dict[str | None, int], most: float = 3.0, weights: tuple[float, ...] = (1, 2, 3)) -> dict[str | None, float]:
     """Words wanted of each source: shares by weight of all words, no source above `most` times
     its own size; what is cut off is shared anew by weight among the others."""
@@ -200,8 +205,9 @@ def _given(patterns: DataFrame, sources: DataFrame, most: int) -> DataFrame:
 def mix(
     docs: DataFrame, members: Column, size: Column, most: int = 3, seed: int = 42, gap_rounds: int = 3, tell: tuple[str, ...] = (), per_block: int = 4096,
 ) -> DataFrame:
-    """One row per document: doc_id, size, members, targets, source_sizes, taken (words, repeats counted), copies.
+    """One row per document: doc_id, size, members, targets, source_sizes, taken (words, repeats counted), copies, seeded.
 
+    `seeded` comes first in the seeded order of a pattern, then doc_id, size and `tell`.
     `members` is an array of sources (nulls stand for the null source); `most` bounds both a
     document's copies and a source's target. `gap_rounds` is how many kinds of documents of a
     pattern may close the gap that the seeded order leaves. Columns `tell` together tell rows
@@ -228,7 +234,7 @@ def mix(
         *[F.coalesce(F.when(n > 0, x), F.lit(0)).cast("long").alias(name) for name, x in (("_copies", F.floor(F.col("words") / n)), ("_rest", F.col("words") % n))],
     )
     groups = groups.join(runtime.stage(plan, "plan"), F.col("members").eqNullSafe(F.col("_members"))).drop("_members")
-    groups = groups.withColumn("_order", F.xxhash64(F.lit(seed), *same))
+    groups = groups.withColumn("_order", seeded(*same, seed=seed))
     order = ["_order", *same]
     # how many of equal rows the rest takes
     fit = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("_n"), F.floor((F.col("_rest") - F.col("_before")) / F.col("size"))))).otherwise(0)
@@ -254,7 +260,8 @@ def mix(
     each = blocks.withColumn("_i", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + per_block, F.col("_n")) - 1)))
     copies = F.col("_copies") + (F.col("_i") < F.col("_extra")).cast("int")
     return each.select(
-        "doc_id", "size", "members", "targets", "source_sizes", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"), *tell
+        "doc_id", "size", "members", "targets", "source_sizes", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"),
+        F.col("_order").alias("seeded"), *tell
     )
 
 

@@ -102,6 +102,26 @@ def test_clashing_columns_come_through(spark):
     assert kept.count()
 
 
+@pytest.mark.parametrize("name", ["docs", "repeated"])
+def test_mix_takes_what_the_operator_says(request, spark, name):
+    """The border of each source stands for the verdicts of its rows."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from garimpo.llm import mixing
+
+    df = request.getfixturevalue(name)
+    rows = corpus_pipeline.runtime.stage(df.withColumn("row_number", F.monotonically_increasing_id()), "rows") if name == "repeated" else df.withColumn("row_number", F.col("doc_id"))
+    named = rows.withColumn("content", F.xxhash64(*df.columns))
+    told = mixing.mix(named, F.array("source"), mixing.words(F.col("text")), tell=("content", "row_number"))
+    wanted = Counter({(r.doc_id, r.content): 0 for r in told.collect()})
+    for r in told.collect():
+        wanted[r.doc_id, r.content] += r.copies
+    found = Counter((r.doc_id, r.content) for r in corpus_pipeline.mix_sources(spark, df, "").select("doc_id", F.xxhash64(*df.columns).alias("content")).collect())
+    assert found == +wanted and max(found.values()) > 1
+
+
 def test_run_leaves_only_its_result(spark, tmp_path, docs, monkeypatch):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     folder = str(tmp_path / "shared")
