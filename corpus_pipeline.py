@@ -93,18 +93,34 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: not at all, once, or several times."""
+    """Each row as often as the mix takes it: not at all, once, or several times.
+
+    In the seeded order the rows of a source with a copy more come first, but for a few that
+    close the gap. So one row a source says where the border is, and no text is moved for it.
+    """
     rows, key = _rows(docs)
     # the seeded order is that of the documents, not of the row numbers
-    content, times, turn = _free(docs, "content"), _free(docs, "times"), _free(docs, "turn")
+    content, turn, at, late = (_free(docs, name) for name in ("content", "turn", "border", "late"))
     named = rows.withColumn(content, F.xxhash64(*docs.columns))
-
-    def copies() -> DataFrame:
-        found = mixing.mix(named, F.array(F.col("source").cast("string")), mixing.words(F.col("text")), tell=(content, key))
-        return found.filter("copies > 0").select(key, F.col("copies").alias(times))
-
-    taken = rows.join(runtime.settled(spark, "copies", copies), key)
-    return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    size, source = mixing.words(F.col("text")), F.col("source").cast("string")
+    tell = (content, key)
+    found = mixing.mix(named, F.array(source), size, tell=tell)
+    found = found.select(F.col("members")[0].alias("of"), "size", "copies", F.struct("seeded", "doc_id", "size", *tell).alias("place"), F.col(key).alias("row"))
+    found = runtime.settled(spark, "mixed", lambda: found)
+    worded = F.col("size") > 0
+    first = found.groupBy("of", "copies").agg(F.min(F.when(worded, F.col("place"))).alias("first"), F.max(F.when(~worded, F.col("copies"))).alias("none"))
+    borders = first.groupBy("of").agg(
+        F.min(F.when(F.col("first").isNotNull(), F.struct("copies", "first"))).alias("low"),
+        F.max(F.when(F.col("first").isNotNull(), F.col("copies"))).alias("high"), F.max("none").alias("none"),
+    )
+    borders = runtime.stage(borders.select(F.struct("*").alias(at)), "borders")
+    own = F.col("of").eqNullSafe(F.col(f"{at}.of"))
+    more = found.filter(worded).join(borders, own).filter((F.col("copies") > F.col(f"{at}.low.copies")) & (F.col("place") > F.col(f"{at}.low.first")))
+    more = runtime.stage(more.select(F.col("row").alias(late)), "late")
+    place = F.struct(mixing.seeded("doc_id", size, *tell), F.col("doc_id"), size, *tell)
+    times = F.when(size == 0, F.col(f"{at}.none")).when((place < F.col(f"{at}.low.first")) | F.col(late).isNotNull(), F.col(f"{at}.high")).otherwise(F.col(f"{at}.low.copies"))
+    taken = named.join(borders, source.eqNullSafe(F.col(f"{at}.of"))).join(more, F.col(key) == F.col(late), "left")
+    return taken.withColumn(turn, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*docs.columns)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
