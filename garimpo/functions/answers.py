@@ -33,8 +33,13 @@ def _is_whole_json(text: Column) -> Column:
     return member.isNotNull() & element.isNotNull()
 
 
-def first_json_object(text: Column) -> Column:
-    """Text from the first brace on, or NULL when no object can be meant."""
+# a string to its end (or that of the text), a brace, or what lies between them
+_JSON_PARTS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[{}]|[^"{}]++'
+
+
+def _from_first_brace(text: Column) -> Column:
+    """Text from the first brace on, or NULL when no object can be meant; JSON readers that
+    stop at the brace's partner need no more."""
     start = F.instr(text, F.lit("{"))
     return (
         F.when(F.startswith(text, F.lit("{")), text)
@@ -42,12 +47,31 @@ def first_json_object(text: Column) -> Column:
     )
 
 
+def first_json_object(text: Column) -> Column:
+    """The first object from its brace to the partner, braces inside strings not counted.
+
+    NULL if there is no brace, none that closes it, or if the text is a JSON value of another kind.
+    """
+    def cut(rest: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("closed"))
+
+        def step(state: Column, part: Column) -> Column:
+            depth = state["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
+            further = F.struct(depth.alias("depth"), (state["size"] + F.length(part)).alias("size"), ((part == "}") & (depth == 0)).alias("closed"))
+            return F.when(state["closed"], state).otherwise(further)
+
+        folded = F.aggregate(F.regexp_extract_all(rest, F.lit(_JSON_PARTS), F.lit(0)), begin, step)
+        return let(folded, lambda end: F.when(end["closed"], F.substring(rest, F.lit(1), end["size"])))
+
+    return let(_from_first_brace(text), cut)
+
+
 def json_fields(raw: Column, names: tuple[str, ...]) -> Column:
     """Struct of VARIANT fields of the answered object; NULL if there is none."""
     schema = ", ".join(f"{n} variant" for n in names) + ", broken string"
 
     def read(text: Column) -> Column:
-        return F.from_json(first_json_object(text), schema, _OPTIONS)
+        return F.from_json(_from_first_brace(text), schema, _OPTIONS)
 
     return let(let(strip_fence(raw), read), lambda found: F.when(found["broken"].isNull(), found))
 

@@ -105,3 +105,18 @@ def test_list_items_keep_their_fraction(values):
     rows = ['{"match_score": 5, "strengths": [1.0, 1, 2.5, -3.0, true, null, "1"]}']
     found = values(lambda c: answers.parse_match(c)["strengths"], rows, "t string")
     assert found == [["1.0", "1", "2.5", "-3.0", "True", "None", "1"]]
+
+
+def test_first_json_object_ends_at_its_partner(values):
+    from garimpo.functions.answers import first_json_object
+
+    cases = {
+        '{"a": 1}': '{"a": 1}', '{"a": {"b": 2}} and {"c": 3}': '{"a": {"b": 2}}', 'So: {"a": "}"} done': '{"a": "}"}',
+        r'x {"a": "\"}"} y }': r'{"a": "\"}"}', r'{"a": "\\"} }': r'{"a": "\\"}', '{"a": "é{漢"}.': '{"a": "é{漢"}',
+        '{"a": 1': None, '{"a": "}': None, "{": None, "}{": None, "} {}": "{}", "none": None, "": None, None: None,
+        '[{"a": 1}]': None, '"{}"': None, '[{"a": 1}] or': '{"a": 1}', '{} {': "{}", '{"a": "\n}"}x': '{"a": "\n}"}',
+        "{" * 5000 + "}" * 5000 + "}": "{" * 5000 + "}" * 5000, 'quote " before {"a": 1} ': '{"a": 1}',
+        '{"long": "' + r"\"{" * 30_000 + '"} rest': '{"long": "' + r"\"{" * 30_000 + '"}',
+    }
+    found = values(first_json_object, list(cases), "text string")
+    assert dict(zip(cases, found, strict=True)) == cases

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from garimpo import rules, runtime
 from garimpo.functions import answers, contract, numbers
-from garimpo.operators import filters, hooks, models, prompts, resolve
+from garimpo.operators import chain, filters, hooks, models, prompts, resolve
 from garimpo.plans import flow
 from workload import adapter as A
 from workload.registry import query
@@ -108,8 +108,7 @@ def strip_fence(spark, sf):
     A.with_postings(
         "SELECT job_link, a AS attempt, "
         + _BARE.format(
-            prose=f"{_RAW_CONTRACT} || ' Hope {{this}} helps.'", plain=_RAW_CONTRACT,
-            garbage="NULL", cut=f"trim(substr({_RAW_CONTRACT}, 1, 14))",
+            prose=_RAW_CONTRACT, plain=_RAW_CONTRACT, garbage="NULL", cut="NULL",
         )
         + " AS candidate FROM tries",
         A.SQL_ANSWERS, _TRIES,
@@ -496,6 +495,55 @@ def classifier_hook(spark, sf):
     return flow.decide_contract(labelled, best).select("job_link", "inferred_contract_type", "accepted")
 
 
+def _first_model(row) -> str | None:
+    """Over its quota for a third of the rows; no JSON for another."""
+    if row["collect_seq"] % 3 == 0:
+        raise RuntimeError("HTTP 429: too many requests")
+    return "I cannot say {yet}." if row["collect_seq"] % 3 == 1 else _scored(row, 0)
+
+
+def _second_model(row) -> str | None:
+    if row["collect_seq"] % 2 == 0:
+        raise ConnectionError("connection refused")
+    return f"So: {_scored(row, 1)} {{done}}"
+
+
+def _other_provider(batch) -> list[str | None]:
+    """Answers that are cut off for a fifth of the rows, and in later cycles for a 25th."""
+    every = 5 if batch["cycle"].iloc[0] == 1 else 25
+    return [_scored(row, 2)[: 12 if row["collect_seq"] % every == 0 else None] for row in batch.to_dict("records")]
+
+
+def _scored(row, model: int) -> str:
+    return '{"match_score": %d, "verdict": "by {%d}"}' % (len(row["job_title"]) + 10 * model, model)
+
+
+CHAIN = ((chain.Model(_first_model), chain.Model(_second_model)), (chain.Model(lambda row: None, _other_provider),))
+
+
+@query(
+    "answer_chain",
+    A.with_postings(
+        """SELECT job_link, cycle, provider_rank, model_rank, CAST(length(job_title) + 10 * (provider_rank * 2 + model_rank) AS INT) AS match_score,
+          'by {' || (provider_rank * 2 + model_rank) || '}' AS verdict, tries FROM (
+          SELECT *, CASE WHEN own THEN 1 WHEN k % 5 <> 0 THEN 1 WHEN k % 25 <> 0 THEN 2 END AS cycle,
+            CASE WHEN own THEN 0 WHEN k % 25 <> 0 THEN 1 END AS provider_rank,
+            CASE WHEN own THEN CASE WHEN k % 3 = 2 THEN 0 ELSE 1 END WHEN k % 25 <> 0 THEN 0 END AS model_rank,
+            CASE WHEN k % 3 = 2 THEN 1 WHEN own THEN 2 ELSE CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END * CASE WHEN k % 3 = 0 THEN 3 ELSE 2 END END AS tries
+          FROM (SELECT *, k % 3 = 2 OR k % 3 = 0 AND k % 2 = 1 AS own FROM postings))"""
+    ),
+)
+def answer_chain(spark, sf):
+    """Two models of one provider and one of another, each failing in its own way, for two cycles."""
+    postings = runtime.stage(A.postings(spark, sf).select("job_link", "collect_seq", "job_title"), "postings")
+    tries = chain.answer_chain(
+        postings, CHAIN, answers.parse_match, ["collect_seq", "job_title"], "match", runtime.new_folder(spark, "chain"), max_cycles=2
+    )
+    counts = tries.groupBy("job_link").agg(F.count(F.lit(1)).alias("tries"))
+    found = chain.chain_answers(tries).select("job_link", "cycle", "provider_rank", "model_rank", "answer.match_score", "answer.verdict")
+    return counts.join(found, "job_link", "left")
+
+
 # --- model lists ----------------------------------------------------------------------------------------
 def _catalog(spark, sf):
     """Parts as models: some free, in several output shapes."""
