@@ -9,6 +9,7 @@ from garimpo.functions.numbers import score_of
 from garimpo.runtime import cut_lineage
 
 BLOCK = 1 << 20
+NULL_BLOCKS = 1 << 12
 
 
 def position_in_group(df: DataFrame, group: Column, seq: str, position: str, *ties: str,
@@ -18,10 +19,11 @@ def position_in_group(df: DataFrame, group: Column, seq: str, position: str, *ti
     Rows are counted per (group, seq block). As ``seq`` is unique in a group, a block
     holds at most ``block`` rows whatever the skew, so numbering inside a block is a
     cheap window; block starts are running sums over the small table of counts. Rows
-    without ``seq`` come last, by ``ties``. With ``upto``, blocks that begin beyond it are
+    without ``seq`` come last, dealt to ``NULL_BLOCKS`` blocks by a hash of their ``ties`` and
+    in the order of ``ties`` inside a block. With ``upto``, blocks that begin beyond it are
     left out before the window.
     """
-    last = F.lit((1 << 62) // block)
+    last = F.lit((1 << 62) // block) + F.pmod(F.xxhash64(*ties), F.lit(NULL_BLOCKS))
     keyed = df.withColumn("_group", group).withColumn(
         "_block", F.coalesce(F.floor(F.col(seq) / F.lit(block)).cast("long"), last)
     )

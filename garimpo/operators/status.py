@@ -30,15 +30,16 @@ def event_validation(events: DataFrame, history: DataFrame) -> DataFrame:
     """Events plus ``problem``: NULL is valid, else the first failing rule.
 
     ``history`` must hold a link once; one outer join finds unknown links. Events that are
-    decided already, blank links among them, take no part in it.
+    decided already, blank links among them, pass through it under keys that no link has,
+    spread by a hash, so that they neither match nor meet in one task.
     """
-    judged = events.withColumn("problem", payload_problem())
-    known = history.select(F.col("job_link").alias("link"), F.lit(True).alias("_known"))
+    judged = events.withColumn("_payload", payload_problem())
+    aside = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*events.columns), F.lit(1 << 16)).cast("string"))
+    key = F.when(F.col("_payload").isNull(), F.col("link")).otherwise(aside)
+    known = history.select(F.col("job_link").alias("_key"), F.lit(True).alias("_known"))
     unknown = F.when(F.col("_known").isNull(), F.lit(UNKNOWN_LINK))
-    open_ = judged.filter(F.col("problem").isNull()).drop("problem").join(known, "link", "left")
-    return judged.filter(F.col("problem").isNotNull()).unionByName(
-        open_.withColumn("problem", unknown).select(*events.columns, "problem")
-    )
+    joined = judged.withColumn("_key", key).join(known, "_key", "left")
+    return joined.select(*events.columns, F.coalesce("_payload", unknown).alias("problem"))
 
 
 def valid_events(validated: DataFrame) -> DataFrame:

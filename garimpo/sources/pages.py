@@ -1,14 +1,14 @@
 """Search and detail pages: a pages table in, cards or descriptions out.
 
 The element tree has no SQL form, so pages pass through ``mapInPandas``: one Spark
-task per input split, rows in batches, no shuffle. Pages that cannot be read come
-out as rows with ``error`` set.
+task per input split, rows in batches, no shuffle. What cannot be read, a page or one card
+of it, comes out as a row with ``error`` set; the other cards of the page stay.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -36,7 +36,7 @@ def _text(element: Element | None, default: str | None) -> str | None:
     return "".join(element.strings()).strip() if element is not None else default
 
 
-def _card(card: Element) -> tuple:
+def read_card(card: Element) -> tuple:
     link = card.find(CARD_LINK, "a")
     return (
         _text(card.find(CARD_TITLE), rules.UNTITLED),
@@ -47,36 +47,63 @@ def _card(card: Element) -> tuple:
     )
 
 
-def _cards_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+CardReader = Callable[[Element], tuple]
+
+
+def _cards_of_page(page_id: int, html: str | None, read: CardReader) -> Iterator[tuple]:
+    nothing = (None,) * 5
+    try:
+        cards = [e for e in parse(html or "").walk() if e.has_class(CARD)]
+    except Exception as problem:
+        yield (page_id, -1, *nothing, _said(problem))
+        return
+    for i, card in enumerate(cards):
+        try:
+            yield (page_id, i, *read(card), None)
+        except Exception as problem:  # this card only
+            yield (page_id, i, *nothing, _said(problem))
+
+
+def _said(problem: Exception) -> str:
+    return str(problem) or type(problem).__name__
+
+
+def scan_cards(pages: DataFrame, read: CardReader = read_card) -> DataFrame:
+    """One row per card of a search page, in page order.
+
+    A card that ``read`` cannot take is a row with its place and ``error``; a page that has no
+    readable tree is one such row with place -1. ``read`` gives title, company, location, link
+    and urn of a card element.
+    """
     columns = schemas.names(schemas.CARD_WITH_ERROR)
-    for batch in batches:
-        rows = []
-        for page_id, html in zip(batch["page_id"], batch["html"]):
-            try:
-                cards = [e for e in parse(html or "").walk() if e.has_class(CARD)]
-                rows += [(page_id, i, *_card(c), None) for i, c in enumerate(cards)]
-            except Exception as problem:
-                rows.append((page_id, -1, None, None, None, None, None, str(problem)))
-        yield pd.DataFrame(rows, columns=columns)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [row for page in zip(batch["page_id"], batch["html"]) for row in _cards_of_page(*page, read)]
+            yield pd.DataFrame(found, columns=columns)
 
-def scan_cards(pages: DataFrame) -> DataFrame:
-    """One row per card of a search page, in page order; ``error`` rows are quarantined pages."""
-    return pages.select("page_id", "html").mapInPandas(_cards_of, schemas.CARD_WITH_ERROR)
+    return pages.select("page_id", "html").mapInPandas(run, schemas.CARD_WITH_ERROR)
 
 
 def card_postings(cards: DataFrame, search_location: str, base: str = rules.LINK_BASE) -> DataFrame:
-    """Cards with id and canonical link; cards without an id keep NULL there."""
+    """Cards with id and canonical link; cards without an id keep NULL there.
+
+    Rows with ``error`` stay, with nothing but their place: ``readable_cards`` leaves them out.
+    """
     posting_id = extract_id(without_query(F.col("card_link")), F.col("urn"))
+    readable = F.col("error").isNull()
     return (
-        cards.filter(F.col("error").isNull())
-        .withColumn("location", F.coalesce("location", F.lit(search_location)))
-        .withColumn("posting_id", posting_id)
+        cards.withColumn("location", F.when(readable, F.coalesce("location", F.lit(search_location))))
+        .withColumn("posting_id", F.when(readable, posting_id))
         .withColumn("job_link", canonical_link(F.col("posting_id"), base))
-        .drop("card_link", "urn", "error")
+        .drop("card_link", "urn")
     )
 
 
+def readable_cards(postings: DataFrame) -> DataFrame:
+    return postings.filter(F.col("error").isNull()).drop("error")
+
+
 def detail_of(html: str) -> tuple[str, bool]:
     """Description text and closed flag of one detail page."""
     page = parse(html)

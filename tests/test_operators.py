@@ -72,6 +72,41 @@ def test_caps_keep_null_groups_and_orders(spark, cap):
     assert len(rows_of(capping.cap_per_group_greedy(df, cap), "job_link")) == len(found)
 
 
+def test_rows_without_order_are_no_single_block(spark):
+    df = spark.range(4000).selectExpr("CAST(NULL AS BIGINT) AS collect_seq", "concat('l', id) AS job_link", "1 AS search_group")
+    plan = ranking.position_in_group(df, F.col("search_group"), "collect_seq", "n", "job_link").select("n", "job_link").collect()
+    assert sorted(r.n for r in plan) == list(range(1, 4001))
+    blocks = df.select(F.pmod(F.xxhash64("job_link"), F.lit(ranking.NULL_BLOCKS)).alias("b")).groupBy("b").count()
+    assert blocks.agg(F.max("count")).first()[0] < 20
+    assert len(rows_of(capping.limit_cap(df, 100), "job_link")) == 100
+
+
+def test_greedy_rounds_cut_fewer_and_fewer_groups(spark, monkeypatch):
+    """A chain: group g lists the link that group g + 1 starts with, and cap 1 hands the change on."""
+    rows = [(10 * g, f"l{g}", g) for g in range(8)] + [(10 * g + 1, f"l{g + 1}", g) for g in range(8)]
+    rows += [(0, "l0", -1)] + [(i, f"own{i % 50}-{i}", 100 + i % 50) for i in range(400)]
+    df = spark.createDataFrame(rows, "collect_seq long, job_link string, search_group int")
+    sizes, real = [], capping.runtime.stage
+
+    def seen(frame, name):
+        out = real(frame, name)
+        if name == "groups":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(capping.runtime, "stage", seen)
+    found = rows_of(capping.cap_per_group_greedy(df, 1), "search_group", "job_link")
+    taken, wanted = set(), []
+    for group in sorted({r[2] for r in rows}):
+        for _, link, _ in sorted(r for r in rows if r[2] == group):
+            if link not in taken:
+                taken.add(link)
+                wanted.append((group, link))
+                break
+    assert found == sorted(wanted)
+    assert max(sizes) <= 8 and sizes[-1] == 0  # of 59 groups
+
+
 def test_null_orders_and_scores_lose_no_row(spark):
     df = spark.createDataFrame([(None, "A", "x", 5), (None, "B", "y", None), (3, "B", "z", 9)], "collect_seq long, job_title string, job_link string, match_score int")
     df = df.withColumn("company", F.lit("c"))

@@ -17,11 +17,27 @@ def test_cards(spark):
     cards = pages.scan_cards(spark.createDataFrame(rows, "page_id long, html string"))
     found = pages.card_postings(cards, "Brasil", "https://j/").orderBy("page_id", "position").collect()
     assert [tuple(r) for r in found] == [
-        (1, 0, "Cientista & Dados", "ACME", "São Paulo", "42", "https://j/42"),
-        (1, 1, rules.UNTITLED, rules.UNKNOWN_COMPANY, "Brasil", None, None),
+        (1, 0, "Cientista & Dados", "ACME", "São Paulo", None, "42", "https://j/42"),
+        (1, 1, rules.UNTITLED, rules.UNKNOWN_COMPANY, "Brasil", None, None, None),
     ]
 
 
+def test_one_bad_card_hides_no_other(spark):
+    def read(card):
+        if "bad" in card.attrs["class"]:
+            raise ValueError
+        return pages.read_card(card)
+
+    rows = [(1, CARD + "<p class='base-card bad'></p>" + CARD), (2, "<![x[" + CARD), (3, CARD)]
+    cards = pages.scan_cards(spark.createDataFrame(rows, "page_id long, html string"), read)
+    found = pages.card_postings(cards, "Brasil", "https://j/")
+    told = [(r.page_id, r.position, r.job_title, r.location, r.error) for r in found.orderBy("page_id", "position").collect()]
+    card = ("Cientista & Dados", "São Paulo", None)
+    assert told[:3] == [(1, 0, *card), (1, 1, None, None, "ValueError"), (1, 2, *card)] and told[4] == (3, 0, *card)
+    assert told[3][:4] == (2, -1, None, None) and told[3][4]
+    assert pages.readable_cards(found).count() == 3 and "error" not in pages.readable_cards(found).columns
+
+
 def test_detail_text():
     body = '<div class="x show-more-less-html__markup"><p>One<br>two</p><ul><li>a<li>b</li></ul>\n \n<script>no</script>end</div>'
     assert pages.detail_of(f"<html>{body}<p>after</p></html>") == ("One\ntwo\n- a- b\n\nend", False)

@@ -426,7 +426,8 @@ def status_applied(spark, sf):
 
 # --- pages ------------------------------------------------------------------------------------------------
 def _card_pages(spark, sf):
-    """A search page per order: its card, a card without id, and look-alike children."""
+    """A search page per order: its card, a card without id, and look-alike children; some pages
+    have a card that cannot be read, some no readable tree."""
     esc = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("ã"), F.lit("&atilde;"))
     k = F.col("collect_seq")
     urn = F.when(k % 2 == 0, F.concat(F.lit(' data-entity-urn="urn:li:jobPosting:'), k, F.lit('"'))).otherwise("")
@@ -438,7 +439,9 @@ def _card_pages(spark, sf):
         F.when(k % 5 != 0, F.concat(F.lit('<span class="job-search-card__location">'), esc("location"), F.lit("</span>")))
         .otherwise(""),
         F.lit('</div></div></li><li><div class="base-card"><script>"<div class=base-card>"</script></div></li></ul>'),
+        F.when(k % 11 == 0, '<div class="base-card" data-entity-urn="broken"></div>').otherwise(""),
     )
+    card = F.when(k % 50 == 49, F.concat(F.lit("<![x[ "), card)).otherwise(card)
     return A.postings(spark, sf).select(k.alias("page_id"), card.alias("html"))
 
 
@@ -450,11 +453,21 @@ def _card_pages(spark, sf):
           CASE WHEN position = 0 AND k % 5 <> 0 THEN location ELSE 'Brasil' END AS location,
           CASE position WHEN 0 THEN CAST(k AS VARCHAR) END AS posting_id,
           CASE position WHEN 0 THEN '{A.LINK}' || k END AS job_link
-        FROM postings, (VALUES (0), (1)) AS p(position)"""
+          , false AS failed
+        FROM postings, (VALUES (0), (1)) AS p(position) WHERE k % 50 <> 49
+        UNION ALL SELECT k, CASE WHEN k % 50 = 49 THEN -1 ELSE 2 END, NULL, NULL, NULL, NULL, NULL, true
+        FROM postings WHERE k % 50 = 49 OR k % 11 = 0"""
     ),
 )
 def scan_cards(spark, sf):
-    return pages.card_postings(pages.scan_cards(_card_pages(spark, sf)), "Brasil", A.LINK)
+    """Cards with those that cannot be read, in their places."""
+    def read(card):
+        if card.attrs.get("data-entity-urn") == "broken":
+            raise ValueError("broken card")
+        return pages.read_card(card)
+
+    found = pages.card_postings(pages.scan_cards(_card_pages(spark, sf), read), "Brasil", A.LINK)
+    return found.withColumn("failed", F.col("error").isNotNull()).drop("error")
 
 
 @query(
@@ -724,15 +737,15 @@ def prototype_classify(spark, sf):
 
 
 # --- streams --------------------------------------------------------------------------------------------------
-BATCHES = 3
+BATCHES, FILES = 3, 4
 
 
 def _stream(spark, sf, name, key):
-    """A test table as a stream of three files and so three micro-batches: rows by ``key`` mod 3."""
+    """A test table as a stream of three micro-batches of some files each: rows by ``key`` mod 3."""
     df, folder = A.table(spark, sf, name), runtime.new_folder(spark, "source")
     for part in range(BATCHES):  # one write after the other: the files' times are their order
-        df.filter(F.col(key) % BATCHES == part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        df.filter(F.col(key) % BATCHES == part).repartition(FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 _STREAMED = tuple(
