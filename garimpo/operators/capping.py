@@ -43,8 +43,8 @@ def cap_per_group_greedy(df: DataFrame, cap: int, group: str = "search_group",
     link were shared. A later round cuts only the groups that list a link whose owner, the
     earliest group that accepts it, has come to lie before them or no longer does; the search
     ends when there is none. After n rounds the first n groups are final, and the groups to
-    cut become fewer as fewer owners change. What others accepted stays where it is stored:
-    a round reads the cut of each group from the last round that made one.
+    cut become fewer as fewer owners change; what the others accepted, `cap` rows each at
+    most, is passed on.
     """
     spark = df.sparkSession
     listed = keep_first(
@@ -66,12 +66,12 @@ def cap_per_group_greedy(df: DataFrame, cap: int, group: str = "search_group",
         open_ = listed.join(groups, again, "left_semi").join(owners, link.eqNullSafe(F.col("_link")), "left")
         # an owner of this group itself stands for no earlier one
         open_ = open_.filter(F.col("_owner").isNull() | (place <= F.col("_owner"))).select(*listed.columns)
-        cut = runtime.stage(limit_cap(open_, cap, group, order), "cut")
+        cut = limit_cap(open_, cap, group, order)
         accepted = runtime.stage(accepted.join(groups, again, "left_anti").unionByName(cut), "accepted")
         new = _owners(accepted, place)
         changed = new.join(owners.select(F.col("_link").alias("_old"), F.col("_owner").alias("_before")), F.col("_link").eqNullSafe(F.col("_old")), "full")
         changed = changed.filter(~F.col("_owner").eqNullSafe(F.col("_before"))).select(F.coalesce("_link", "_old").alias("_link"), "_before", "_owner")
-        changed, owners = runtime.stage(changed, "changed"), new
+        owners = new
 
 
 def _owners(accepted: DataFrame, place: Column) -> DataFrame:

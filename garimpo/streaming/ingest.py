@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from garimpo.operators.history import empty_history, history_upsert, known_link_anti
 from garimpo.schemas import HISTORY
-from garimpo.streaming.batches import read_state, seed, write_batch
+from garimpo.streaming.batches import compact, read_state, seed, write_batch
 
 
 def stream_ingest(postings: DataFrame, history_folder: str, checkpoint: str,
@@ -37,5 +37,10 @@ def stream_ingest(postings: DataFrame, history_folder: str, checkpoint: str,
     )
 
 
+def compact_history(spark, history_folder: str, files: int = 0) -> int | None:
+    """Bring the entries of all batches but the latest into few files; each link has one entry already."""
+    return compact(spark, history_folder, HISTORY, files=files)
+
+
 def history_state(spark, history_folder: str) -> DataFrame:
     return read_state(spark, history_folder, HISTORY)

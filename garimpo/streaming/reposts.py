@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from garimpo.operators.dedupe import dedupe_reposts, repost_keys
-from garimpo.streaming.batches import read_state, seed, write_batch
+from garimpo.operators.dedupe import repost_keys
+from garimpo.streaming.batches import read_state, write_batch
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def dedupe_within(stream: DataFrame, ttl: str, event_time: str = "posted_at") -> DataFrame:
@@ -15,26 +17,36 @@ def dedupe_within(stream: DataFrame, ttl: str, event_time: str = "posted_at") ->
     return keyed.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark(list(repost_keys()))
 
 
-def stream_dedupe(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def stream_dedupe(stream: DataFrame, folder: str, checkpoint: str, order: str = "collect_seq") -> StreamingQuery:
     """First posting per repost key in (batch, collection) order, for all time.
 
-    Inside a batch the collection order decides; keys of earlier batches are removed
-    with an anti join on the two key columns of what was kept.
+    The state holds one row per key, the least by (time of the batch, ``order``, a NULL last), in
+    RocksDB: a batch reads and writes the keys that come in it and no others, however many
+    there are. A key of an earlier batch keeps its row and with it that batch's time, so what
+    carries the time of this batch is new. The times are those of the checkpoint: a batch that is
+    run again has the same. The state holds the columns of ``stream``; select those that are
+    wanted before. ``order`` must be unique in a key; equal rows count as one.
     """
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
-    ddl += ", key_title string, key_company string"
+    spark = stream.sparkSession
     keys = list(repost_keys())
-    seed(stream.sparkSession.createDataFrame([], ddl), folder)
+    place = F.struct(F.col("_batch").alias("batch"), F.col(order).isNull().alias("late"), F.col(order).alias("order"))
+    row = F.struct(place.alias("place"), *[F.struct(*[F.col(c) for c in stream.columns]).alias("row")])
+    first = stream.withColumns(repost_keys() | {"_batch": F.current_timestamp()}).groupBy(*keys).agg(F.min(row).alias("first"))
+    new = first.filter(F.col("first.place.batch") == F.current_timestamp()).select("first.row.*", *keys)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = read_state(batch.sparkSession, folder, ddl, before=batch_id).select(*keys)
-        first = dedupe_reposts(batch).withColumns(repost_keys())
-        write_batch(first.join(seen, keys, "left_anti").select(*stream.columns, *keys), folder, batch_id)
-
-    return (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+        write_batch(batch, folder, batch_id)
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)  # a query takes the settings it starts with
+    try:
+        return (
+            new.writeStream.outputMode("update").foreachBatch(handle)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(provider, before)
 
 
 def kept_postings(spark, folder: str, ddl: str) -> DataFrame:

@@ -10,7 +10,7 @@ from garimpo.operators.status import (
     current_status, event_validation, merge_deltas, rejected_events, status_delta, valid_events,
 )
 from garimpo.schemas import STATUS_EVENT
-from garimpo.streaming.batches import read_state, write_batch
+from garimpo.streaming.batches import compact, read_state, write_batch
 
 _AT = "struct<ts:timestamp_ntz,seq:bigint>"
 DELTA = (
@@ -43,5 +43,10 @@ def status_state(spark: SparkSession, folder: str) -> DataFrame:
     return current_status(merge_deltas(read_state(spark, f"{folder}/deltas", DELTA)))
 
 
+def compact_status(spark: SparkSession, folder: str) -> int | None:
+    """Merge the stored deltas but the latest: one row a link, whatever the number of batches."""
+    return compact(spark, f"{folder}/deltas", DELTA, merge_deltas)
+
+
 def rejected_log(spark: SparkSession, folder: str) -> DataFrame:
     return read_state(spark, f"{folder}/rejected", STATUS_EVENT + ", problem string")

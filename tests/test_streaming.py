@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from garimpo import schemas
@@ -41,6 +42,96 @@ def test_stream_dedupe(spark, tmp_path):
     assert sorted(kept.collect()) == sorted(expected.collect())
 
 
+def test_a_batch_touches_only_its_own_keys(spark, tmp_path):
+    """Thirty batches with growing state: each updates as many rows as it has keys, and nothing reads what is stored."""
+    rows = [(i, f"l{i}", f"t{i % 10 if i % 50 < 10 else i}", "c", NOW) for i in range(1500)]
+    df = spark.createDataFrame(rows[::-1], POSTING)
+    split_files(df, str(tmp_path / "in"), "collect_seq", 30)
+    query = reposts.stream_dedupe(stream_of(spark, df, str(tmp_path / "in")), str(tmp_path / "kept"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    told = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert len(told) == 30 and {s["numRowsUpdated"] for s in told} == {50} and told[-1]["numRowsTotal"] == 10 + 30 * 40
+    kept = reposts.kept_postings(spark, str(tmp_path / "kept"), "collect_seq long, job_link string")
+    assert sorted(kept.collect()) == sorted(dedupe.dedupe_reposts(df).select("collect_seq", "job_link").collect())
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    # a second run knows the keys of the first
+    late = spark.createDataFrame([(9000, "x", "t1", "C", NOW), (9001, "y", "new", "c", NOW), (None, "z", "new", "c", NOW), (None, "v", None, "", NOW)], POSTING)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    reposts.stream_dedupe(stream_of(spark, df, str(tmp_path / "in")), str(tmp_path / "kept"), str(tmp_path / "cp")).awaitTermination()
+    more = reposts.kept_postings(spark, str(tmp_path / "kept"), "collect_seq long, job_link string").collect()
+    assert {r.job_link for r in more} - {r.job_link for r in kept.filter("collect_seq < 9000").collect()} == {"y", "v"}
+
+
+def test_a_batch_run_again_keeps_the_same_rows(spark, tmp_path):
+    df = make_postings(spark)
+    split_files(df, str(tmp_path / "in"), "collect_seq", 3)
+    real, seen = reposts.write_batch, []
+
+    def fails(batch, folder, batch_id):
+        real(batch, folder, batch_id)
+        seen.append(batch_id)
+        if seen.count(1) == 1 and batch_id == 1:
+            raise RuntimeError("lost")
+
+    reposts.write_batch = fails
+    try:
+        for _ in range(2):
+            query = reposts.stream_dedupe(stream_of(spark, df, str(tmp_path / "in")), str(tmp_path / "kept"), str(tmp_path / "cp"))
+            try:
+                query.awaitTermination()
+            except Exception:
+                assert seen == [0, 1]
+    finally:
+        reposts.write_batch = real
+    assert seen == [0, 1, 1, 2]
+    kept = reposts.kept_postings(spark, str(tmp_path / "kept"), "collect_seq long, job_link string")
+    assert sorted(kept.collect()) == sorted(dedupe.dedupe_reposts(df).select("collect_seq", "job_link").collect())
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    folder, ddl = str(tmp_path / "state"), "k string, n long"
+
+    def write(batch):
+        rows = [(f"k{i}", batch * 100 + i) for i in range(batch % 3, 8)]
+        batches.write_batch(spark.createDataFrame(rows, ddl), folder, batch)
+
+    def merge(state):
+        return state.groupBy("k").agg(F.max("n").alias("n"))
+
+    def state():
+        return sorted(tuple(r) for r in merge(batches.read_state(spark, folder, ddl)).collect())
+
+    assert batches.read_state(spark, folder, ddl).count() == 0 and batches.vacuum(spark, folder) == 0
+    batches.seed(spark.createDataFrame([("old", 1)], ddl), folder)
+    assert batches.compact(spark, folder, ddl, merge) is None
+    for batch in range(4):
+        write(batch)
+    wanted = state()
+    # a failure between the base and its pointer loses nothing
+    with monkeypatch.context() as patch:
+        patch.setattr(batches, "_point", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        try:
+            batches.compact(spark, folder, ddl, merge)
+        except OSError:
+            pass
+    assert state() == wanted and batches.read_state(spark, folder, ddl).count() > len(wanted) + 8
+    before = batches.read_state(spark, folder, ddl)
+    assert batches.compact(spark, folder, ddl, merge, files=2) == 2 and state() == wanted
+    assert sorted(tuple(r) for r in merge(before).collect()) == wanted  # a reader of the version before goes on
+    assert batches.compact(spark, folder, ddl, merge) is None
+    write(3)  # the latest batch once more
+    assert state() == wanted
+    assert batches.read_state(spark, folder, ddl, before=3).count() == 9
+    for batch in (4, 5):
+        write(batch)
+    wanted = state()
+    assert batches.compact(spark, folder, ddl, merge) == 4 and state() == wanted
+    assert batches.vacuum(spark, folder) == 7 and state() == wanted
+    batches.seed(spark.createDataFrame([("other", 1)], ddl), folder)
+    assert sorted(p.name for p in tmp_path.joinpath("state").iterdir() if not p.name.startswith(".")) == ["_base-4", "_upto-4", "batch=5"]
+    assert state() == wanted
+
+
 def test_dedupe_within_watermark(spark, tmp_path):
     df = make_postings(spark)
     split_files(df, str(tmp_path / "in"), "collect_seq", 3)
@@ -80,16 +171,21 @@ def test_stream_ingest_and_replay(spark, tmp_path):
     assert sum(seen) == fresh.count() and len(seen) > 1
     # The last batch once more, as after a failure: same state.
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "history").glob("batch=*"))
-    again = batches.read_state(spark, folder, schemas.HISTORY + ", batch long").filter(f"batch = {last}").drop("batch")
+    again = spark.read.schema(schemas.HISTORY).parquet(f"{folder}/batch={last}")
     rows = spark.createDataFrame(again.collect(), again.schema)
     batches.write_batch(rows, folder, last)
     assert ingest.history_state(spark, folder).count() == expected.count()
+    assert ingest.compact_history(spark, folder, files=1) == last - 1
+    assert sorted(map(str, ingest.history_state(spark, folder).select(columns).collect())) == sorted(map(str, expected.select(columns).collect()))
     # A second run finds only known links.
-    split_files(df, str(tmp_path / "in2"), "collect_seq", 2)
-    ingest.stream_ingest(
-        stream_of(spark, df, str(tmp_path / "in2")), folder, str(tmp_path / "cp2"),
-        lambda b: scored(b).filter(F.lit(False)), F.lit(NOW), prior,
-    ).awaitTermination()
+    split_files(df, str(tmp_path / "in"), "collect_seq", 2)
+    seen.clear()
+    ingest.stream_ingest(stream_of(spark, df, str(tmp_path / "in")), *args).awaitTermination()
+    assert len(seen) == 2 and sum(seen) == 0
+    assert ingest.history_state(spark, folder).count() == expected.count()
+    # Another checkpoint would number its batches from 0: the state before those is not kept.
+    with pytest.raises(Exception, match="is compacted"):
+        ingest.stream_ingest(stream_of(spark, df, str(tmp_path / "in")), folder, str(tmp_path / "cp2"), analyse, F.lit(NOW), prior).awaitTermination()
 
 
 def test_stream_status(spark, tmp_path):
@@ -106,5 +202,7 @@ def test_stream_status(spark, tmp_path):
     expected = status.status_fold(status.valid_events(checked))
     found = status_log.status_state(spark, str(tmp_path / "st"))
     assert sorted(map(str, found.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
+    assert status_log.compact_status(spark, str(tmp_path / "st")) == 2
+    assert sorted(map(str, status_log.status_state(spark, str(tmp_path / "st")).select(expected.columns).collect())) == sorted(map(str, expected.collect()))
     rejected = status_log.rejected_log(spark, str(tmp_path / "st"))
     assert rejected.count() == status.rejected_events(checked).count() > 0
