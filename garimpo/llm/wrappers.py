@@ -8,11 +8,15 @@ slots. No alternative is ever needed, so the wrapper stays union-free. Wrappers
 each other as pages do: each host is inferred in salted parts first, over its distinct
 expressions, then over the parts; a task holds one wrapper at a time.
 
-A wrapper's slots are judged once for a host, by their place in it and by sums over all of
+A wrapper's slots are judged once for a host, by their path of labels and by sums over all of
 the host's pages: slots inside the article (or else main, or else the element with most of
 the varying, unlinked text; text that several pages of different content share does not vary) that no menu, header, footer, sidebar, notice, advert, form or
-comment element encloses. Extraction reads the slots off each page. A page without text in
-the host's article slots is judged by its own tree alone.
+comment element encloses. Extraction takes the texts of each page whose paths are those of such
+slots: pages are not matched against the expression, so its options, repeats and order change no
+text. A page without text in the host's article slots is judged by its own tree alone.
+
+Elements deeper than `DEPTH` lie side by side under their ancestor of that depth, or under the
+menu, notice, article or the like that holds them there; so trees of any page stay shallow.
 
 Defined cases: null html is an empty page; a null or malformed url belongs to the host ''; a
 page without article text yields the empty text; rows that repeat a page_id are rows of their
@@ -26,6 +30,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -42,11 +47,13 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z|[\"'])", re.IGNORECASE)
+_CONTROL = re.compile(r"<(?:button|select)(?=[\s/>])", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math canvas object audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg canvas object audio video button select".split())
+DEPTH = 120
 BLOCKS = frozenset(
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot caption tr td th blockquote pre figure "
-    "figcaption header footer nav aside form fieldset legend label select option button menu dialog details summary address hr center".split()
+    "figcaption header footer nav aside form fieldset legend label option menu dialog details summary address hr center".split()
 )
 CLOSES = {  # an element that begins ends an open one of these just around it
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -69,7 +76,8 @@ class Page:
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[str, str, int]] = []
         self.root: list = ["", []]  # label, children; a slot is the string '#'
-        stack: list[tuple[str, str, list]] = [("", "", self.root)]
+        stack: list[tuple[str, str, list, tuple | None]] = [("", "", self.root, None)]  # name, path, node, what holds deeper ones
+        open_: Counter[str] = Counter()
         text: list[str] = []
         linked, in_link, at, end = 0, False, 0, len(source)
 
@@ -101,14 +109,20 @@ class Page:
                     in_link = False
                 elif close in BLOCKS:
                     flush()
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] == close:
-                            del stack[depth:]
+                    while open_[close]:
+                        gone = stack.pop()[0]
+                        open_[gone] -= 1
+                        if gone == close:
                             break
             elif name:
                 name = name.lower()
                 if name in RAW:
+                    if name == "svg" and (match[3] or match[5] or "").endswith("/"):
+                        continue
                     ends = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
+                    begins = _CONTROL.search(source, at) if name in ("button", "select") else None
+                    if begins and ends and begins.start() < ends.start():
+                        ends = None  # it was never closed
                     at = ends.end() if ends else (end if name in ("script", "style") else at)
                 elif name == "a":
                     in_link = True
@@ -120,15 +134,35 @@ class Page:
                     if name == "hr":
                         continue
                     if stack[-1][0] == "p" or (stack[-1][0] in CLOSES.get(name, ()) and len(stack) > 1):
-                        stack.pop()
+                        open_[stack.pop()[0]] -= 1
                     while len(stack) > 1 and stack[-1][0] in CLOSES.get(name, ()):
-                        stack.pop()
+                        open_[stack.pop()[0]] -= 1
                     label = _label(name, match[3] or match[5] or "")
-                    node = [label, []]
-                    stack[-1][2][1].append(node)
-                    stack.append((name, f"{stack[-1][1]}/{label}", node))
+                    stack.append((name, *self._placed(stack[-1], len(stack), label)))
+                    open_[name] += 1
         flush()
 
+    @staticmethod
+    def _placed(parent: tuple[str, str, list, tuple | None], level: int, label: str) -> tuple[str, list, tuple | None]:
+        """Path and node of an element, and what holds its descendants if they are too deep:
+        (path, node, kind), the kind 0 for any element, 1 for one of an article, 2 for one beside it."""
+        _, path, node, holder = parent
+        if level < DEPTH:
+            holder = None
+        elif holder is None:
+            holder = (path, node, 0)
+        if holder:
+            path, node, kind = holder
+            if kind == 2:  # all below is aside, whatever it is
+                return path, node, holder
+        child = [label, []]
+        node[1].append(child)
+        below = f"{path}/{label}"
+        if holder:
+            own = 2 if _aside(label, kind == 1) else int(_is_core(label) > 0)
+            holder = (below, child, own) if own > kind else holder
+        return below, child, holder
+
 
 def _label(name: str, attributes: str) -> str:
     """Element name and the words of its class, id and role."""
@@ -344,11 +378,13 @@ def wrappers(pages: DataFrame, parts: int = 16) -> DataFrame:
 def _sums(page: Page) -> dict[str, tuple[int, int, int, int]]:
     """Per path: one page, characters, linked characters, and a name of its text."""
     texts: dict[str, list[str]] = {}
-    for path, text, _ in page.blocks:
+    links: Counter[str] = Counter()
+    for path, text, n in page.blocks:
         texts.setdefault(path, []).append(text)
+        links[path] += n
     out = {}
     for path, found in texts.items():
-        linked = sum(n for p, _, n in page.blocks if p == path)
+        linked = links[path]
         name = int.from_bytes(hashlib.blake2b("\n".join(found).encode(), digest_size=7).digest())
         out[path] = (1, sum(map(len, found)), linked, name)
     return out

@@ -143,3 +143,21 @@ def test_wrappers_stay_union_free_and_cover_their_pages(spark):
 
     found = wrappers.wrappers(_pages(spark, pages).select(F.lit("w.org").alias("host"), "html")).collect()
     assert [r.expression for r in found] == ["(body(div((p(#) h2(#))+ ul(li(#))?)))"] or "?" in found[0].expression and "+" in found[0].expression
+
+
+@pytest.mark.parametrize("levels", [1500, 100_000])
+def test_deep_pages_keep_their_text(spark, levels):
+    deep = "<div>" * levels
+    pages = [
+        (1, "http://d/1", f"<article><p>first</p>{deep}<p>deepest</p><nav><p>menu</p></nav></article>"),
+        (2, "http://d/2", f"{deep}<article><p>one</p><div class=sidebar><div><p>no</p></div></div><section><p>two</p></section></article><p>after</p>"),
+        (3, "http://e/3", "<article><p>plain</p></article>" + "</section>" * levels), (4, "http://e/4", "<ul>" + "<li>" * 2000 + "item"),
+    ]
+    found = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {1: "first\ndeepest", 2: "one\ntwo", 3: "plain", 4: "item"}
+
+
+def test_icons_formulas_and_controls_split_nothing(spark):
+    body = "<article><p>A <svg/> icon <svg><title>x</title></svg>after <math><mi>x</mi>+1</math>, a <button>Press</button> button <select><option>1</select>end</p><p>next <button>open</p><p>last <button>shut</button> one</p></article>"
+    df = spark.createDataFrame([(1, "http://s/1", body)], "page_id long, url string, html string")
+    assert wrappers.main_texts(df).first().text == "A icon after x+1, a button end\nnext open\nlast one"
