@@ -241,6 +241,7 @@ def mix(
     groups = runtime.stage(_cumulated(groups, common.blocks_for(whole.rows or 0), order).withColumn("_extra", fit.cast("long")).drop("_before"), "mixed")
     for _ in range(gap_rounds):
         gap = groups.groupBy("_pattern").agg((F.first("_rest") - F.sum(F.col("_extra") * F.col("size"))).alias("_gap"))
+        gap = runtime.stage(gap, "gap")  # of known size, so that the rows are not dealt by pattern to join it
         fits = (
             groups.filter((F.col("_extra") < F.col("_n")) & (F.col("size") > 0)).join(gap, "_pattern").filter(F.col("size") <= F.col("_gap"))
             .groupBy("_pattern").agg(F.max(F.struct("size", "_order", *[c for c in same if c != "size"], (F.col("_n") - F.col("_extra")).alias("_free"), "_gap")).alias("_fit"))
