@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from garimpo import runtime
 from garimpo.schemas import HISTORY
+from garimpo.sources import json_members
+
+
+def _typed() -> list[Column]:
+    def read(name: str, kind: str) -> Column:
+        text = F.try_variant_get("entry", f"$.{name}", "string")
+        return text.try_cast(kind).alias(name) if kind != "string" else text.alias(name)
+
+    columns = [part.strip().split() for part in HISTORY.split(",")]
+    return [F.col("job_link"), *[read(name, kind) for name, kind in columns if name != "job_link"]]
+
+
+def _is_object() -> Column:
+    return F.startswith(F.schema_of_variant("entry"), F.lit("OBJECT"))
 
 
 def history_entries(documents: DataFrame, body: str = "value") -> DataFrame:
@@ -14,18 +29,19 @@ def history_entries(documents: DataFrame, body: str = "value") -> DataFrame:
     a single entry is, say, a number.
     """
     entries = F.from_json(F.col(body), "map<string,variant>")
-    pairs = documents.select(F.explode(entries).alias("job_link", "entry"))
-    is_object = F.startswith(F.schema_of_variant("entry"), F.lit("OBJECT"))
-
-    def read(name: str, kind: str) -> Column:
-        text = F.try_variant_get("entry", f"$.{name}", "string")
-        return text.try_cast(kind).alias(name) if kind != "string" else text.alias(name)
-
-    columns = [part.strip().split() for part in HISTORY.split(",")]
-    return pairs.filter(is_object).select(
-        "job_link", *[read(name, kind) for name, kind in columns if name != "job_link"]
-    )
+    return documents.select(F.explode(entries).alias("job_link", "entry")).filter(_is_object()).select(*_typed())
 
 
 def scan_history(spark: SparkSession, path: str) -> DataFrame:
-    return history_entries(spark.read.text(path, wholetext=True))
+    """`history_entries` of the files under ``path``, one document each, of any size.
+
+    A file is read by as many tasks as it has byte ranges. The entries are stored before
+    they are returned, as a document that turns out unreadable at its end has none.
+    """
+    runs = json_members.members(spark, path)
+    read = runs.select("file", "sound", F.explode_outer("members").alias("job_link", "entry"))
+    stored = runtime.stage(
+        read.filter(~F.col("sound") | _is_object()).select("file", "sound", *_typed()), "history"
+    )
+    unreadable = stored.filter(~F.col("sound")).select("file").distinct()
+    return stored.join(unreadable, "file", "left_anti").drop("file", "sound")
