@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from garimpo import rules, runtime
 from garimpo.functions import render
 from garimpo.functions.times import wall_clock
-from garimpo.operators import capping, counts, dedupe, history, prototypes, ranking, status, views
+from garimpo.operators import capping, counts, dedupe, history, history_store, prototypes, ranking, status, views
 from garimpo.plans import flow, report
 from garimpo.schemas import HISTORY_COLUMNS
 from garimpo.sources import history_json, pages, search_plan
@@ -244,6 +244,15 @@ def history_upsert(spark, sf):
     )
 
 
+@query("history_upsert_stored", A.with_postings("SELECT * FROM upserted", A.SQL_HISTORY, _BATCH, _UPSERTED))
+def history_upsert_stored(spark, sf):
+    """The same, of a stored history of which only the touched buckets are written again."""
+    folder = runtime.new_folder(spark, "history")
+    history_store.create(A.history(spark, sf), folder, buckets=32)
+    history_store.upsert(runtime.stage(_batch(spark, sf), "batch"), folder, wall_clock(NOW))
+    return history_store.read(spark, folder).withColumns({c: F.round(c, 4) for c in ("score_clt", "score_non_clt")})
+
+
 @query(
     "history_outer",
     A.with_postings(
@@ -268,16 +277,18 @@ def history_outer(spark, sf):
     ),
 )
 def scan_history(spark, sf):
-    """History documents of about a hundred entries each, some entries no objects."""
+    """Files of some thousand entries, some of them no objects, and as many that are cut."""
     past = A.entries(spark, sf).withColumn("k", F.substring_index("job_link", "/", -1).cast("long"))
     fields = [c for c in HISTORY_COLUMNS if c != "job_link"]
     entry = F.when(F.col("k") % 10 == 5, F.lit("7")).otherwise(F.to_json(F.struct(*fields)))
     pair = F.concat(F.lit('"'), "job_link", F.lit('": '), entry)
-    documents = past.select(F.floor(F.col("k") / 500).alias("doc"), pair.alias("pair")).groupBy("doc").agg(
+    documents = past.select(F.floor(F.col("k") / 20_000).alias("doc"), pair.alias("pair")).groupBy("doc").agg(
         F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ", "), F.lit("}")).alias("value")
     )
-    broken = documents.select("doc", F.lit('{"cut": {"job_ti').alias("value"))
-    return history_json.history_entries(documents.union(broken)).select(
+    broken = documents.select(-1 - F.col("doc"), F.expr("left(value, char_length(value) - 300)"))
+    folder = runtime.new_folder(spark, "documents")
+    documents.union(broken).write.partitionBy("doc").text(folder)  # one document a file
+    return history_json.scan_history(spark, folder).select(
         "job_link", "job_title", "match_score", F.round("score_clt", 4).alias("score_clt"), "first_seen_at",
         "status", "notes",
     )
