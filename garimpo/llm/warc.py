@@ -174,57 +174,112 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LoserTree:
-    """Tournament over sorted lists: inner nodes keep the loser, the root the winner."""
+    """Tournament with one leaf a run: inner nodes keep the loser, the root the winner.
 
-    def __init__(self, sources: list[list[tuple]]) -> None:
-        self.sources = sources
-        self.at = [0] * len(sources)
-        self.tree = [-1] * max(1, len(sources))  # at 0 the winner
-        for s in range(len(sources)):
-            self._play(s, building=True)
+    A leaf holds what is open of its run and, past that, `following`, the key at which the
+    run goes on, so that it keeps its place while its next block is not there yet.
+    """
+
+    def __init__(self) -> None:
+        self.leaf: dict[str, int] = {}
+        self.open: list[list[tuple]] = []
+        self.at: list[int] = []
+        self.following: list[tuple | None] = []
+        self.tree: list[int] = [-1]  # at 0 the winner
+        self.leaves = 1
+        self.key: list[tuple | None] = [None]  # of each leaf: its key and, for ties, its number
 
-    def _key(self, s: int) -> tuple | None:
-        source, i = self.sources[s], self.at[s]
-        return source[i] if i < len(source) else None
+    def _read(self, s: int) -> None:
+        entries, i = self.open[s], self.at[s]
+        key = entries[i][:3] if i < len(entries) else self.following[s]
+        self.key[s] = None if key is None else (*key, s)
 
     def _beats(self, a: int, b: int) -> bool:
-        x, y = self._key(a), self._key(b)
-        return y is None or x is not None and (x, a) < (y, b)
+        x, y = self.key[a], self.key[b]
+        return y is None or (x is not None and x < y)
 
-    def _play(self, s: int, building: bool = False) -> None:
-        node = (s + len(self.sources)) // 2
+    def _play(self, s: int) -> None:
+        """Replay the matches of a winner whose key has grown."""
+        tree, beats = self.tree, self._beats
+        node = (s + self.leaves) // 2
         while node:
-            other = self.tree[node]
-            if other < 0:
-                if building:  # wait here for the other half
-                    self.tree[node] = s
-                    return
-            elif self._beats(other, s):
-                self.tree[node], s = s, other
+            if beats(tree[node], s):
+                tree[node], s = s, tree[node]
+            node //= 2
+        tree[0] = s
+
+    def _build(self, leaves: int) -> None:
+        self.leaves, self.tree = leaves, [-1] * leaves
+        self.key += [None] * (leaves - len(self.key))
+        for s in range(len(self.open)):
+            self._read(s)
+        winners = [*[-1] * leaves, *range(leaves)]
+        for node in range(leaves - 1, 0, -1):
+            a, b = winners[2 * node], winners[2 * node + 1]
+            winners[node], self.tree[node] = (a, b) if self._beats(a, b) else (b, a)
+        self.tree[0] = winners[1]
+
+    def _below(self, s: int, node: int) -> bool:
+        place = s + self.leaves
+        return place >> (place.bit_length() - node.bit_length()) == node
+
+    def _enter(self, s: int) -> None:
+        """Let a leaf that was empty play on from the match it lost."""
+        if self.tree[0] == s:
+            return
+        node = (s + self.leaves) // 2
+        while self.tree[node] != s:
             node //= 2
-        self.tree[0] = s
+        while node:
+            above = node // 2  # where the winner of that match lost, or the root
+            while above and not self._below(self.tree[above], node):
+                above //= 2
+            if not self._beats(s, self.tree[above]):
+                return
+            self.tree[node], self.tree[above] = self.tree[above], s
+            node = above
+
+    def load(self, run: str, entries: list[tuple], following: tuple | None) -> None:
+        """The next block of a run: its first key is the one the leaf stands at, or the leaf is new."""
+        s = self.leaf.setdefault(run, len(self.open))
+        if s < len(self.open):
+            self.open[s], self.at[s], self.following[s] = self.open[s][self.at[s] :] + entries, 0, following
+            self._read(s)
+            return
+        self.open.append(entries)
+        self.at.append(0)
+        self.following.append(following)
+        if s >= self.leaves or s == 0:
+            self._build(2 * self.leaves)
+        else:
+            self._read(s)
+            self._enter(s)
 
     def peek(self) -> tuple | None:
-        return self._key(self.tree[0]) if self.sources else None
+        key = self.key[self.tree[0]] if self.open else None
+        return None if key is None else key[:3]
+
+    def waits(self) -> bool:
+        """Is the winner's next entry in a block that is still to come?"""
+        s = self.tree[0]
+        return self.at[s] == len(self.open[s])
 
     def pop(self) -> tuple:
         s = self.tree[0]
-        found = self.sources[s][self.at[s]]
+        found = self.open[s][self.at[s]]
         self.at[s] += 1
+        self._read(s)
         self._play(s)
         return found
 
-    def rest(self) -> list[list[tuple]]:
-        return [source[i:] for source, i in zip(self.sources, self.at, strict=True) if i < len(source)]
-
 
-def merged(blocks: Iterator[list[tuple]]) -> Iterator[tuple]:
-    """Merge of sorted blocks that come in the order of their first entries."""
-    tree = LoserTree([])
-    for block in blocks:
-        while (first := tree.peek()) is not None and first <= block[0]:
+def merged(blocks: Iterator[tuple[str, list[tuple], tuple | None]]) -> Iterator[tuple]:
+    """Merge of the sorted blocks (run, entries, key of the run's next block), which come by their first keys."""
+    tree = LoserTree()
+    for run, entries, following in blocks:
+        while (first := tree.peek()) is not None and first <= entries[0][:3] and not tree.waits():
             yield tree.pop()
-        tree = LoserTree([*tree.rest(), block])
+        tree.load(run, entries, following)
     while tree.peek() is not None:
         yield tree.pop()
 
@@ -257,22 +312,23 @@ def merged_index(found: DataFrame, block_rows: int = 2048, range_rows: int = 1 <
             for entry in batch.to_pylist():
                 here = (entry.pop("run"), bisect_right(borders, _order(entry)))
                 if held and (here != last or len(held) >= block_rows):
-                    yield _block(last, held)
+                    yield _block(last, held, _order(entry) if here == last else None)
                     held = []
                 last = here
                 held.append(entry)
         if held:
-            yield _block(last, held)
+            yield _block(last, held, None)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {"range": None, "next": None}
 
-        def blocks(source: Iterator[dict]) -> Iterator[list[tuple]]:
+        def blocks(source: Iterator[dict]) -> Iterator[tuple[str, list[tuple], tuple | None]]:
             for row in source:
                 if row["range"] != state["range"]:
                     state["next"] = row
                     return
-                yield [(*_order(e), tuple(e[n] for n in names)) for e in row["entries"]]
+                following = None if row["nk"] is None else (row["nk"], row["nt"], row["np"])
+                yield row["run"], [(*_order(e), tuple(e[n] for n in names)) for e in row["entries"]], following
 
         def rows() -> Iterator[dict]:
             for batch in batches:
@@ -299,15 +355,17 @@ def merged_index(found: DataFrame, block_rows: int = 2048, range_rows: int = 1 <
         columns = [pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), _ENTRY, strict=True)]
         return pa.RecordBatch.from_arrays([*columns, pa.array([number] * len(out), pa.int32()), pa.array(range(place, place + len(out)), pa.int64())], names=[*names, "range", "place"])
 
-    def _block(where: tuple, held: list[dict]) -> pa.RecordBatch:
-        kind = pa.list_(pa.struct(_ENTRY))
-        key, time, page = _order(held[0])
-        arrays = [pa.array([where[1]], pa.int32()), pa.array([key]), pa.array([time], pa.int64()), pa.array([page], pa.int64()), pa.array([held], kind)]
-        return pa.RecordBatch.from_arrays(arrays, names=["range", "k", "t", "p", "entries"])
+    def _block(where: tuple, held: list[dict], following: tuple | None) -> pa.RecordBatch:
+        keys = zip([*_order(held[0]), *(following or (None, None, None))], [pa.string(), pa.int64(), pa.int64()] * 2, strict=True)
+        arrays = [
+            pa.array([where[1]], pa.int32()), pa.array([where[0]], pa.string()), *[pa.array([v], kind) for v, kind in keys],
+            pa.array([held], pa.list_(pa.struct(_ENTRY))),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["range", "run", "k", "t", "p", "nk", "nt", "np", "entries"])
 
     runs = found.sortWithinPartitions("run", "url_key", "captured", "page_id")
-    blocks_ = runs.mapInArrow(cut, f"range int, k string, t long, p long, entries array<struct<{_ENTRY_DDL.replace(' ', ':').replace(',:', ',')}>>")
-    dealt = blocks_.repartition(ranges, "range").sortWithinPartitions("range", "k", "t", "p")
+    blocks_ = runs.mapInArrow(cut, f"range int, run string, k string, t long, p long, nk string, nt long, np long, entries array<struct<{_ENTRY_DDL.replace(' ', ':').replace(',:', ',')}>>")
+    dealt = blocks_.repartitionById(ranges, "range").sortWithinPartitions("range", "k", "t", "p")
     return dealt.mapInArrow(merge, _ENTRY_DDL + ", range int, place long")
 
 

@@ -65,8 +65,34 @@ def test_loser_tree_merges_blocks_as_they_open():
     rng = random.Random(2)
     for _ in range(50):
         runs = [sorted((rng.randrange(60), r, i) for i in range(rng.randrange(0, 30))) for r in range(rng.randrange(1, 9))]
-        blocks = sorted(run[i : i + 4] for run in runs for i in range(0, len(run), 4))
-        assert list(warc.merged(iter(blocks))) == sorted(x for run in runs for x in run)
+        assert list(warc.merged(_blocks(runs, 4))) == sorted(x for run in runs for x in run)
+    ties = [[(0, 0, 0)] * 9, [(0, 0, 0)] * 7, [(0, 0, 0)] * 2 + [(1, 0, 0)] * 9]
+    assert list(warc.merged(_blocks(ties, 2))) == sorted(x for run in ties for x in run)
+    assert list(warc.merged(iter([]))) == []
+
+
+def _blocks(runs, size):
+    cut = [(run[i : i + size], str(r), run[i + size][:3] if i + size < len(run) else None) for r, run in enumerate(runs) for i in range(0, len(run), size)]
+    return ((run, entries, following) for entries, run, following in sorted(cut, key=lambda b: b[0][0]))
+
+
+def test_many_runs_merge_in_time_of_their_entries():
+    """Comparisons grow with entries times the tree's height, not with the square of the runs."""
+    def comparisons(n):
+        rng, seen = random.Random(n), [0]
+
+        class Counted(warc.LoserTree):
+            def _beats(self, a, b):
+                seen[0] += 1
+                return super()._beats(a, b)
+
+        runs = [sorted((rng.randrange(10**6), r, i) for i in range(20)) for r in range(n)]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(warc, "LoserTree", Counted)
+            assert list(warc.merged(_blocks(runs, 5))) == sorted(x for run in runs for x in run)
+        return seen[0]
+
+    assert comparisons(2000) < 2000 * 20 * 13
 
 
 def test_url_keys():
