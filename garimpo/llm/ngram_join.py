@@ -11,9 +11,9 @@ A member meets only members whose set sizes allow the threshold: sizes fall into
 ratio 1.25, and a pair lies in the same class or in neighbouring ones.
 
 Defined cases: a text without words (null, empty, white space) links with nothing; rows that
-repeat a doc_id or a text are rows of their own; a row without doc_id joins the class of its
-equals, but links with no other and never names a class; other columns are ignored; an empty table gives an empty
-result.
+repeat a doc_id or a text are rows of their own; a row without doc_id links like any other, but names no
+set or class: where no row has one, `set_id` and `class_id` are null and all rows are `kept`; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from garimpo import runtime
 from garimpo.llm import common, pairing, shingles
 
 BANDS, STEP = 32, 16
-_SKETCH = "doc_id long, key binary, n int, sketch binary"
+_SKETCH = "doc_id long, ref string, key binary, n int, sketch binary"
 
 
 def least_matches(threshold: float, tolerance: float, step: int = STEP, hashes: int = shingles.HASHES) -> list[int]:
@@ -49,8 +49,13 @@ def least_matches(threshold: float, tolerance: float, step: int = STEP, hashes:
     return found
 
 
+def _ref() -> Column:
+    """By which a text is found again: its doc_id, without one its own hash."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.sha2("text", 256))).alias("ref")
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, n, sketch): name, size and MinHash values of each row's shingle set."""
+    """(doc_id, ref, key, n, sketch): name, size and MinHash values of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,11 +66,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(s))
                 values.append(shingles.minhash(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(values, pa.binary())],
-                names=["doc_id", "key", "n", "sketch"],
+                [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.string()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(values, pa.binary())],
+                names=["doc_id", "ref", "key", "n", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), _ref()).alias("ref")).mapInArrow(run, _SKETCH)
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -159,18 +164,18 @@ def near_duplicates(
     rows = runtime.stage(sketches(docs, width), "sketches")
     classes = runtime.stage(
         rows.filter("key IS NOT NULL").groupBy("key")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        .withColumn("cid", F.monotonically_increasing_id()),
+        .agg(F.min("doc_id").alias("rep"), F.min("ref").alias("ref"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("ref", F.coalesce(F.col("rep").cast("string"), "ref")).withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    bands = _bands(classes.filter("rep IS NOT NULL"))
+    bands = _bands(classes)
     buckets = bands.groupBy("band").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     stars = bands.join(buckets, "band").filter("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     together = common.components(stars.distinct())
     # every set with a candidate: its group, size class and block
     ratio = np.log(den / num)
     members = (
-        classes.join(together, F.col("cid") == F.col("node")).select("cid", "rep", "key", "copies", "n", "sketch", F.col("root").alias("grp"), F.floor(F.log("n") / F.lit(float(ratio))).cast("int").alias("cls"))
+        classes.join(together, F.col("cid") == F.col("node")).select("cid", "ref", "key", "copies", "n", "sketch", F.col("root").alias("grp"), F.floor(F.log("n") / F.lit(float(ratio))).cast("int").alias("cls"))
     )
     members = runtime.stage(members, "members")
     blocks = members.groupBy("grp", "cls").agg(
@@ -193,12 +198,14 @@ def near_duplicates(
 
     dealt = dealt.withColumn("block", block)
     meetings = F.concat(met("own", "own", 0), met("above", "me", 0), met("below", "other", -1))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL AND text IS NOT NULL")
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").unionByName(
+        docs.filter("doc_id IS NULL AND text IS NOT NULL").select("text").distinct(), allowMissingColumns=True
+    ).select(_ref(), "text")
     met_rows = dealt.withColumn("m", F.explode(meetings)).select(
         "grp", F.col("m.c").alias("c"), F.col("m.cross").alias("cross"), F.col("m.i").alias("i"), F.col("m.j").alias("j"),
-        "cid", "rep", "key", "copies", "n", "sketch", "cls", "block",
+        "cid", "ref", "key", "copies", "n", "sketch", "cls", "block",
     )
-    met_rows = met_rows.join(texts, "rep")
+    met_rows = met_rows.join(texts, "ref")
 
     def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         sets, first, seen = [], [], set()

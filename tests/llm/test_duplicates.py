@@ -98,9 +98,6 @@ def _linked(rows):
     for a, b in combinations(range(len(rows)), 2):
         shared = len(sets[a] & sets[b])
         if sets[a] and 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
-            # without doc_id only equal sets count
-            if sets[a] != sets[b] and (not any(rows[i][0] is not None for i in range(len(rows)) if sets[i] == sets[a]) or not any(rows[i][0] is not None for i in range(len(rows)) if sets[i] == sets[b])):
-                continue
             links[a] += 1
             links[b] += 1
             root[top(b)] = top(a)
@@ -121,6 +118,22 @@ def test_near_duplicates(request, name, options):
     assert sorted(got, key=_key) == sorted(_linked(rows), key=_key)
 
 
+def test_near_copies_without_doc_id_keep_their_links(spark, docs):
+    words = [f"word{i}" for i in range(61)]
+    near = " ".join([*words[:-1], "other"])
+    alone = [f"lone{i} " * 3 + " ".join(f"w{j}" for j in range(40 + i)) for i in range(2)]
+    rows = [(1, " ".join(words)), (None, near), (None, near), (None, near + " "), (None, alone[0]), (None, alone[1]), (None, None), (9, near + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.near_duplicates(df).collect()
+    got = [(r.doc_id, r.class_id, r.n_links, r.n_shingles) for r in found]
+    assert sorted(got, key=_key) == sorted(_linked(rows), key=_key)
+    assert sorted(((r.doc_id, r.n_links, r.kept) for r in found if r.class_id == 1), key=str) == [(1, 4, True), (9, 4, False), *[(None, 4, False)] * 3]
+    assert all(r.kept for r in found if r.class_id is None)
+    half = docs.selectExpr("CASE WHEN doc_id % 2 = 0 THEN doc_id END AS doc_id", "text")
+    got = [(r.doc_id, r.class_id, r.n_links, r.n_shingles) for r in ngram_join.near_duplicates(half).collect()]
+    assert sorted(got, key=_key) == sorted(_linked([tuple(r) for r in half.collect()]), key=_key)
+
+
 def test_pruning_bounds_keep_similar_pairs():
     least = ngram_join.least_matches(0.8, 1e-7)
     assert len(least) == 8 and sorted(least) == least
