@@ -13,6 +13,10 @@ Fitting takes a bounded sample: about `sample_docs` documents a language, `sampl
 characters of each, `dictionary_bytes` in all. The counts that set the sampling rate cover
 all documents. Prediction reads every byte of every text and nothing but the text.
 
+Dictionaries are a table. Languages are dealt to passes of about `per_pass`; a pass sends its
+dictionaries alone to the tasks and carries the two smallest sizes a text has had so far. Up
+to `per_pass` languages are one pass; with more, the rows are stored between passes.
+
 Defined cases: a null text or one without a letter is `und` with score 0 and rejected; equal
 sizes go to the language with more training documents, then to the first by name; rows that
 repeat a doc_id are rows of their own; without training rows everything is `und`; other
@@ -30,9 +34,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimpo import runtime
+from garimpo.llm import common
+
 LETTER = regex.compile(r"\p{L}")
 SEARCH = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
 FINE = SEARCH | {"min_match": 3, "strategy": zstandard.STRATEGY_BTLAZY2}
+# of the dictionaries tried so far: the smallest size, its language with its training rows, and the size next to it
+HELD = pa.struct([("size", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("second", pa.int64())])
 CARRIER = hashlib.sha512(b"carrier").hexdigest().encode() * 2
 
 
@@ -41,27 +50,28 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def dictionaries(
-    train: DataFrame, sample_docs: int = 400, sample_chars: int = 1000, dictionary_bytes: int = 1 << 16, max_languages: int = 500
-) -> list[tuple[str, bytes]]:
-    """(language, dictionary), the language with most training documents first."""
-    counts = train.groupBy("lang").count().limit(max_languages + 1).collect()
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    counts = sorted(counts, key=lambda r: (-r["count"], r["lang"]))
-    if not counts:
-        return []
+    train: DataFrame, sample_docs: int = 400, sample_chars: int = 1000, dictionary_bytes: int = 1 << 16, per_pass: int = 64
+) -> DataFrame:
+    """(lang, n, content, pass), stored: a row a language, with its number of training rows."""
+    counts = runtime.stage(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    passes = common.blocks_for(counts.count(), per_pass)
     span = float(1 << 63)
-    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, sample_docs / r["count"]) * span * 2 - span) - 1)])
-    drawn = F.xxhash64("doc_id", "text")  # texts that share a doc_id are drawn one by one, equal rows count once
-    rows = train.filter(drawn <= bounds[F.col("lang")]).groupBy("lang", drawn.alias("o")).agg(F.first(F.substring("text", 1, sample_chars)).alias("t"))
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.collect():  # about sample_docs x sample_chars characters a language
-        texts.setdefault(r["lang"], []).append((r["o"], r["t"]))
-    made = []
-    for r in counts:
-        parts = [t for _, t in sorted(texts.get(r["lang"], []))]
-        made.append((r["lang"], "\n".join(parts).lower().encode()[-dictionary_bytes:]))
-    return made
+    rate = F.lit(float(sample_docs)) / F.col("n")
+    bound = F.when(F.col("n") > sample_docs, (rate * span * 2 - span).cast("long") - 1).otherwise(F.lit((1 << 63) - 1))
+    # texts that share a doc_id are drawn one by one, equal rows count once
+    rows = train.select("lang", F.xxhash64("doc_id", "text").alias("o"), F.substring("text", 1, sample_chars).alias("t"))
+    rows = rows.join(counts, "lang").filter(F.col("o") <= bound).groupBy("lang", "o").agg(F.first("t").alias("t"))
+    # a group is the sample of a language: about sample_docs x sample_chars characters
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"])
+    texts = rows.groupBy("lang").agg(F.array_join(parts, "\n").alias("joined"))
+    content = F.coalesce(F.substring("joined", -dictionary_bytes, dictionary_bytes), F.lit(""))
+    turn = F.pmod(F.xxhash64("lang"), F.lit(passes))
+    return runtime.stage(counts.join(texts, "lang", "left").select("lang", "n", content.alias("content"), turn.alias("pass")), "dictionaries")
+
+
+def _loaded(dicts: DataFrame, turn: int, dictionary_bytes: int = 1 << 16) -> list[tuple[str, int, bytes]]:
+    """The dictionaries of one pass: about `per_pass` of at most `dictionary_bytes`."""
+    return [(r["lang"], r["n"], r["content"].lower().encode()[-dictionary_bytes:]) for r in dicts.filter(F.col("pass") == turn).collect()]
 
 
 def _encoder(content: bytes, search: dict[str, int]) -> zstandard.ZstdCompressor:
@@ -71,63 +81,106 @@ def _encoder(content: bytes, search: dict[str, int]) -> zstandard.ZstdCompressor
     return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
 
-def _tools(dicts: list[tuple[str, bytes]]) -> list[tuple]:
-    return [(lang, _encoder(content + CARRIER, SEARCH), _encoder(content + CARRIER, FINE)) for lang, content in dicts]
-
-
-def _told(texts: pa.Array, tools: list[tuple], block: int, short: int, min_margin: float) -> tuple[list[str], list[float], list[bool]]:
-    langs, scores, refused = [], [], []
-    for text in texts:
-        value = text.as_py()
-        if value is None or not tools or not LETTER.search(value):
-            langs.append("und")
-            scores.append(0.0)
-            refused.append(True)
-            continue
-        raw = value.lower().encode()
-        sizes = []
-        for i, (_, coarse, fine) in enumerate(tools):
-            if len(raw) <= short:
-                sizes.append((len(fine.compress(CARRIER + raw)), i))
-            else:
-                sizes.append((sum(len(coarse.compress(raw[a : a + block])) for a in range(0, len(raw), block)), i))
-        sizes.sort()
-        score = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-        langs.append(tools[sizes[0][1]][0])
-        scores.append(score)
-        refused.append(score < min_margin)
-    return langs, scores, refused
-
-
-def classify(docs: DataFrame, dicts: list[tuple[str, bytes]], block: int = 2048, short: int = 512, min_margin: float = 0.002) -> DataFrame:
+def _tools(dicts: list[tuple[str, int, bytes]]) -> list[tuple]:
+    return [(lang, n, _encoder(content + CARRIER, SEARCH), _encoder(content + CARRIER, FINE)) for lang, n, content in dicts]
+
+
+def _tried(text: str, held: dict | None, tools: list[tuple], block: int, short: int) -> dict | None:
+    """`held` after the dictionaries of `tools`; equal sizes go to the language with more rows, then by name."""
+    raw = text.lower().encode()
+    sizes = []
+    if held is not None:
+        sizes.append((held["size"], -held["n"], held["lang"]))
+        if held["second"] is not None:
+            sizes.append((held["second"], 1, ""))  # of this one only the size counts
+    for lang, n, coarse, fine in tools:
+        if len(raw) <= short:
+            size = len(fine.compress(CARRIER + raw))
+        else:
+            size = sum(len(coarse.compress(raw[a : a + block])) for a in range(0, len(raw), block))
+        sizes.append((size, -n, lang))
+    if not sizes:
+        return None
+    sizes.sort()
+    (size, n, lang), rest = sizes[0], sizes[1:2]
+    return {"size": size, "n": -n, "lang": lang, "second": rest[0][0] if rest else None}
+
+
+def _after(batch: pa.RecordBatch, text: int, held: int | None, tools: list[tuple], block: int, short: int) -> list[dict | None]:
+    before = batch.column(held).to_pylist() if held is not None else [None] * batch.num_rows
+    values = (t.as_py() for t in batch.column(text))
+    return [None if v is None or not LETTER.search(v) else _tried(v, h, tools, block, short) for v, h in zip(values, before, strict=True)]
+
+
+def _verdict(held: dict | None, min_margin: float) -> tuple[str, float, bool]:
+    if held is None:
+        return "und", 0.0, True
+    score = 1.0 if held["second"] is None else (held["second"] - held["size"]) / held["second"]
+    return held["lang"], score, score < min_margin
+
+
+def _but_last(docs: DataFrame, dicts: DataFrame, block: int, short: int) -> tuple[DataFrame, int | None, list[tuple[str, int, bytes]]]:
+    """`docs` after all passes but the last, the place of the column they leave behind, and the
+    dictionaries of the last. With one pass, `docs` as they are."""
+    spark, text = docs.sparkSession, docs.columns.index("text")
+    turns = sorted(r["pass"] for r in dicts.select("pass").distinct().collect())
+    at, path, name = None, None, "held"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    for turn in turns[:-1]:
+        shared = spark.sparkContext.broadcast(_loaded(dicts, turn))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+            tools = _tools(shared.value)
+            for batch in batches:
+                held = pa.array(_after(batch, text, at, tools, block, short), HELD)
+                columns = batch.columns if at is None else batch.columns[:-1]
+                names = batch.schema.names if at is None else batch.schema.names[:-1]
+                yield pa.RecordBatch.from_arrays([*columns, held], names=[*names, name])
+
+        if at is None:
+            schema = docs.select("*", F.lit(None).cast("struct<size:bigint,n:bigint,lang:string,second:bigint>").alias(name)).schema
+        before, path = path, runtime.new_folder(spark, "held")
+        docs = runtime.stage_at(docs.mapInArrow(run, schema), path)
+        if before:
+            runtime.drop_folder(spark, before)
+        shared.unpersist()
+        at = len(docs.columns) - 1
+    return docs, at, _loaded(dicts, turns[-1]) if turns else []
+
+
+def classify(docs: DataFrame, dicts: DataFrame, block: int = 2048, short: int = 512, min_margin: float = 0.002) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(dicts)  # bounded: dictionary_bytes a language
+    rows, at, last = _but_last(docs.select("doc_id", "text"), dicts, block, short)
+    shared = docs.sparkSession.sparkContext.broadcast(last)  # bounded: one pass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _tools(shared.value)
         for batch in batches:
-            langs, scores, refused = _told(batch.column(1), tools, block, short, min_margin)
+            found = [_verdict(h, min_margin) for h in _after(batch, 1, at, tools, block, short)]
+            langs, scores, refused = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())],
                 names=["doc_id", "lang_pred", "score", "rejected"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
-def accepted(docs: DataFrame, dicts: list[tuple[str, bytes]], block: int = 2048, short: int = 512, min_margin: float = 0.002) -> DataFrame:
+def accepted(docs: DataFrame, dicts: DataFrame, block: int = 2048, short: int = 512, min_margin: float = 0.002) -> DataFrame:
     """The rows of `docs`, all columns, whose text is clearly in one language; no row is moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(dicts)
-    at = docs.columns.index("text")
+    schema, text = docs.schema, docs.columns.index("text")
+    rows, at, last = _but_last(docs, dicts, block, short)
+    shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _tools(shared.value)
         for batch in batches:
-            _, _, refused = _told(batch.column(at), tools, block, short, min_margin)
-            yield batch.filter(pa.array([not r for r in refused], pa.bool_()))
+            found = [_verdict(h, min_margin) for h in _after(batch, text, at, tools, block, short)]
+            kept = batch.filter(pa.array([not refused for _, _, refused in found], pa.bool_()))
+            yield kept if at is None else kept.select(list(range(at)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
