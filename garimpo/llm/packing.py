@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of words.
 
 Documents are dealt to packing groups of bounded size by a hash, so one source or cluster
-spreads over all groups. A group places its pieces largest first. Its bins are ordered by
+spreads over all groups; equal rows are counted first and then dealt one by one. A group places its pieces largest first. Its bins are ordered by
 what is left in them, in a tree over that residual; each bin carries a bitmap of the sources
 and one of the duplicate clusters it holds. The search takes the successor of a piece's size
 in that order and goes on, passing over subtrees whose bins all hold the piece's source,
@@ -111,6 +111,16 @@ def _bits(values: pd.Series) -> list[int]:
     return [0 if c < 0 else 1 << int(c) for c in codes]
 
 
+def _each(rows: DataFrame, same: list[str], block: int = 1 << 12) -> DataFrame:
+    """Every row as often as its `n` says, with a number `copy` from 0. Only what exceeds a block
+    of copies is dealt anew, block by block, before it becomes rows."""
+    few = rows.filter(F.col("n") <= block).withColumn("start", F.lit(0).cast("long"))
+    many = rows.filter(F.col("n") > block).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))))
+    blocks = few.unionByName(many.repartition(*same, "start"))
+    last = F.least(F.col("start") + block, F.col("n")) - 1
+    return blocks.withColumn("copy", F.explode(F.sequence("start", last))).select(*same, "copy")
+
+
 def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = 2048, per_group: int = 20_000) -> DataFrame:
     """One row per piece: doc_id, source, piece, size, pack_group, bin, bin_offset.
 
@@ -121,9 +131,10 @@ def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = 2048, p
         F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"),
         size.cast("long").alias("words"), cluster.alias("cluster"),
     )
-    rows = runtime.stage(rows, "to_pack")
-    groups = common.blocks_for(rows.count(), per_group)
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
+    same = rows.columns
+    rows = runtime.stage(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")), "to_pack")
+    groups = common.blocks_for(rows.agg(F.sum("n")).first()[0] or 0, per_group)
+    rows = _each(rows, same).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(groups))).drop("copy")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.concat(list(batches), ignore_index=True)
@@ -133,7 +144,7 @@ def pack(docs: DataFrame, size: Column, cluster: Column, capacity: int = 2048, p
         repeat = (held["words"].clip(lower=1) + capacity - 1) // capacity
         held["piece"] = held["piece"] % repeat
         held["size"] = (held["words"] - held["piece"] * capacity).clip(upper=capacity)
-        held = held.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        held = held.sort_values(["size", "doc_id", "piece", "cluster", "source"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         # only a cluster with several pieces here can conflict
         several = held["cluster"].where(held.duplicated("cluster", keep=False))
         bins = Bins(capacity)
