@@ -47,6 +47,31 @@ def test_languages_without_training_rows(spark, tongues, empty):
     assert language.predicted_languages(empty).count() == 0
 
 
+def test_languages_in_several_passes_are_those_of_one(tongues):
+    parts = tongues.filter("lang IS NOT NULL").withColumn("lang", F.concat("lang", F.pmod(F.col("doc_id"), F.lit(20)).cast("string")))
+    rows = parts.unionByName(tongues.filter("lang IS NULL")).withColumn("held", F.lit(1))
+    train = language.training_rows(rows)
+    one, many = (language.dictionaries(train, per_pass=n) for n in (1000, 6))
+    assert one.select("pass").distinct().count() == 1 and many.select("pass").distinct().count() > 3 and many.count() == one.count() > 30
+    told = lambda df: sorted((str(r["doc_id"]), r["lang_pred"], r["score"], r["rejected"]) for r in _rows(df))
+    assert told(language.classify(rows, one)) == told(language.classify(rows, many))
+    kept = language.accepted(rows, many)
+    assert kept.columns == rows.columns
+    assert sorted(map(str, _rows(kept))) == sorted(map(str, _rows(language.accepted(rows, one))))
+
+
+def test_equal_sizes_go_to_the_language_with_more_rows(spark):
+    rows = [(i, "stelo vento balan", "bb" if i < 60 else "aa") for i in range(100)]
+    found = _rows(language.predicted_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert {r["lang_pred"] for r in found} == {"bb"} and {r["score"] for r in found} == {0.0}
+
+
+def test_one_id_for_most_rows_gives_a_bounded_sample(spark):
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("stelo vento "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
+    made = language.dictionaries(rows, sample_docs=50).collect()
+    assert 20 < made[0]["content"].count("stelo") < 100 and made[0]["n"] == 20_000
+
+
 def test_held_out_languages_of_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lang = {r.doc_id: r.lang for r in df.select("doc_id", "lang").collect()}
@@ -249,6 +274,15 @@ def test_bins(request, name, options):
             assert len(held) == len(set(held))
 
 
+def test_equal_rows_spread_over_packing_groups(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 5000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same old words").alias("text"), F.lit(None).cast("string").alias("source"))
+    found = packing.packed_documents(rows, per_group=500)
+    sizes = [r["count"] for r in found.groupBy("pack_group").count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 12 and max(sizes) < 700
+    again = packing.packed_documents(rows.repartition(5, "doc_id"), per_group=500)
+    assert sorted(map(str, found.collect())) == sorted(map(str, again.collect()))
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     import random
 
