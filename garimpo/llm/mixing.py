@@ -124,9 +124,11 @@ def route(patterns: list[tuple[frozenset, int]], quotas: dict[str | None, int],
 def _cumulated(groups: DataFrame, blocks: int, order: list[Column | str]) -> DataFrame:
     """Column `_before`: words of the rows ahead in a pattern's seeded order.
 
-    Hash blocks are summed first; a window sees one block of one pattern.
+    Blocks are ranges of that order, which is a hash, so they are of like size. They are summed
+    first; a window sees one block of one pattern.
     """
-    groups = groups.withColumn("_block", F.shiftrightunsigned(F.col("_order"), 33) % F.lit(blocks)).withColumn("_all", F.col("size") * F.col("_n"))
+    high = F.shiftright("_order", 33) + F.lit(1 << 30)  # 0 to 2^31, in the order of `_order`
+    groups = groups.withColumn("_block", F.shiftright(high * F.lit(blocks).cast("long"), 31)).withColumn("_all", F.col("size") * F.col("_n"))
     sums = groups.groupBy("_pattern", "_block").agg(F.sum("_all").alias("_sum"))
     ahead = Window.partitionBy("_pattern").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
