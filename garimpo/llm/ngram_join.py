@@ -30,6 +30,7 @@ from garimpo import runtime
 from garimpo.llm import common, pairing, shingles
 
 BANDS, STEP = 32, 16
+SLICE = 256  # rows whose texts are copied at a time
 _SKETCH = "doc_id long, ref string, key binary, n int, sketch binary"
 
 
@@ -58,7 +59,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, ref, key, n, sketch): name, size and MinHash values of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = [t.as_buffer().to_pybytes() if t.is_valid else None for t in batch.column(1).cast(pa.large_binary())]
             keys, sizes, values = [], [], []
             for s in shingles.shingle_sets(texts, width):

@@ -37,8 +37,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=4)
+KEPT_BITS = 18  # larger tables are made anew for each very long text, so that no worker keeps them
+
+
 def _powers(bits: int, inverse: bool) -> np.ndarray:
+    return _kept_powers(bits, inverse) if bits <= KEPT_BITS else _made_powers(bits, inverse)
+
+
+@lru_cache(maxsize=2 * KEPT_BITS)
+def _kept_powers(bits: int, inverse: bool) -> np.ndarray:
+    return _made_powers(bits, inverse)
+
+
+def _made_powers(bits: int, inverse: bool) -> np.ndarray:
     base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
     out = np.full(1 << bits, base, np.uint64)
     out[0] = 1
@@ -57,7 +68,7 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(words + (ends - begins).astype(np.uint64)), begins
 
 
-def shingle_sets(texts: list[bytes | None], width: int, slice_bytes: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], width: int, slice_bytes: int = 1 << 17) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; several texts are hashed at once."""
     at = 0
     while at < len(texts):
