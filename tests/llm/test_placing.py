@@ -153,6 +153,17 @@ def test_mixing_of_null_and_repeated_ids(spark, rows):
     assert all(abs(taken[s] - wanted[s]) <= largest[s] for s in sizes)
 
 
+def test_copies_fall_in_the_seeded_order(spark):
+    sized = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 40 + 1).alias("size"), (F.col("id") % 3).cast("string").alias("source"))
+    by_source = defaultdict(list)
+    for r in _rows(mixing.mix(sized, F.array("source"), F.col("size"))):
+        by_source[r["members"][0]].append((r["seeded"], r["doc_id"], r["copies"]))
+    for rows in by_source.values():  # over several blocks: but for the kinds that close the gap, more copies come first
+        copies = [c for _, _, c in sorted(rows)]
+        border = copies.index(min(copies))
+        assert len(set(copies)) <= 2 and sum(c > min(copies) for c in copies[border:]) <= 3
+
+
 def test_targets_of_a_table_are_those_of_the_rule(spark):
     import random
 
