@@ -1,6 +1,6 @@
 """Search and detail pages: a pages table in, cards or descriptions out.
 
-The element tree has no SQL form, so pages pass through ``mapInPandas``: one Spark
+The element tree has no SQL form, so pages pass through ``mapInArrow``: one Spark
 task per input split, rows in batches, no shuffle. What cannot be read, a page or one card
 of it, comes out as a row with ``error`` set; the other cards of the page stay.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from garimpo import rules, schemas
@@ -48,6 +48,17 @@ def read_card(card: Element) -> tuple:
 
 
 CardReader = Callable[[Element], tuple]
+_CARDS = pa.schema([("page_id", pa.int64()), ("position", pa.int32())] + [(n, pa.string()) for n in schemas.names(schemas.CARD_WITH_ERROR)[2:]])
+_DETAILS = pa.schema([("page_id", pa.int64()), ("description", pa.string()), ("is_closed", pa.bool_()), ("error", pa.string())])
+
+
+def _pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _cards_of_page(page_id: int, html: str | None, read: CardReader) -> Iterator[tuple]:
@@ -75,14 +86,11 @@ def scan_cards(pages: DataFrame, read: CardReader = read_card) -> DataFrame:
     readable tree is one such row with place -1. ``read`` gives title, company, location, link
     and urn of a card element.
     """
-    columns = schemas.names(schemas.CARD_WITH_ERROR)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [row for page in zip(batch["page_id"], batch["html"]) for row in _cards_of_page(*page, read)]
-            yield pd.DataFrame(found, columns=columns)
+            yield _batch([row for page in _pages_of(batch) for row in _cards_of_page(*page, read)], _CARDS)
 
-    return pages.select("page_id", "html").mapInPandas(run, schemas.CARD_WITH_ERROR)
+    return pages.select("page_id", "html").mapInArrow(run, schemas.CARD_WITH_ERROR)
 
 
 def card_postings(cards: DataFrame, search_location: str, base: str = rules.LINK_BASE) -> DataFrame:
@@ -117,11 +125,10 @@ def detail_of(html: str) -> tuple[str, bool]:
     return (whole if len(whole) > WHOLE_PAGE_MINIMUM else rules.DETAIL_EMPTY), closed
 
 
-def _details_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = schemas.names(schemas.DETAIL)
+def _details_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for page_id, html in zip(batch["page_id"], batch["html"]):
+        for page_id, html in _pages_of(batch):
             if html is None:
                 rows.append((page_id, rules.DETAIL_MISSING, False, None))
                 continue
@@ -129,9 +136,9 @@ def _details_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((page_id, *detail_of(html), None))
             except Exception as problem:
                 rows.append((page_id, rules.DETAIL_BROKEN, False, str(problem)))
-        yield pd.DataFrame(rows, columns=columns)
+        yield _batch(rows, _DETAILS)
 
 
 def scan_detail_text(pages: DataFrame) -> DataFrame:
     """Description and closed flag per detail page; failures keep the row with a placeholder."""
-    return pages.select("page_id", "html").mapInPandas(_details_of, schemas.DETAIL)
+    return pages.select("page_id", "html").mapInArrow(_details_of, schemas.DETAIL)

@@ -1,9 +1,10 @@
 """Pages, history documents, search plan."""
 
 import json
+import random
 
 from garimpo import rules
-from garimpo.sources import history_json, pages, search_plan
+from garimpo.sources import history_json, markup, pages, search_plan
 from garimpo.sources.markup import parse
 
 CARD = """<li><div class="base-card base-search-card" data-entity-urn="urn:li:jobPosting:42">
@@ -85,3 +86,43 @@ def test_search_plan(spark):
     ]
     default = search_plan.search_plan(terms, []).orderBy("search_group").collect()
     assert tuple(default[1]) == (1, "b", "Brasil", None, None, None, 3)
+
+
+# --- plain markup ---------------------------------------------------------------------------------
+MARKUP_BITS = (
+    '<div>', '</div>', '<b class="a b">', '</B>', '<p>', '</p>', 'text', ' ', '\n ', '\x0b', '&amp;', '&atilde', '&#10;', '&#1;', '&', '>',
+    '<br>', '<br/>', '<img src="a&amp;b" x>', '<a href="?a=1&b=2">', '<a x="&lt;">', '<!-- c -->', '<!---->', '<!--a--b-->', '<!-->',
+    '<script>', '</script>', '<script>a<b "</script>', '<style> </style>', '<SCRIPT>x</SCRIPT>', '<pre>', '</pre>', '<title>', '</title>',
+    '<', '< b', '<a href=x>', "<a href='x'>", '<a x="1"y="2">', '<a x = "1">', '<a  x="1"  y >', '<a x="1" X="2"/>', '</div >', '<?pi?>',
+    '<my-el>', '<a\tb="1">', '<a x="a>b">', '</', '<script/>', '<p a/>', '<textarea>', '</textarea>', '<!DOCTYPE html>',
+)
+
+
+def _tree(element):
+    return element.tag, element.attrs, [i if isinstance(i, str) else _tree(i) for i in element.items]
+
+
+def test_plain_markup_has_the_tree_of_the_parser():
+    dice, plain = random.Random(5), 0
+    for _ in range(20_000):
+        html = "".join(dice.choices(MARKUP_BITS, k=dice.randint(0, 8)))
+        found = markup._plain(html)
+        if found is not None:
+            plain += 1
+            builder = markup._Builder()
+            builder.feed(html)
+            builder.close()
+            builder.flush()
+            assert _tree(found) == _tree(builder.root), html
+    assert plain > 2_000
+
+
+def test_plain_pages_do_not_reach_the_slow_parser(monkeypatch):
+    """A page of plain cards took ten times as long when every page went through the HTML parser."""
+    monkeypatch.setattr(markup, "_Builder", None)
+    html = (
+        '<!-- results --><ul><li><div class="base-card x" data-entity-urn="urn:li:jobPosting:7"><a class="base-card__full-link" href="/v?a=1&amp;b=2">'
+        '<br/>go</a><h3 class="base-search-card__title">\n S&atilde;o <b></b></h3><script>if (a<b) f()</script></div></li></ul>'
+    )
+    cards = list(pages._cards_of_page(1, html, pages.read_card))
+    assert cards == [(1, 0, "São", "Unidentified company", None, "/v?a=1&b=2", "urn:li:jobPosting:7", None)]
