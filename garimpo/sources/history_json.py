@@ -9,13 +9,15 @@ from garimpo.schemas import HISTORY
 from garimpo.sources import json_members
 
 
-def _typed() -> list[Column]:
-    def read(name: str, kind: str) -> Column:
-        text = F.try_variant_get("entry", f"$.{name}", "string")
-        return text.try_cast(kind).alias(name) if kind != "string" else text.alias(name)
+_FIELDS = [part.split() for part in HISTORY.split(",") if part.split()[0] != "job_link"]
 
-    columns = [part.strip().split() for part in HISTORY.split(",")]
-    return [F.col("job_link"), *[read(name, kind) for name, kind in columns if name != "job_link"]]
+
+def _typed(entries: DataFrame, *keep: str) -> DataFrame:
+    """The entries' fields, read as texts in one pass over an entry, then each cast by itself."""
+    texts = F.try_variant_get("entry", "$", "struct<" + ", ".join(f"{name}: string" for name, _ in _FIELDS) + ">")
+    read = entries.select(*keep, "job_link", F.inline_outer(F.array(texts)))
+    typed = [F.col(name) if kind == "string" else F.col(name).try_cast(kind).alias(name) for name, kind in _FIELDS]
+    return read.select(*keep, "job_link", *typed)
 
 
 def _is_object() -> Column:
@@ -29,7 +31,7 @@ def history_entries(documents: DataFrame, body: str = "value") -> DataFrame:
     a single entry is, say, a number.
     """
     entries = F.from_json(F.col(body), "map<string,variant>")
-    return documents.select(F.explode(entries).alias("job_link", "entry")).filter(_is_object()).select(*_typed())
+    return _typed(documents.select(F.explode(entries).alias("job_link", "entry")).filter(_is_object()))
 
 
 def scan_history(spark: SparkSession, path: str) -> DataFrame:
@@ -40,8 +42,6 @@ def scan_history(spark: SparkSession, path: str) -> DataFrame:
     """
     runs = json_members.members(spark, path)
     read = runs.select("file", "sound", F.explode_outer("members").alias("job_link", "entry"))
-    stored = runtime.stage(
-        read.filter(~F.col("sound") | _is_object()).select("file", "sound", *_typed()), "history"
-    )
+    stored = runtime.stage(_typed(read.filter(~F.col("sound") | _is_object()), "file", "sound"), "history")
     unreadable = stored.filter(~F.col("sound")).select("file").distinct()
     return stored.join(unreadable, "file", "left_anti").drop("file", "sound")

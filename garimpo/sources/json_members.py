@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # a string, the group being its closing quote if it has one
@@ -23,6 +24,7 @@ _WHERE = "file string, start long, size long, length long"
 _SUMMARY = _WHERE + ", bytes long, blank boolean, in0 boolean, delta0 long, least0 long, in1 boolean, delta1 long, least1 long"
 _PIECE = "file string, origin long, place long, whole boolean, opens boolean, closes boolean, sound boolean, part binary"
 _NEVER = 1 << 60
+_RUN = 1 << 16  # bytes of members read as one text
 _BLANKS = " \t\n\r"
 _SCHEMA = pa.schema([
     ("file", pa.string()), ("origin", pa.int64()), ("place", pa.int64()), ("whole", pa.bool_()),
@@ -43,29 +45,31 @@ def walk(text: bytes, inside: bool) -> tuple[bool, int]:
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[bytes]]]:
     """Texts of each byte range of a task, in their order."""
-    rows = (
-        (where, value)
-        for batch in batches
-        for value, *where in zip(
-            batch.column(0).cast(pa.large_binary()).to_pylist(), *[batch.column(i).to_pylist() for i in range(1, 5)], strict=True
-        )
-    )
-    held = next(rows, None)
+    held = next(parts := _parts(batches), None)
 
-    def of(where: list) -> Iterator[bytes]:
+    def of(where: tuple) -> Iterator[bytes]:
         nonlocal held
         while held is not None and held[0] == where:
-            yield held[1]
-            held = next(rows, None)
+            yield from held[1]
+            held = next(parts, None)
 
     while held is not None:
         where = held[0]
         texts = of(where)
-        yield tuple(where), texts
+        yield where, texts
         for _ in texts:
             pass
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[bytes]]]:
+    """Texts of one range in one batch; where they come from is read once, not for each text."""
+    for batch in batches:
+        texts = batch.column(0).cast(pa.large_binary())
+        ends = sorted({end for i in (1, 2) for end in pc.run_end_encode(batch.column(i)).run_ends.to_pylist()})
+        for start, end in zip([0, *ends], ends):
+            yield tuple(batch.column(i)[start].as_py() for i in range(1, 5)), (text.as_py() for text in texts.slice(start, end - start))
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for where, texts in _ranges(batches):
         inside, delta, least, size, text = [False, True], [0, 0], [_NEVER, _NEVER], 0, b""
@@ -110,7 +114,7 @@ def _cutter(starts: dict[tuple[str, int], tuple]):
             inside, depth, origin, last, unclosed = starts.get((file, start), (False, 0, start, True, False))
             first = start == 0  # nothing of the object lies before
             over, sound = depth == 0 and not first, True
-            whole, held, rows, weight, read = first, [], [], 0, 0
+            whole, ready, held, rows, weight, size_ready, read = first, [], [], [], 0, 0, 0
             text = next(texts, None)
             while text is not None:
                 after = next(texts, None)
@@ -127,12 +131,19 @@ def _cutter(starts: dict[tuple[str, int], tuple]):
                     weight += len(text)
                     if not inside and depth <= 1:
                         over = depth <= 0
-                        rows.append((file, origin, start, whole, first, over, depth >= 0, b"".join(held)))
-                        origin, whole, first, held = start, True, False, []
+                        ready += held
+                        size_ready += sum(map(len, held))
+                        if over or not whole or size_ready >= _RUN:
+                            rows.append((file, origin, start, whole, first, over, depth >= 0, b"".join(ready)))
+                            first, ready, size_ready = False, [], 0
+                        origin, whole, held = start, True, []
                 if weight > 1 << 22:
                     yield _batch(rows)
                     rows, weight = [], 0
                 text = after
+            if ready:
+                rows.append((file, start, start, True, first, False, True, b"".join(ready)))
+                first = False
             if last and not (sound and over) or not sound:
                 rows.append((file, start, start, True, False, False, False, b""))
             elif held:
@@ -143,14 +154,15 @@ def _cutter(starts: dict[tuple[str, int], tuple]):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], _SCHEMA)
+    columns = zip(*rows, strict=True) if rows else [()] * len(_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def members(spark: SparkSession, path: str, kind: str = "map<string,variant>") -> DataFrame:
     """Columns ``file``, ``members`` (map of a run of members) and ``sound``, one row per run of each file.
 
     A file with a row that is not ``sound`` is no JSON object; one without any text has no row.
-    A member that is an object ends a run, so a run is as large as one, and what lies before it.
+    A member that is an object ends a run once it has `_RUN` bytes, so a run is as large as that and one member.
     """
     meta = {"file": "file_path", "start": "file_block_start", "size": "file_size", "length": "file_block_length"}
     texts = spark.read.option("lineSep", "}").text(path).select(
@@ -158,14 +170,18 @@ def members(spark: SparkSession, path: str, kind: str = "map<string,variant>") -
     )
     several = texts.filter("length < size").mapInArrow(_summaries, _SUMMARY).collect()
     starts = _chained(sorted(several, key=lambda r: (r.file, r.start)))
-    pieces = texts.mapInArrow(_cutter(starts), _PIECE).withColumn("part", F.col("part").cast("string"))
+
+    def pieces(of: DataFrame) -> DataFrame:
+        return of.mapInArrow(_cutter(starts), _PIECE).withColumn("part", F.col("part").cast("string"))
+
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda p: p["part"])
-    over_borders = pieces.filter("not whole").groupBy("file", "origin").agg(
+    # a file of one range has no member over a border, and is not cut a second time for it
+    over_borders = pieces(texts.filter("length < size")).filter("not whole").groupBy("file", "origin").agg(
         F.bool_or("opens").alias("opens"), F.bool_or("closes").alias("closes"),
         F.bool_and("sound").alias("sound"), F.array_join(ordered, "").alias("part"),
     )
     columns = ["file", "opens", "closes", "sound", F.ltrim(F.col("part"), F.lit(_BLANKS)).alias("part")]
-    runs = pieces.filter("whole").select(*columns).unionByName(over_borders.select(*columns))
+    runs = pieces(texts).filter("whole").select(*columns).unionByName(over_borders.select(*columns))
     # `{` or a comma first, then at least one member, or the end of the object alone
     lead, rest = F.substr("part", F.lit(1), F.lit(1)), F.substr("part", F.lit(2))
     blank = F.btrim(rest, F.lit(_BLANKS)) == "}"

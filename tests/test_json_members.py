@@ -86,6 +86,14 @@ def test_one_file_is_read_by_many_tasks(spark, cut, tmp_path):
     assert history_json.scan_history(spark, str(tmp_path)).count() == 30
 
 
+def test_small_members_are_read_together(spark, tmp_path):
+    """Each member was a text of its own, which a document of thousands of them paid for."""
+    (tmp_path / "one.json").write_text("{" + ", ".join(ENTRY % i for i in range(30)) + "}")
+    runs = json_members.members(spark, str(tmp_path)).collect()
+    assert [r.sound for r in runs] == [True]
+    assert sorted(runs[0].members, key=int) == [str(i) for i in range(30)]
+
+
 def test_walk():
     assert json_members.walk(b'{"a": [', False) == (False, 2)
     assert json_members.walk(b'x" : {', True) == (False, 1)

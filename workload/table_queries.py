@@ -285,9 +285,10 @@ def scan_history(spark, sf):
     documents = past.select(F.floor(F.col("k") / 20_000).alias("doc"), pair.alias("pair")).groupBy("doc").agg(
         F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ", "), F.lit("}")).alias("value")
     )
-    broken = documents.select(-1 - F.col("doc"), F.expr("left(value, char_length(value) - 300)"))
+    broken = F.struct((-1 - F.col("doc")).alias("doc"), F.expr("left(value, char_length(value) - 300)").alias("value"))
     folder = runtime.new_folder(spark, "documents")
-    documents.union(broken).write.partitionBy("doc").text(folder)  # one document a file
+    both = documents.select(F.inline(F.array(F.struct("doc", "value"), broken)))  # each is put together once
+    both.write.partitionBy("doc").text(folder)  # one document a file
     return history_json.scan_history(spark, folder).select(
         "job_link", "job_title", "match_score", F.round("score_clt", 4).alias("score_clt"), "first_seen_at",
         "status", "notes",
