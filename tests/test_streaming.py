@@ -206,3 +206,20 @@ def test_stream_status(spark, tmp_path):
     assert sorted(map(str, status_log.status_state(spark, str(tmp_path / "st")).select(expected.columns).collect())) == sorted(map(str, expected.collect()))
     rejected = status_log.rejected_log(spark, str(tmp_path / "st"))
     assert rejected.count() == status.rejected_events(checked).count() > 0
+
+
+def test_files_of_a_micro_batch_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Four files whatever the table: no more tasks than that took a batch through the rules."""
+    from workload import table_queries
+
+    monkeypatch.setattr(table_queries, "ROWS_PER_FILE", 100)
+    monkeypatch.setattr(table_queries.runtime, "new_folder", lambda _, name: str(tmp_path / name))
+    spark.range(3_000).selectExpr("id AS event_id").write.parquet(str(tmp_path / "events.parquet"))
+    stream, batches_seen = table_queries._stream(spark, str(tmp_path), "events", "event_id"), []
+
+    def see(batch, _):
+        batches_seen.append(sorted({r.event_id % 3 for r in batch.collect()}))
+
+    stream.writeStream.foreachBatch(see).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    assert batches_seen == [[0], [1], [2]]
+    assert len(list((tmp_path / "source").glob("*.parquet"))) == 30 and table_queries._files(900) == 4

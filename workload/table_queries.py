@@ -749,15 +749,21 @@ def prototype_classify(spark, sf):
 
 
 # --- streams --------------------------------------------------------------------------------------------------
-BATCHES, FILES = 3, 4
+BATCHES, FILES, ROWS_PER_FILE = 3, 4, 100_000
+
+
+def _files(rows):
+    """How many files a micro-batch comes in: a file is read by one task at least, and mostly by one at most."""
+    return max(FILES, rows // BATCHES // ROWS_PER_FILE)
 
 
 def _stream(spark, sf, name, key):
     """A test table as a stream of three micro-batches of some files each: rows by ``key`` mod 3."""
     df, folder = A.table(spark, sf, name), runtime.new_folder(spark, "source")
+    files = _files(df.count())
     for part in range(BATCHES):  # one write after the other: the files' times are their order
-        df.filter(F.col(key) % BATCHES == part).repartition(FILES).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+        df.filter(F.col(key) % BATCHES == part).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 _STREAMED = tuple(
